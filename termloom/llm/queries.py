@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, simhash
+from . import exact, packing, simhash, subwords, tokens
+from .store import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    tokens.write_tokens(_table(spark, sf_dir, "documents"), path, subwords.vocabulary_path(), end_id=2)
+    return tokens.read_tokens(spark, path, ids=False)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.sorted_copies(_table(spark, sf_dir, "documents"))
 
@@ -19,7 +26,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), subwords.vocabulary_path(), end_id=0, longest=1024, ids=False)
+
+
+QUERIES = {
+    "op3_token_files": op3_token_files,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_simhash": op6_simhash,
+    "op8_packing": op8_packing,
+}
 
 ORACLES = {
     "op4_exact_dedup": """
