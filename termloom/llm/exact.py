@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from .store import cut, partitions
 
 
-def sorted_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", normalise=None) -> DataFrame:
+def sorted_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", normalise=None, lead: int = 16) -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256): one row per input row, dropped rows included.
 
-    Sampled splitters range-partition the normalised text together with a salt, so that a text held by a large share
-    of all rows is dealt over many tasks; an external sort puts equal texts side by side, and neighbours are compared
-    in full, which gives each run of equals its size and its largest key. Runs of one text that different salts hold
-    then meet by digest, one row per run.
+    Sampled splitters range-partition the normalised text by its first ``lead`` characters, then a hash of the whole, so
+    that the sample stays small however long the texts are, then a salt, so that a text held by a large share of all rows
+    is dealt over many tasks. An external sort puts equal texts side by side, and neighbours are compared in full,
+    which gives each run of equals its size and its largest key. Runs of one text that different salts hold then meet
+    by digest, one row per run.
 
     ``normalise``: Column -> Column applied to the text (default: no change). The largest key of equal texts stays.
     Null texts count as empty and so equal each other and ''. Rows with a null key take part in the group size; they
@@ -26,9 +27,10 @@ def sorted_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", norm
     n = max(2, partitions(spark))
     body = F.coalesce(F.col(text), F.lit(""))
     body = normalise(body) if normalise else body
-    rows = docs.select(F.col(key).alias("id"), body.alias("body")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    placed = rows.repartitionByRange(n, "body", "salt").sortWithinPartitions("body", "salt")
-    run = Window.partitionBy("body", "salt")
+    rows = docs.select(F.col(key).alias("id"), body.alias("body"))
+    place = {"lead": F.substring("body", 1, lead), "mark": F.xxhash64("body"), "salt": F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")}
+    placed = rows.withColumns(place).repartitionByRange(n, *place).sortWithinPartitions(*place, "body")
+    run = Window.partitionBy(*place, "body")
     runs = cut(
         placed.select(
             "id",
