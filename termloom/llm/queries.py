@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, packing, simhash, subwords, tokens
+from . import exact, langid, packing, quality, simhash, subwords, tokens
 from .store import scratch
 
 
@@ -12,6 +13,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(buckets: int, rest: int) -> Column:
+    """Whether a document belongs to the fold that is never learned from; documents without an id do not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % buckets == rest, F.lit(False))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, learn=~_held_out(4, 2))
+    return quality.score(docs, model, threshold=0.7).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     tokens.write_tokens(_table(spark, sf_dir, "documents"), path, subwords.vocabulary_path(), end_id=2)
@@ -26,14 +38,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    network = langid.train(docs, learn=~_held_out(4, 2))
+    return langid.identify(docs, network).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), subwords.vocabulary_path(), end_id=0, longest=1024, ids=False)
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op7_language": op7_language,
     "op8_packing": op8_packing,
 }
 
