@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import cut, partitions
+from .store import cut
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 FANOUT = 16
@@ -99,24 +100,31 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(read, "id long, code long")
 
 
-def _rank_column(batches):
-    for batch in batches:
-        code = batch.column(0).to_numpy().view(np.uint64)
-        rank = (gray_rank(code) ^ np.uint64(1 << 63)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], names=["code", "rep", "rank"])
-
-
-def links(classes: DataFrame, limit: int, leaf_size: int = 50_000) -> DataFrame:
+def links(classes: DataFrame, limit: int) -> DataFrame:
     """(a, b): representatives of any two classes whose codes differ in at most ``limit`` bits.
 
-    ``classes`` has distinct (code, rep). Gray order is cut into ranges of about ``leaf_size`` codes. A range's shared bits
-    form the topmost index nodes, three numbers a range, which every task gets; a code is sent only to ranges, at or
-    after its own, that those nodes do not rule out, and each range is searched through its own index.
+    ``classes`` has distinct (code, rep). Gray order is cut at quantiles into about a quarter of the square root of n
+    leaves. The bits that all codes of a leaf share form the topmost index nodes, three numbers a leaf, which
+    every task gets. Codes travel in packed rows, and only to leaves, at or after their own, that those nodes do not rule
+    out; each leaf is searched through its own index.
     """
     n = classes.count()
-    ranked = classes.select("code", "rep").mapInArrow(_rank_column, "code long, rep long, rank long")
-    leaves = max(1, -(-n // leaf_size))
-    placed = cut(ranked.repartitionByRange(leaves, "rank").withColumn("leaf", F.spark_partition_id()))
+    leaves = max(1, math.ceil(math.sqrt(n) / 4))
+
+    def rank(batches):
+        for batch in batches:
+            order = gray_rank(batch.column(0).to_numpy().view(np.uint64)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order)], names=["code", "rep", "rank"])
+
+    ranked = cut(classes.select("code", "rep").mapInArrow(rank, "code long, rep long, rank double"))
+    cuts = ranked.approxQuantile("rank", [i / leaves for i in range(1, leaves)], 1 / (4 * leaves)) if leaves > 1 else []
+
+    def place(batches):
+        for batch in batches:
+            leaf = np.searchsorted(np.sort(cuts), batch.column(2).to_numpy(), "right").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(leaf)], names=["code", "rep", "leaf"])
+
+    placed = cut(ranked.mapInArrow(place, "code long, rep long, leaf long"))
     tops = placed.groupBy("leaf").agg(F.expr("bit_and(code)").alias("low"), F.expr("bit_or(code)").alias("high")).orderBy("leaf").collect()
     leaf = np.array([t["leaf"] for t in tops], np.int64)
     low, high = (np.array([t[c] for t in tops], np.int64).view(np.uint64) for c in ("low", "high"))
@@ -124,29 +132,30 @@ def links(classes: DataFrame, limit: int, leaf_size: int = 50_000) -> DataFrame:
 
     def route(batches):
         for batch in batches:
-            code, own = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            code, rep, own = (c.to_numpy() for c in batch.columns)
+            near = np.zeros((len(code), len(leaf)), bool)
             for i in range(0, len(code), 4096):
-                part = code[i : i + 4096]
-                near = np.bitwise_count((part[:, None] ^ low) & shared) <= limit
-                row, col = np.nonzero(near & (leaf >= own[i : i + 4096, None]))
-                at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(own[row + i]), pa.array(leaf[col])], names=["code", "rep", "own", "leaf"])
-
-    def search(key, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+                part = code[i : i + 4096].view(np.uint64)
+                near[i : i + 4096] = np.bitwise_count((part[:, None] ^ low) & shared) <= limit
+            near &= leaf >= own[:, None]
+            to = np.flatnonzero(near.any(0))
+            sent = [(code[near[:, k]].tobytes(), rep[near[:, k]].tobytes(), (own[near[:, k]] == leaf[k]).tobytes()) for k in to]
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[to]), *(pa.array([s[c] for s in sent], pa.binary()) for c in range(3))], names=["leaf", "codes", "reps", "own"])
+
+    def search(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
-        if len(held) and len(asked):
-            index = GrayIndex(held["code"].to_numpy().view(np.uint64))
-            reps, mine = held["rep"].to_numpy(), asked["rep"].to_numpy()
-            inner = asked["own"].to_numpy() == key[0]
-            for who, where in index.search(asked["code"].to_numpy().view(np.uint64), limit):
-                a, b = mine[who], reps[where]
-                new = (a != b) & (~inner[who] | (a < b))
-                found.append(pd.DataFrame({"a": a[new], "b": b[new]}))
+        if len(held):
+            index, reps = GrayIndex(held["code"].to_numpy().view(np.uint64)), held["rep"].to_numpy()
+            for codes, mine, own in zip(asked["codes"], asked["reps"], asked["own"]):
+                mine, own = np.frombuffer(mine, np.int64), np.frombuffer(own, bool)
+                for who, where in index.search(np.frombuffer(codes, np.uint64), limit):
+                    a, b = mine[who], reps[where]
+                    new = (a != b) & (~own[who] | (a < b))
+                    found.append(pd.DataFrame({"a": a[new], "b": b[new]}))
         return pd.concat(found) if found else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
-    routed = placed.select("code", "rep", F.col("leaf").cast("long")).mapInArrow(route, "code long, rep long, own long, leaf long")
-    held = placed.select("code", "rep", F.col("leaf").cast("long"))
-    return held.groupBy("leaf").cogroup(routed.groupBy("leaf")).applyInPandas(search, "a long, b long")
+    routed = placed.mapInArrow(route, "leaf long, codes binary, reps binary, own binary")
+    return placed.groupBy("leaf").cogroup(routed.groupBy("leaf")).applyInPandas(search, "a long, b long")
 
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, seed: int = 42, limit: int = 2) -> DataFrame:
