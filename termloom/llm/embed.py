@@ -85,12 +85,17 @@ def join_blocks(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, least: fl
     return linked
 
 
-def local_stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(label of each row, label of each column): equal labels where a chain of links leads; len(linked) for none."""
+def local_stars(linked: np.ndarray, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(label of each row, label of each column): equal labels where a chain of links leads; len(linked) for none.
+
+    ``same``: row i and column i are one vector.
+    """
     none = len(linked)
     rows = np.where(linked.any(1), np.arange(none), none)
     while True:
         columns = np.where(linked, rows[:, None], none).min(0)
+        if same:
+            columns = np.minimum(columns, rows)
         new = np.minimum(rows, np.where(linked, columns, none).min(1))
         new = np.where(new < none, np.append(new, none)[np.minimum(new, none)], none)
         if (new == rows).all():
@@ -171,7 +176,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vector: str = "embeddi
                 if not linked.any():
                     continue
                 reps_a, reps_b, copies_a, copies_b = (np.array(r[f"{c}_{s}"], np.int64) for c in ("reps", "copies") for s in "ab")
-                rows, columns = local_stars(linked)
+                rows, columns = local_stars(linked, same)
                 counts = [(reps_a, linked @ copies_b)] + ([] if same else [(reps_b, copies_a @ linked)])
                 stars = [(reps_a, rows)] + ([] if same else [(reps_b, columns)])
                 for reps, c in counts:
