@@ -27,7 +27,8 @@ SCHEMA = "part int, chunk int, keys array<long>, lengths array<long>, words bina
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, text: str = "text", key: str = "doc_id", chunk_ids: int = 1 << 18) -> None:
-    """Write the ids of every whole text to the token folder ``path``, in ascending (key, text) order.
+    """Write the ids of every whole text to the token folder ``path``, in ascending order of the key, then of the
+    text's hash.
 
     Null and empty texts have the end id only; null keys come first; rows that repeat a key are all written. A long
     text makes one chunk of its own. An empty table gives a folder without rows. Other columns are not read.
@@ -57,8 +58,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
             yield row()
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n = 2 * partitions(spark)
-    rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "text").sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(pack, SCHEMA).write.parquet(path)
+    first = F.col("id").asc_nulls_first()
+    dealt = rows.repartitionByRange(2 * partitions(spark), first, F.xxhash64("text"))
+    dealt.sortWithinPartitions(first, F.xxhash64("text"), "text").mapInArrow(pack, SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = True) -> DataFrame:
