@@ -8,12 +8,16 @@ import re
 
 import numpy as np
 import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 
 #: A space that is not alone between two non-spaces: there the pre-tokenizer's cut depends on the neighbours.
 ODD_SPACE = re.compile(r"^ | $|\s | \s")
+#: Fixed value: the byte-level pre-tokenizer's pattern.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+OLD_ALPHABETS = "\u0250"
 CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -24,47 +28,69 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """Made values by key: the first ``size`` for good, then the latest few."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.late = make, size, {}
+
+    def __missing__(self, key):
+        value = self.late.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(self) < self.size:
+                self[key] = value
+            else:
+                if len(self.late) > self.size // 8:
+                    self.late.clear()
+                self.late[key] = value
+        return value
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of whole texts.
 
     The byte-level pre-tokenizer always cuts before a lone space between two non-spaces, so the ids of a text are those
-    of its pieces between such spaces, in turn. The library encodes each piece that is not in the memory; pieces of
-    letters only are one pre-token and go to the library's model directly. The memory is emptied when it is full, which
-    changes the speed only.
+    of its pieces between such spaces, in turn. A piece that is not in the memory is cut at the pre-tokenizer's pattern
+    where all its characters are of the old alphabets, on whose classes all Unicode versions agree, and the library's
+    model encodes each part; the library encodes any other piece whole, and whole any text that holds an added
+    token's string. The size of the memory changes the speed only.
     """
 
-    def __init__(self, path: str, memory: int = 200_000):
+    def __init__(self, path: str, memory: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.memory = memory
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(self._piece, memory)  # after a space
+        self.bare = Memory(self._model, memory // 8)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _model(self, part: str) -> bytes:
+        """One pre-token."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():
-            tokens = self.model.tokenize((" " + piece).encode().decode("latin-1").translate(self.letters))
-            return b"".join([t.id.to_bytes(4, "little") for t in tokens])
-        return self._library(" " + piece)
+            return self._model(" " + piece)
+        if max(piece) >= OLD_ALPHABETS:
+            return self._library(" " + piece)
+        parts = PRE_TOKEN.findall(" " + piece)
+        return b"".join([(self.known[p[1:]] if p[1:].isalpha() and p[0] == " " else self.bare[p]) for p in parts])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of one text; null and empty texts have none."""
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return self._library(text)
         pieces = CLEAN_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
-        known, first = self.known, pieces[0]
-        pieces[0] = pieces[-1]  # any piece: the first has no space before it and is done below
-        try:
-            ids = list(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) > self.memory:
-                known.clear()
-            for piece in set(pieces).difference(known):
-                known[piece] = self._piece(piece)
-            ids = list(map(known.__getitem__, pieces))
+        first, pieces[0] = pieces[0], pieces[-1]  # the first has no space before it
+        ids = list(map(self.known.__getitem__, pieces))
         ids[0] = self._library(first)
         return b"".join(ids)
 
