@@ -2,8 +2,7 @@
 
 Every byte of a text is labelled from the states of a forward and a backward network at that byte; the label
 probabilities of all bytes are averaged. Both networks start anew at windows of a fixed number of bytes, so that a text of any
-length is many short lanes that run side by side. Gates and candidates use the softsign x / (1 + |x|) in place of the
-logistic and tanh curves, at a third of the cost.
+length is many short lanes that run side by side.
 """
 
 from __future__ import annotations
@@ -15,74 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAD = 256
-
+from .gru import run_back, run_states
 
-def _soft(x: np.ndarray, spare: np.ndarray) -> None:
-    np.abs(x, out=spare)
-    spare += 1
-    x /= spare
-
-
-def run_states(ids: np.ndarray, table: np.ndarray, inner: np.ndarray, tape: list | None = None) -> np.ndarray:
-    """States (T, H, B) for byte ids (T, B); ``tape`` collects what the backward pass needs. Pads hold the zero state."""
-    steps, lanes = ids.shape
-    size = inner.shape[1]
-    out = np.empty((steps, size, lanes), np.float32)
-    h = np.zeros((size, lanes), np.float32)
-    x, u, spare = (np.empty((3 * size, lanes), np.float32) for _ in range(3))
-    padded = (ids == PAD).any(1)
-    for t in range(steps):
-        np.take(table, ids[t], axis=1, out=x, mode="clip")
-        np.matmul(inner, h, out=u)
-        gates, new = x[: 2 * size], x[2 * size :]
-        gates += u[: 2 * size]
-        raw = gates.copy() if tape is not None else None
-        _soft(gates, spare[: 2 * size])
-        gates *= 0.5
-        gates += 0.5
-        keep, reset = gates[:size], gates[size:]
-        part = u[2 * size :]
-        lean = part.copy() if tape is not None else None
-        part *= reset
-        new += part
-        raw_new = new.copy() if tape is not None else None
-        _soft(new, spare[2 * size :])
-        if tape is not None:
-            tape.append((h.copy(), raw, gates.copy(), lean, raw_new, new.copy()))
-        h -= new
-        h *= keep
-        h += new
-        if padded[t]:
-            h[:, ids[t] == PAD] = 0
-        out[t] = h
-    return out
-
-
-def run_back(ids: np.ndarray, inner: np.ndarray, tape: list, d_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of (table, inner) from the gradient of all states: backpropagation through time."""
-    steps, lanes = ids.shape
-    size = inner.shape[1]
-    d_table, d_inner = np.zeros((3 * size, PAD + 1), np.float32), np.zeros_like(inner)
-    d_h = np.zeros((size, lanes), np.float32)
-    slope = lambda raw: 1 / np.square(1 + np.abs(raw))
-    d_x = np.empty((steps, 3 * size, lanes), np.float32)
-    for t in range(steps - 1, -1, -1):
-        before, raw, gates, lean, raw_new, new = tape[t]
-        d_h = d_h + d_out[t]
-        d_h[:, ids[t] == PAD] = 0
-        keep, reset = gates[:size], gates[size:]
-        d_new = d_h * (1 - keep) * slope(raw_new)
-        d_gates = np.concatenate((d_h * (before - new), d_new * lean)) * (0.5 * slope(raw))
-        d_u = np.concatenate((d_gates, d_new * reset))
-        d_x[t, : 2 * size], d_x[t, 2 * size :] = d_gates, d_new
-        d_inner += d_u @ before.T
-        d_h = d_h * keep + inner.T @ d_u
-    flat = d_x.transpose(1, 0, 2).reshape(3 * size, -1)
-    order = np.argsort(ids.ravel(), kind="stable")
-    found, first = np.unique(ids.ravel()[order], return_index=True)
-    d_table[:, found] = np.add.reduceat(flat[:, order], first, axis=1)
-    return d_table, d_inner
+PAD = 256
 
 
 class Network:
@@ -98,8 +32,8 @@ class Network:
     def position_probabilities(self, ids: np.ndarray, tapes: dict | None = None) -> np.ndarray:
         """(T, labels, B) for byte ids (T, B)."""
         w = self.weights
-        self.ahead = run_states(ids, w["tablef"], w["innerf"], tapes["f"] if tapes else None)
-        self.behind = run_states(ids[::-1], w["tableb"], w["innerb"], tapes["b"] if tapes else None)[::-1]
+        self.ahead = run_states(ids, w["tablef"], w["innerf"], PAD, tapes["f"] if tapes else None)
+        self.behind = run_states(ids[::-1], w["tableb"], w["innerb"], PAD, tapes["b"] if tapes else None)[::-1]
         scores = np.matmul(w["outf"], self.ahead)
         scores += np.matmul(w["outb"], self.behind)
         scores += w["bias"]
@@ -119,8 +53,8 @@ class Network:
         p[:, truth, lanes] -= 1
         p *= real[:, None, :] / np.float32(n)
         g = {"bias": p.sum((0, 2))[:, None], "outf": np.einsum("tlb,thb->lh", p, self.ahead, optimize=True), "outb": np.einsum("tlb,thb->lh", p, self.behind, optimize=True)}
-        g["tablef"], g["innerf"] = run_back(ids, w["innerf"], tapes["f"], np.matmul(w["outf"].T, p))
-        g["tableb"], g["innerb"] = run_back(ids[::-1], w["innerb"], tapes["b"], np.matmul(w["outb"].T, p)[::-1])
+        g["tablef"], g["innerf"] = run_back(ids, w["innerf"], PAD, tapes["f"], np.matmul(w["outf"].T, p))
+        g["tableb"], g["innerb"] = run_back(ids[::-1], w["innerb"], PAD, tapes["b"], np.matmul(w["outb"].T, p)[::-1])
         return loss, g
 
     def fit(self, windows: np.ndarray, truth: np.ndarray, epochs: int, lanes: int = 128, rate: float = 0.02, seed: int = 0) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed, exact, langid, packing, quality, simhash, subwords, tokens
+from . import embed, exact, langid, lm, mixing, packing, quality, simhash, subwords, tokens
 from .store import scratch
 
 
@@ -52,6 +52,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), subwords.vocabulary_path(), end_id=0, longest=1024, ids=False)
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = _table(spark, sf_dir, "documents"), ~_held_out(10, 0)
+    vocabulary = lm.count_words(docs, learn)
+    model = lm.fit(docs, learn, vocabulary)
+    scores = lm.score(docs, model, vocabulary)
+    return scores.select("doc_id", _held_out(10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.size_weights(docs, power=0.7))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_token_files": op3_token_files,
@@ -60,6 +73,8 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
+    "op9_language_model": op9_language_model,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
