@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed, exact, langid, lm, mixing, packing, quality, simhash, subwords, tokens
+from . import embed, exact, langid, lm, mixing, packing, quality, simhash, substring, subwords, tokens
 from .store import scratch
 
 
@@ -24,6 +24,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, threshold=0.7).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), width=50, texts=False)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     tokens.write_tokens(_table(spark, sf_dir, "documents"), path, subwords.vocabulary_path(), end_id=2)
@@ -67,6 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_near_vectors": op5_near_vectors,
@@ -78,6 +83,18 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50),
+        windows AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS win FROM starts),
+        judged AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM windows),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM judged WHERE first < doc_id),
+        cut AS (SELECT doc_id, count(*) AS n, list(pos) AS places FROM gone GROUP BY doc_id)
+        SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+               sha256(CASE WHEN n IS NULL THEN array_to_string(words, ' ')
+                      ELSE array_to_string(list_filter(words, lambda x, i: NOT list_contains(places, i)), ' ') END) AS kept_sha256
+        FROM w LEFT JOIN cut ON w.doc_id = cut.doc_id
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -86,8 +103,8 @@ ORACLES = {
     "op5_near_vectors": """
         WITH RECURSIVE usable AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
             ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93
