@@ -7,22 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that the normalisation maps, class by class, in the order of application.
-BLANKS = r"[\x00-\x1F\x7F\u0080-\u009F   -​    　﻿]"
-DASHES = "[‐‑‒–—―−¯­]"
-SINGLE_QUOTES = "[‘’‚‛‹›ʹʼʾ`´′]"
-DOUBLE_QUOTES = "[“”„‟«»″]"
-BULLETS = "[•‣▪●◦·]"
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "Œ": "OE", "œ": "oe", "Æ": "AE", "æ": "ae"}
+# Characters and what they become, class by class, in the order of application.
+BLANKS = r"[\x00-\x1F\x7F\u2028\u2029\u0092\u00A0\u1680\u180E\u2000-\u200B\u202F\u205F\u3000\uFEFF]"
+REPLACED = (
+    (r"[\u2010-\u2015\u2212\uFE63\u00AF]", "-"), (r"[\u2018-\u201B`]|\u2039 ?| ?\u203A", "'"), (r"[\u201C-\u201F]|\u00AB ?| ?\u00BB", '"'), ("''", '"'),
+    (r"\u2026|\u0085", "..."), (r"\u20AC", "EUR"), (r"[\u25AA\u25BA\u25CF\u25D8\u2192\u2022\u00B7]", "*"),
+)
+LIGATURES = {
+    "\uA732": "AA", "\uA733": "aa", "\u00C6": "AE", "\u00E6": "ae", "\u01F1": "DZ", "\u01F2": "Dz", "\u01F3": "dz", "\uFB03": "ffi", "\uFB00": "ff",
+    "\uFB01": "fi", "\uFB04": "ffl", "\uFB02": "fl", "\uFB05": "ft", "\u0132": "IJ", "\u0133": "ij", "\u01C7": "LJ", "\u01C9": "lj", "\u01CA": "NJ",
+    "\u01CC": "nj", "\u0152": "OE", "\u0153": "oe", "\u009C": "oe", "\uFB06": "st", "\uA728": "Tz", "\uA729": "tz",
+}
 TERM_EDGES = r"""[-'",;/%(){}\\\[\]. ©]+"""
 TOKEN = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*"
 
 
 def normalise_chars(c: Column) -> Column:
     """Blanks, dashes, quotes, ellipses, euro signs, bullets and ligatures in their plain forms (B1)."""
-    c = F.replace(c, F.lit("\u0085"), F.lit("..."))
     c = F.trim(F.regexp_replace(F.regexp_replace(c, BLANKS, " "), " +", " "))
-    for pattern, plain in ((DASHES, "-"), (SINGLE_QUOTES, "'"), (DOUBLE_QUOTES, '"'), ("''", '"'), ("…", "..."), ("€", "EUR"), (BULLETS, "*")):
+    for pattern, plain in REPLACED:
         c = F.regexp_replace(c, pattern, plain)
     for joined, letters in LIGATURES.items():
         c = F.replace(c, F.lit(joined), F.lit(letters))

@@ -87,14 +87,20 @@ def new_terms(tops: DataFrame) -> DataFrame:
 
 # ---- stop terms
 
-# Starts of terms that carry no meaning in a scientific corpus.
+# Patterns for the start of terms that carry no meaning in a scientific corpus, in the order of the rules.
 STOP_STARTS = (
-    r".{1,2}$", r".*\d", r".*,", r".*%", r".*\{", r".*[:|]", "accept", "allow", "almost", "appear", "approach", "article", "aspect", "author",
-    "basic", "basis", "case", "certain", "common", "consequence", "copyright", "current", "different", "discuss", "due to", "elsevier", "evidence",
-    "example", "fact", "finding", "first", "follow", "further", "good", "great", "high", "important", "interest", "issue", "journal", "kind", "large",
-    "level", "literature", "low", "main", "many", "method", "much", "need", "new", "number", "objective", "other", "overview", "paper", "part",
-    "present", "previous", "problem", "purpose", "question", "recent", "result", "review", "same", "section", "several", "significant", "similar",
-    "small", "some", "springer", "strong", "study", "such", "type", "use", "variety", "various", "way", "wiley", "year",
+    r"^.{1,2}$", r"(.*)\d(.*)", r"(.*)(\,)(.*)", r"(.*)(< ?/?p ?>)(.*)", r"(.*)(result)(.*)", r"(.*)(year|année|nombre|moitié)(.*)", r"(.*)(temps)(.*)",
+    r"(.*)(%)(.*)", r"(.*)(\{)(.*)", r"(.*)(terme)(.*)", r"(.*)(différent)(.*)", r"(.*)(travers)(.*)",
+    r".*elsevier.*", r".*wiley.*", r".*springer.*", r".*university press.*",
+    r"hypothes[ie]s$", r"analys[ie]s$", r"bas[ie]s$", r"online$", r"importance$", r"uses?$", r"cases?$", r"effects?$", r"times?$", r"methods?$",
+    r"types?$", r"evidences?$", r"findings?$", r"relations?$", r"terms?$", r"procedures?$", r"factors?$", r"reports?$", r"changes?$", r"facts?$",
+    r"others?$", r"applications?$", r"periods?$", r"investigations?$", r"orders?$", r"forms?$", r"conditions?$", r"situations?$", r"papers?$",
+    r"relationships?$", r"values?$", r"areas?$", r"techniques?$", r"means?$", r"conclusions?$", r"comparisons?$", r"parts?$", r"amounts?$", r"aims?$",
+    r"lacks?$", r"issues?$", r"ways?$", r"ranges?$", r"models?$", r"articles?$", r"series?$", r"totals?$", r"influences?$", r"journals?$", r"rules?$",
+    r"persons?$", r"abstracts?$", r"(?:book)? reviews?$", r"process(?:es)?$", r"approach(?:es)?$", r"theor(?:y|ies)?$", r"methodolog(?:y|ies)?$",
+    r"similarit(?:y|ies)?$", r"possibilit(?:y|ies)?$", r"stud(?:y|ies)?$",
+    r"none$", r"other(?: hand)?$", r"whereas$", r"usually$", r"and$", r"eds?$", r"ltd$", r"copyright$", r"e-?mails?$", r".*=", r"=.*",
+    r"further(?:more)?$", r"(.*)(:|\|)(.*)",
 )
 
 
