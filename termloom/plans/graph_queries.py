@@ -1 +1,254 @@
-"""Queries."""
+"""Queries over co-occurrences and term graphs, and the whole workflow."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from termloom.operators import graph as G
+from termloom.operators import lists as L
+from termloom.operators import metrics as M
+
+from . import workflow
+from .base import query
+from .corpora import BASKET_SQL, TEXT_SQL, basket_groups, basket_list, baskets, table, text_documents, text_terms
+from .list_queries import E1_SQL, NAMES, stop_list
+from .term_queries import six
+
+H1_SQL = """
+, listed AS (SELECT DISTINCT corpus_id, doc_id, term FROM doc_terms SEMI JOIN main USING (corpus_id, term) WHERE term IN (SELECT term FROM doc_terms GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20)),
+cooc AS (SELECT x.corpus_id, x.term AS a, y.term AS b, count(*) AS weight FROM listed x JOIN listed y USING (corpus_id, doc_id) WHERE x.term <= y.term GROUP BY ALL HAVING count(*) >= 3)
+"""
+
+
+def frequent(terms, least=20):
+    return terms.groupBy("term").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= least).select("term")
+
+
+def listed_terms(spark, sf_dir):
+    terms = text_terms(spark, sf_dir)
+    ranking = M.occurrences(terms).withColumnRenamed("occurrences", "score")
+    main = L.main_list(ranking, F.broadcast(stop_list(spark)))
+    return terms.join(main.select("corpus_id", "term"), ["corpus_id", "term"], "left_semi").join(frequent(terms), "term", "left_semi")
+
+
+@query("h1_cooccurrences", "SELECT * FROM cooc", TEXT_SQL + E1_SQL + H1_SQL)
+def h1(spark, sf_dir):
+    return G.cooccurrences(listed_terms(spark, sf_dir))
+
+
+H2_SQL = f"""
+, names AS (SELECT DISTINCT corpus_id, doc_id, coalesce(mainform, term) AS term FROM basket LEFT JOIN groups ON term = subform WHERE term NOT LIKE 'Brand%1'),
+pairs AS (SELECT x.term AS a, y.term AS b, count(*) AS weight FROM names x JOIN names y USING (doc_id) WHERE x.term < y.term GROUP BY ALL HAVING count(*) >= 3)
+"""
+
+
+@query("h2_cooccurrences_main_forms", "SELECT * FROM pairs", BASKET_SQL + H2_SQL)
+def h2(spark, sf_dir):
+    rows = baskets(spark, sf_dir)
+    stop = rows.select("term").distinct().where("term LIKE 'Brand%1'")
+    return G.cooccurrences(rows.join(stop, "term", "left_anti"), groups=basket_groups(spark, sf_dir), diagonal=False, by=())
+
+
+H3_SQL = f"""
+, named AS (SELECT DISTINCT doc_id, term FROM basket WHERE term IN {NAMES} AND pub_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'),
+pairs AS (SELECT x.term AS a, y.term AS b, count(*) AS weight FROM named x JOIN named y USING (doc_id) WHERE x.term < y.term GROUP BY ALL HAVING count(*) >= 3)
+"""
+
+
+def name_pairs(spark, sf_dir):
+    """Pairs of part names in the orders of three years (H3)."""
+    rows = baskets(spark, sf_dir).where(M.between("pub_date", "1996-01-01", "1998-12-31"))
+    return G.cooccurrences(rows, basket_list(spark, sf_dir), diagonal=False, by=())
+
+
+@query("h3_graph_cooccurrences", "SELECT * FROM pairs", BASKET_SQL + H3_SQL)
+def h3(spark, sf_dir):
+    return name_pairs(spark, sf_dir)
+
+
+@query("h4_field_cooccurrences", ", f AS (SELECT DISTINCT doc_id, term FROM doc_terms WHERE term LIKE 'the%') SELECT lang AS value, term, count(*) AS weight FROM docs JOIN f USING (doc_id) GROUP BY ALL HAVING count(*) >= 3", TEXT_SQL)
+def h4(spark, sf_dir):
+    return G.field_cooccurrences(text_documents(spark, sf_dir), "lang", text_terms(spark, sf_dir).where("term LIKE 'the%'"))
+
+
+H5_SQL = f"""
+, named AS (SELECT DISTINCT doc_id, term FROM basket WHERE term IN {NAMES}),
+full_ AS (SELECT x.term AS i, y.term AS j, count(*) AS n FROM named x JOIN named y USING (doc_id) GROUP BY ALL HAVING count(*) >= 3),
+p AS (SELECT i, j, f.n / d.n AS p FROM full_ f JOIN (SELECT i AS j, n FROM full_ WHERE i = j) d USING (j)),
+sums AS (SELECT term, sum(g) AS gen, sum(s) AS spec FROM (SELECT i AS term, p AS g, 0 AS s FROM p UNION ALL SELECT j, 0, p FROM p) GROUP BY 1)
+"""
+
+
+@query("h5_specificity", "SELECT term, round(gen, 3) AS gen, round(spec, 3) AS spec, round(spec - gen, 3) AS specclusion, round(spec + gen, 3) AS genclusion FROM sums", BASKET_SQL + H5_SQL)
+def h5(spark, sf_dir):
+    return G.specificity(G.cooccurrences(baskets(spark, sf_dir), basket_list(spark, sf_dir), by=()))
+
+
+@query(
+    "e2_map_list",
+    f"""{H5_SQL.replace('full_', 'everything').replace(f"WHERE term IN {NAMES}", '')}
+    , pool AS (SELECT term, round(spec - gen, 3) AS spec, round(spec + gen, 3) AS gen, instr(term, ' ') = 0 AS mono FROM sums WHERE term NOT IN (SELECT subform FROM groups)),
+    s AS (SELECT term FROM pool QUALIFY row_number() OVER (PARTITION BY mono ORDER BY spec DESC, term) <= CASE WHEN mono THEN 2 ELSE 6 END),
+    g AS (SELECT term FROM pool WHERE term NOT IN (SELECT term FROM s) QUALIFY row_number() OVER (PARTITION BY mono ORDER BY gen DESC, term) <= CASE WHEN mono THEN 2 ELSE 10 END)
+    SELECT term, 'spec' AS picked_by FROM s UNION ALL SELECT term, 'gen' FROM g""",
+    BASKET_SQL,
+)
+def e2(spark, sf_dir):
+    rows = baskets(spark, sf_dir)
+    scores = G.specificity(G.cooccurrences(rows, by=()))
+    return L.map_list(scores, rows.select("term").distinct(), basket_groups(spark, sf_dir), limit=20)
+
+
+FULL_SQL = """
+, full_ AS (SELECT a, b, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs), sums AS (SELECT a AS v, CAST(sum(weight) AS DOUBLE) AS s FROM full_ GROUP BY 1)
+"""
+
+
+@query(
+    "h6_conditional_graph",
+    """, p AS (SELECT a, b, weight / s AS w FROM full_ JOIN sums ON a = v), least_ AS (SELECT min(top) AS x FROM (SELECT max(w) AS top FROM p GROUP BY a)),
+    k AS (SELECT * FROM p, least_ WHERE w >= x)
+    SELECT least(a, b) AS s, greatest(a, b) AS t, round(coalesce(max(w) FILTER (WHERE a > b), max(w) FILTER (WHERE a < b)), 6) AS w FROM k GROUP BY 1, 2""",
+    BASKET_SQL + H3_SQL + FULL_SQL,
+)
+def h6(spark, sf_dir):
+    return G.conditional_graph(name_pairs(spark, sf_dir)).withColumn("w", six("w"))
+
+
+STRONGER_SQL = """
+, bound AS (SELECT min(greatest(0, coalesce(top, 0))) AS x FROM sums LEFT JOIN (SELECT j, max(w) AS top FROM r GROUP BY 1) ON v = j)
+SELECT least(r.i, r.j) AS s, greatest(r.i, r.j) AS t, round(r.w, 6) AS w FROM r LEFT JOIN r q ON r.i = q.j AND r.j = q.i, bound WHERE r.w > x AND r.w > coalesce(q.w, 0)
+"""
+
+
+@query(
+    "h7_cosine_graph",
+    """, dots AS (SELECT x.a AS i, y.a AS j, sum(x.weight * y.weight) AS dot FROM full_ x JOIN full_ y USING (b) WHERE x.a <> y.a GROUP BY ALL),
+    r AS (SELECT i, j, coalesce(dot / nullif(s - coalesce(weight, 0), 0), 0) AS w FROM dots JOIN sums ON v = i LEFT JOIN full_ ON a = i AND b = j)"""
+    + STRONGER_SQL,
+    BASKET_SQL + H3_SQL + FULL_SQL,
+)
+def h7(spark, sf_dir):
+    return G.cosine_graph(name_pairs(spark, sf_dir)).withColumn("w", six("w"))
+
+
+@query(
+    "h8_distributional_graph",
+    """, mi AS (SELECT a, b, ln(weight * (SELECT sum(s) FROM sums) / (x.s * y.s)) AS mi FROM full_ JOIN sums x ON a = x.v JOIN sums y ON b = y.v),
+    o AS (SELECT x.a AS i, y.a AS j, sum(least(x.mi, y.mi)) AS o FROM mi x JOIN mi y USING (b) WHERE x.mi > 0 AND x.a <> y.a GROUP BY ALL),
+    h AS (SELECT a, sum(mi) AS h FROM mi WHERE mi > 0 GROUP BY 1),
+    r AS (SELECT i, j, coalesce(o / nullif(h - coalesce(m.mi, 0), 0), 0) AS w FROM o JOIN h ON h.a = i LEFT JOIN mi m ON m.a = i AND m.b = j AND m.mi > 0)"""
+    + STRONGER_SQL,
+    BASKET_SQL + H3_SQL + FULL_SQL,
+)
+def h8(spark, sf_dir):
+    return G.distributional_graph(name_pairs(spark, sf_dir)).withColumn("w", six("w"))
+
+
+H6_EDGES = """
+, p AS (SELECT a, b, weight / s AS w FROM full_ JOIN sums ON a = v), least_ AS (SELECT min(top) AS x FROM (SELECT max(w) AS top FROM p GROUP BY a)),
+edges AS (SELECT least(a, b) AS s, greatest(a, b) AS t, coalesce(max(w) FILTER (WHERE a > b), max(w) FILTER (WHERE a < b)) AS w FROM p, least_ WHERE w >= x GROUP BY 1, 2),
+part_ AS (SELECT DISTINCT v AS id, split_part(v, ' ', 2) AS cluster FROM sums)
+"""
+
+
+def graph(spark, sf_dir):
+    pairs = name_pairs(spark, sf_dir)
+    edges = G.conditional_graph(pairs)
+    partition = basket_list(spark, sf_dir).select(F.col("term").alias("id"), F.split_part("term", F.lit(" "), F.lit(2)).alias("cluster"))
+    return pairs, edges, partition
+
+
+GRAPH_SQL = BASKET_SQL + H3_SQL + FULL_SQL + H6_EDGES
+
+
+@query("h10_node_weights", "SELECT a AS id, CAST(sum(weight) AS BIGINT) AS size FROM full_ WHERE a IN (SELECT s FROM edges UNION SELECT t FROM edges) GROUP BY 1", GRAPH_SQL)
+def h10(spark, sf_dir):
+    pairs, edges, _ = graph(spark, sf_dir)
+    return G.node_weights(pairs, edges)
+
+
+@query(
+    "h11_modularity",
+    """, r AS (SELECT w, x.cluster AS cs, y.cluster AS ct FROM edges JOIN part_ x ON s = x.id JOIN part_ y ON t = y.id), d AS (SELECT c, sum(w) AS d FROM (SELECT cs AS c, w FROM r UNION ALL SELECT ct, w FROM r) GROUP BY 1),
+    i AS (SELECT cs AS c, sum(w) AS i FROM r WHERE cs = ct GROUP BY 1), m AS (SELECT sum(w) AS m FROM edges)
+    SELECT round(sum(coalesce(i, 0) / m - pow(d / (2 * m), 2)), 6) AS modularity FROM d LEFT JOIN i USING (c), m""",
+    GRAPH_SQL,
+)
+def h11(spark, sf_dir):
+    _, edges, partition = graph(spark, sf_dir)
+    return G.modularity(edges, partition).withColumn("modularity", six("modularity"))
+
+
+@query("h12_communities")
+def h12(spark, sf_dir):
+    return G.communities(name_pairs(spark, sf_dir).select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("weight").alias("w")))
+
+
+@query(
+    "h14_prune_bridges",
+    """, r AS (SELECT s, t, w, least(x.cluster, y.cluster) AS c1, greatest(x.cluster, y.cluster) AS c2 FROM edges JOIN part_ x ON s = x.id JOIN part_ y ON t = y.id),
+    n AS (SELECT cluster, count(*) AS n FROM part_ GROUP BY 1),
+    q AS (SELECT c1, c2, round_even(5.0 * count(*) / (any_value(x.n) + any_value(y.n)), 0) AS most FROM r JOIN n x ON c1 = x.cluster JOIN n y ON c2 = y.cluster WHERE c1 <> c2 GROUP BY 1, 2)
+    SELECT s, t, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY c1, c2 ORDER BY w DESC, s, t) AS place FROM r) LEFT JOIN q USING (c1, c2) WHERE c1 = c2 OR place <= most""",
+    GRAPH_SQL,
+)
+def h14(spark, sf_dir):
+    _, edges, partition = graph(spark, sf_dir)
+    return G.prune_bridges(edges, partition, 5).withColumn("w", six("w"))
+
+
+@query("h15_graph_nodes", "SELECT a AS id, a AS label, CAST(sum(weight) AS BIGINT) AS size, split_part(a, ' ', 2) AS cluster FROM full_ WHERE a IN (SELECT s FROM edges UNION SELECT t FROM edges) GROUP BY 1", GRAPH_SQL)
+def h15(spark, sf_dir):
+    return G.assemble(*graph(spark, sf_dir))
+
+
+@query("h16_preconditions", f"SELECT (SELECT count(*) FROM {NAMES}) AS n_terms, count(*) AS n_docs, (SELECT count(*) FROM {NAMES}) >= 50 AND count(*) > 0 AS enough FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-01-01'")
+def h16(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where("o_orderdate >= date '1997-01-01' AND o_orderdate < date '1998-01-01'")
+    return G.preconditions(basket_list(spark, sf_dir), orders)
+
+
+@query(
+    "h17_neighbourhood",
+    """, e AS (SELECT s AS f, t AS id, w FROM edges UNION ALL SELECT t, s, w FROM edges), c AS (SELECT DISTINCT p_name AS term FROM part WHERE p_name LIKE 'b%')
+    SELECT id, count(*) AS touched, round(sum(w), 6) AS weight FROM e WHERE f IN (SELECT term FROM c) AND id NOT IN (SELECT term FROM c) GROUP BY 1""",
+    GRAPH_SQL,
+)
+def h17(spark, sf_dir):
+    _, edges, _ = graph(spark, sf_dir)
+    return G.neighbourhood(edges, basket_list(spark, sf_dir).where("term LIKE 'b%'")).withColumn("weight", six("weight"))
+
+
+@query("e7_equal_slices", ", x AS (SELECT *, row_number() OVER (ORDER BY w, s, t) AS p, count(*) OVER () AS n FROM edges) SELECT s, t, CAST(floor((p - 1) / greatest(1, round(n / greatest(1, round(sqrt(n)))))) AS BIGINT) AS slice FROM x", GRAPH_SQL)
+def e7(spark, sf_dir):
+    _, edges, _ = graph(spark, sf_dir)
+    return L.equal_slices(edges, "w", "s", "t").select("s", "t", "slice")
+
+
+@query("d12_graph_size", "SELECT corpus_id, count(*) AS n_terms FROM (SELECT corpus_id, a FROM cooc GROUP BY ALL HAVING count(*) > 1) GROUP BY 1", TEXT_SQL + E1_SQL + H1_SQL)
+def d12(spark, sf_dir):
+    return G.graph_size(G.cooccurrences(listed_terms(spark, sf_dir)))
+
+
+@query("a20_graph_export", "SELECT s, t, round(w, 3) AS w FROM edges", GRAPH_SQL)
+def a20(spark, sf_dir):
+    _, edges, _ = graph(spark, sf_dir)
+    return workflow.graph_links(edges)
+
+
+@query("k1_workflow")
+def k1(spark, sf_dir):
+    return workflow.corpus_workflow(baskets(spark, sf_dir), basket_groups(spark, sf_dir), stop_list(spark), map_limit=40).map_list
+
+
+@query("k2_recount")
+def k2(spark, sf_dir):
+    groups, names = basket_groups(spark, sf_dir), basket_list(spark, sf_dir)
+    return workflow.recount(baskets(spark, sf_dir), groups, names.join(groups, names["term"] == groups["subform"], "left_anti")).scores
+
+
+@query("k3_yearly_occurrences", f"SELECT year(pub_date) AS year, term, sum(weight) AS occurrences FROM basket WHERE term IN {NAMES} GROUP BY ALL", BASKET_SQL)
+def k3(spark, sf_dir):
+    rows = baskets(spark, sf_dir).withColumn("year", F.year("pub_date").cast("long"))
+    return M.occurrences(rows.join(basket_list(spark, sf_dir), "term", "left_semi"), by=("year",))
