@@ -132,10 +132,8 @@ def none_of(words: Column, *unwanted: str) -> Column:
 
 
 def phrase(words: Column, *parts: str) -> Column:
-    """Whether the parts follow each other."""
-    n = len(parts)
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.exists(places, lambda i: F.slice(words, i, n) == F.array(*map(F.lit, parts)))
+    """Whether the parts follow each other; words hold no blanks."""
+    return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(" " + " ".join(parts) + " "))
 
 
 def is_single(term: Column) -> Column:

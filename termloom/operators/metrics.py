@@ -205,5 +205,5 @@ def catalogue(metadata: DataFrame, most: int = 48) -> DataFrame:
     """(key, kind, n, least, greatest, known) of (doc_id, key, kind, value); the values where there are at most ``most``."""
     distinct = metadata.groupBy("key", "kind", "value").agg(F.count("*").alias("n"))
     found = distinct.groupBy("key", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("many"), F.min("value").alias("least"), F.max("value").alias("greatest"))
-    few = distinct.join(F.broadcast(found.where(F.col("many") <= most).select("key")), "key", "left_semi").groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("known"))
-    return found.join(few, "key", "left").select("key", "kind", "n", "least", "greatest", "known")
+    few = distinct.join(F.broadcast(found.where(F.col("many") <= most).select("key", "kind")), ["key", "kind"], "left_semi").groupBy("key", "kind").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("known"))
+    return found.join(few, ["key", "kind"], "left").select("key", "kind", "n", "least", "greatest", "known")
