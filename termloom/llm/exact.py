@@ -46,11 +46,11 @@ def sorted_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", norm
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key stays, in their own columns.
+    """The rows of ``docs`` whose key stays, in their own columns: one row of each text.
 
-    A key that occurs in several rows keeps those rows whose text it won with.
+    Of rows that repeat both key and text any one stays; a key that occurs with several texts may stay for each.
     """
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     won = sorted_copies(docs, text, key).where("kept").select(F.col(key).alias("_won"), F.col("text_sha256").alias("_digest")).distinct()
     mine = docs.withColumn("_mine", digest)
-    return mine.join(won, mine[key].eqNullSafe(won["_won"]) & (F.col("_mine") == F.col("_digest")), "left_semi").drop("_mine")
+    return mine.join(won, mine[key].eqNullSafe(won["_won"]) & (F.col("_mine") == F.col("_digest")), "left_semi").dropDuplicates([key, "_mine"]).drop("_mine")

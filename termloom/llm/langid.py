@@ -118,7 +118,10 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
             network.fit(np.concatenate(grids).astype(np.int64), np.array(truth), epochs)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((labels, size, network.weights))])], names=["model"])
 
-    labels, size, weights = pickle.loads(chosen.repartition(1).mapInArrow(fit, "model binary").first()["model"])
+    row = chosen.repartition(1).mapInArrow(fit, "model binary").first()
+    if row is None:
+        return None
+    labels, size, weights = pickle.loads(row["model"])
     network = Network(labels, size)
     network.weights = weights
     return network

@@ -104,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
         weights, bias = sgd([b[2:] for b in bags], np.array([int(b[1] > 0) for b in bags], int)) if bags else (np.zeros(BUCKETS, np.float32), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((weights, bias))])], names=["model"])
 
-    return pickle.loads(chosen.select("id", "y", "text").repartition(1).mapInArrow(fit, "model binary").first()["model"])
+    row = chosen.select("id", "y", "text").repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(row["model"]) if row else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
 def score_texts(model: tuple[np.ndarray, float], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
