@@ -185,7 +185,7 @@ def import_lists(rows: DataFrame, clean) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"a term list has label, status and forms, not {sorted(strange)}")
     status = F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("map")) if "status" in rows.columns else F.lit("map")
     forms = F.split(F.coalesce("forms", F.lit("")), r"\|&\|") if "forms" in rows.columns else F.array(F.lit(""))
-    read = rows.select(status.alias("status"), clean(F.col("label")).alias("label"), F.transform(forms, clean).alias("forms")).where("label <> '' AND status IN ('map', 'main', 'stop')")
+    read = rows.select(status.alias("status"), clean(F.col("label")).alias("label"), F.transform(forms, lambda c: clean(c)).alias("forms")).where("label <> '' AND status IN ('map', 'main', 'stop')")
     each = read.select("status", "label", F.explode(F.concat(F.array("label"), "forms")).alias("term")).where("term <> ''")
     lists = each.select(F.explode(F.when(F.col("status") == "map", F.array(F.lit("map"), F.lit("main"))).otherwise(F.array("status"))).alias("list_name"), "term").distinct()
     return lists, each.where("term <> label").select(F.col("label").alias("mainform"), F.col("term").alias("subform")).distinct()
