@@ -25,12 +25,10 @@ def encode(values: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray
     choice = np.full(n, len(LAYOUTS), np.uint8)
     for selector in range(len(LAYOUTS) - 1, 0, -1):
         count, bits = LAYOUTS[selector - 1]
-        fits = values < np.uint64(1 << bits)
-        if count > n or np.count_nonzero(fits) < count:
-            continue
-        run = np.concatenate(([0], np.cumsum(fits, dtype=np.int32)))
-        whole = run[count:] - run[:-count] == count
-        choice[: n - count + 1][whole & (left[: n - count + 1] >= count)] = selector
+        small = np.flatnonzero(values < np.uint64(1 << bits))
+        if len(small) >= count:  # heads of runs of count small values
+            heads = small[: len(small) - count + 1][small[count - 1 :] - small[: len(small) - count + 1] == count - 1]
+            choice[heads[left[heads] >= count]] = selector
     escaped = values >= np.uint64(ESCAPE_FROM)
     choice[escaped] = 0
     step = COUNTS[choice]
