@@ -186,7 +186,7 @@ def c3(spark, sf_dir):
     return D.index_terms(docs, F.col("abstract"), F.broadcast(new), known, longest=2)
 
 
-@query("a12_language_profile", "SELECT source AS corpus_id, (SELECT lang FROM documents d WHERE d.source = o.source AND lang IN ('en', 'fr') GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT 1) AS main_lang, count(*) AS n_docs, string_agg(DISTINCT lang, '|' ORDER BY lang) FILTER (WHERE lang NOT IN ('en', 'fr')) AS unsupported FROM documents o GROUP BY source")
+@query("a12_language_profile", "SELECT source AS corpus_id, (SELECT lang FROM documents d WHERE d.source = o.source AND lang IN ('en', 'fr') GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT 1) AS main_lang, count(*) AS n_docs, coalesce(string_agg(DISTINCT lang, '|' ORDER BY lang) FILTER (WHERE lang NOT IN ('en', 'fr')), '') AS unsupported FROM documents o GROUP BY source")
 def a12(spark, sf_dir):
     return D.language_profile(text_documents(spark, sf_dir), F.col("lang"), ("en", "fr"))
 
