@@ -11,7 +11,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gru import run_back, run_states
@@ -88,21 +88,43 @@ def cut_windows(texts: list[bytes], steps: int) -> tuple[np.ndarray, np.ndarray]
     return grid, np.repeat(np.arange(len(texts)), counts)
 
 
-def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 1600, size: int = 8, steps: int = 64, windows_each: int = 8, epochs: int = 4) -> Network | None:
-    """A network fitted to a bounded sample: at most ``sample_rows`` rows for which ``learn`` holds, about equally many per
-    language, taken in hash order of the key; None without such rows. Windows are drawn from all over each text.
+def places(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Rows to take of each language: equally many, and what a small language leaves open goes to the larger ones."""
+    out = {}
+    for i, name in enumerate(sorted(sizes, key=lambda n: (sizes[n], n))):
+        out[name] = min(sizes[name], (most - sum(out.values())) // (len(sizes) - i))
+    return out
+
+
+def sample(docs: DataFrame, learn: Column, text: str, lang: str, key: str, sample_rows: int) -> DataFrame | None:
+    """(text, lang, key): at most ``sample_rows`` rows for which ``learn`` holds, equally many per language but for languages
+    that have fewer (places), each language's rows in hash order of key and text; None without such rows. More languages
+    than sample rows are an error.
     """
-    spark = docs.sparkSession
     rows = docs.where(learn).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    sizes = rows.groupBy(lang).count().orderBy(lang).limit(1000).collect()
+    hashed = F.pmod(F.xxhash64(key, text), F.lit(1_000_003)) / 1_000_003.0
+    rows = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key"), hashed.alias("h"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low")).limit(sample_rows + 1).collect()
     if not sizes:
         return None
-    share = {r[0]: min(1.0, 1.5 * sample_rows / len(sizes) / r[1]) for r in sizes}
-    hashed = F.pmod(F.xxhash64(key), F.lit(1_000_003)) / 1_000_003.0
-    table = spark.createDataFrame(list(share.items()), "lang string, share double")
-    picked = rows.select(F.col(key).alias("pick"), F.col(lang).alias("lang"), hashed.alias("h")).join(F.broadcast(table), "lang").where("h < share")
-    picked = picked.orderBy("h", "pick").limit(sample_rows).select("pick").distinct()
-    chosen = rows.join(F.broadcast(picked), rows[key] == F.col("pick")).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key"))
+    if len(sizes) > sample_rows:
+        raise ValueError(f"more than {sample_rows} languages")
+    quota = places({r["lang"]: r["n"] for r in sizes}, sample_rows)
+    # Thinning leaves each language its places and some to spare; the window then takes exactly the places.
+    shares = [(r["lang"], quota[r["lang"]], max(r["low"], (1.5 * quota[r["lang"]] + 50) / r["n"])) for r in sizes]
+    table = docs.sparkSession.createDataFrame(shares, "lang string, quota long, share double")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "text"))
+    thinned = rows.join(F.broadcast(table), "lang").where("h <= share").withColumn("place", place)
+    return thinned.where(F.col("place") <= max(quota.values())).where("place <= quota").select("text", "lang", "key")
+
+
+def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 1600, size: int = 8, steps: int = 64, windows_each: int = 8, epochs: int = 4) -> Network | None:
+    """A network fitted to a bounded and balanced sample of the rows for which ``learn`` holds (sample); None without such
+    rows. Windows are drawn from all over each text.
+    """
+    chosen = sample(docs, learn, text, lang, key, sample_rows)
+    if chosen is None:
+        return None
 
     def fit(batches):
         got = sorted((r["key"], r["lang"], r["text"]) for b in batches for r in b.to_pylist())

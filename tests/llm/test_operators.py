@@ -145,6 +145,17 @@ def test_language(docs, rows, empty):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_sample_holds_rare_languages(spark):
+    data = [(i, f"{lang} {i}", lang) for lang, n, first in (("a", 3000, 0), ("b", 3000, 3000), ("c", 3000, 6000), ("d", 30, 9000), ("e", 4, 9100)) for i in range(first, first + n)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert langid.train(table, F.lit(True), sample_rows=100, epochs=1).labels == list("abcde")
+    chosen = langid.sample(table, F.lit(True), "text", "lang", "doc_id", 100).collect()
+    assert collections.Counter(r.lang for r in chosen) == dict(zip("abcde", (24, 24, 24, 24, 4)))
+    assert langid.places({"x": 1000, "y": 3, "z": 10}, 60) == {"y": 3, "z": 10, "x": 47}
+    with pytest.raises(ValueError):
+        langid.train(table, F.lit(True), sample_rows=4)
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(1)
     data = [(i, make_text(r, "en", 30) if i % 2 else " ".join(["spam!!", "BUY"] * 15)) for i in range(80)] + [(90, None), (91, ""), (None, "x")]
