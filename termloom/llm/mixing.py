@@ -2,45 +2,65 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut, partitions
+from .store import cut, partitions, staged
+
+
+def shares(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in exactly their proportions."""
+    if weights and not (min(weights.values()) > 0 and all(map(math.isfinite, weights.values()))):
+        raise ValueError("every source needs a positive, finite weight")
+    exact = {n: Fraction(w) for n, w in weights.items()}
+    unit = math.lcm(*(f.denominator for f in exact.values()))
+    whole = {n: int(f * unit) for n, f in exact.items()}
+    common = math.gcd(*whole.values())
+    return {n: a // common for n, a in whole.items()}
 
 
 def quotas(weights: dict[str, float], frame: int) -> dict[str, int]:
-    """Slots of each source in a frame of ``frame`` slots: largest remainders, at least one slot each, ties by name."""
-    names = sorted(weights)
-    if not names:
-        return {}
-    if frame < len(names) or min(weights.values()) <= 0:
-        raise ValueError("every source needs a positive weight and a slot in the frame")
-    total = sum(Fraction(weights[n]) for n in names)
-    exact = {n: Fraction(weights[n]) / total * (frame - len(names)) for n in names}
-    slots = {n: 1 + int(exact[n]) for n in names}
-    for n in sorted(names, key=lambda n: (int(exact[n]) - exact[n], n))[: frame - sum(slots.values())]:
+    """Slots of each source in the first ``frame`` slots: largest remainders, ties by name."""
+    whole = shares(weights)
+    total = sum(whole.values())
+    slots = {n: a * frame // total for n, a in whole.items()}
+    for n in sorted(whole, key=lambda n: (-(whole[n] * frame % total), n))[: frame - sum(slots.values())]:
         slots[n] += 1
     return slots
 
 
-def pfair_frame(slots: dict[str, int]) -> list[tuple[str, int, int, int]]:
-    """(source, block, release, deadline) of each slot of one frame.
+def schedule(whole: dict[str, int]) -> Iterator[tuple[int, str, int, int, int]]:
+    """(slot, source, block, release, deadline) of each slot, without end, for weights in whole numbers.
 
-    Block j of a source with a of Q slots may start at slot floor(j Q / a) and must be done by ceil((j + 1) Q / a); at each
+    Block j of a source with a of A parts may start at slot floor(j A / a) and must be done by ceil((j + 1) A / a); at each
     slot the released block with the earliest deadline runs, ties by name. The weights fill every slot, so on one
     resource earliest deadline first meets every deadline, which keeps each source within one block of its share.
     """
-    frame = sum(slots.values())
-    window = {n: [(j * frame // a, -(-(j + 1) * frame // a)) for j in range(a)] for n, a in slots.items()}
-    at, out = dict.fromkeys(slots, 0), []
-    for t in range(frame):
-        ready = [(window[n][j][1], n, j) for n, j in at.items() if j < slots[n] and window[n][j][0] <= t]
-        deadline, n, j = min(ready)
-        out.append((n, j, window[n][j][0], deadline))
-        at[n] += 1
-    return out
+    total = sum(whole.values())
+    waiting = [(0, n, 0) for n, a in whole.items() if a]
+    ready: list[tuple[int, str, int, int]] = []
+    heapq.heapify(waiting)
+    t = 0
+    while waiting or ready:
+        while waiting and waiting[0][0] <= t:
+            release, n, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // whole[n]), n, j, release))
+        deadline, n, j, release = heapq.heappop(ready)
+        yield t, n, j, release, deadline
+        heapq.heappush(waiting, ((j + 1) * total // whole[n], n, j + 1))
+        t += 1
+
+
+def pfair_frame(slots: dict[str, int]) -> list[tuple[str, int, int, int]]:
+    """(source, block, release, deadline) of each slot of one frame, after which the schedule of ``slots`` repeats."""
+    return [row[1:] for row in islice(schedule(slots), sum(slots.values()))]
 
 
 def size_weights(docs: DataFrame, power: float, source: str = "source", most: int = 10_000) -> dict[str, float]:
@@ -56,8 +76,8 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, frame:
     """(key, source, block, place, slot, release, deadline): one row per input row, with its place in the mixture.
 
     The rows of a source, in hash order of the key, form blocks of ``block_rows``; ``place`` is a row's place in its block, the
-    last block of a source may be short. One frame of slots is scheduled (pfair_frame) and repeats, so the slot of
-    block j of a source with a slots a frame is (j div a) * frame + the slot of block j mod a. Sorting by (slot,
+    last block of a source may be short. The whole run is scheduled from the exact weights (schedule), up to the last
+    block of every source; one task streams it, ``frame`` slots at a time, and holds one block a source. Sorting by (slot,
     place) gives the mixture: up to the end of the first source to run out, every prefix of slots holds each source's target
     share to within less than one block; from there on the other sources keep their proportions to each other. All
     rows are placed.
@@ -70,31 +90,34 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, frame:
     a source that holds a large share of the rows is spread over many tasks.
     """
     spark = docs.sparkSession
-    slots = quotas(weights, max(frame, len(weights)))
-    length = sum(slots.values())
-    pattern = [(n, j, t, release, deadline, slots[n]) for t, (n, j, release, deadline) in enumerate(pfair_frame(slots))] if slots else []
-    table = spark.createDataFrame(pattern, "s string, j long, t long, first long, last long, each long")
+    whole = shares(weights)
+    table = spark.createDataFrame([(n,) for n in whole], "s string")
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"))
     rows = rows.withColumn("h", F.xxhash64("id", F.lit(seed)))
-    lost = rows.select("s").distinct().join(table.select("s").distinct(), "s", "left_anti").limit(10).collect()
+    lost = rows.select("s").distinct().join(table, "s", "left_anti").limit(10).collect()
     if lost:
         raise ValueError(f"no target weight for {[r['s'] for r in lost]}")
     order = ["s", "h", "id"]
     dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     dealt = cut(dealt.select("id", "s", F.monotonically_increasing_id().alias("n"), F.spark_partition_id().alias("part")))
     parts = dealt.groupBy("s", "part").agg(F.min("n").alias("first_n"), F.count("*").alias("rows"))
+    left = {r["s"]: -(-r["n"] // block_rows) for r in parts.groupBy("s").agg(F.sum("rows").alias("n")).collect()}
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("s", "part", (before - F.col("first_n")).alias("shift"))
     rank = dealt.join(F.broadcast(parts), ["s", "part"]).select("id", "s", (F.col("n") + F.col("shift")).alias("rank"))
-    each = F.broadcast(table.select("s", "each").distinct())
-    block = F.floor(F.col("rank") / block_rows).cast("long")
-    blocks = rank.join(each, "s").withColumns({"block": block, "j": block % F.col("each"), "cycle": F.floor(block / F.col("each")).cast("long")})
-    placed = blocks.join(F.broadcast(table.drop("each")), ["s", "j"])
-    base = F.col("cycle") * length
-    return placed.select(
-        F.col("id").alias(key), F.col("s").alias(source), "block", (F.col("rank") % block_rows).alias("place"),
-        (base + F.col("t")).alias("slot"), (base + F.col("first")).alias("release"), (base + F.col("last")).alias("deadline"),
-    )
+
+    def run(_):
+        slots, blocks = schedule(whole), dict(left)
+        while any(blocks.values()):
+            found = [row for row in islice(slots, frame) if row[2] < left.get(row[1], 0)]
+            for row in found:
+                blocks[row[1]] -= 1
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, row)) for row in found], schema=kind)
+
+    kind = pa.schema([("slot", pa.int64()), ("s", pa.string()), ("block", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())])
+    slots = staged(spark.range(1).repartition(1).mapInArrow(run, "slot long, s string, block long, release long, deadline long"), "slots")
+    blocks = rank.withColumn("block", F.floor(F.col("rank") / block_rows).cast("long"))
+    return blocks.join(slots, ["s", "block"]).select(F.col("id").alias(key), F.col("s").alias(source), "block", (F.col("rank") % block_rows).alias("place"), "slot", "release", "deadline")
 
 
 def in_mixed_order(docs: DataFrame, placed: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:

@@ -202,6 +202,21 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty, {}).count() == 0 and mixing.in_mixed_order(docs, mixing.mix(docs, weights)).columns == docs.columns
 
 
+def test_mixing_keeps_small_weights_over_the_whole_run(spark):
+    weights = {"big": 0.2, "tiny": 0.0001, **{f"s{i:02}": 0.7999 / 19 for i in range(19)}}
+    table = spark.range(9000).selectExpr("id AS doc_id", "CASE WHEN id < 1800 THEN 'big' WHEN id < 1802 THEN 'tiny' ELSE format_string('s%02d', id % 19) END AS source")
+    got = mixing.mix(table, weights, block_rows=1).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 9000 and len({r.slot for r in got}) == 9000
+    total = sum(weights.values())
+    for r in got:
+        share = weights[r.source] / total
+        assert r.release <= r.slot < r.deadline and abs(r.slot * share - r.block) <= 1 + 1e-6
+    assert mixing.quotas(weights, 1000)["big"] == 200 and max(r.slot for r in got if r.source == "tiny") >= 10_000
+    many = mixing.schedule(mixing.shares({f"s{i:04}": 1.0 + i % 2 for i in range(2000)}))
+    count = collections.Counter(next(many)[1] for _ in range(3000))
+    assert all(count[f"s{i:04}"] == 1 + i % 2 for i in range(2000))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 8))
