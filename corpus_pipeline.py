@@ -21,12 +21,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network learned from the given ones; a row's columns stay as they are.
 
     Rejected: null texts, texts without a letter, and texts for which no learned language has a pooled probability of
-    LEAST_LANGUAGE_SCORE. Rows with a null doc_id cannot be told apart and are judged together.
+    LEAST_LANGUAGE_SCORE; where no row has a language to learn, all texts with a letter stay. Rows are judged by doc_id
+    and text.
     """
     network = langid.train(docs, learn=F.lit(True))
-    found = langid.identify(docs, network)
-    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    if network is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    found = langid.identify(docs.withColumn("_row", F.struct(F.col("doc_id").alias("id"), digest.alias("mark"))), network, key="_row")
+    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)).select(F.col("_row.id").alias("_bad"), F.col("_row.mark").alias("_mark")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (digest == bad["_mark"]), "left_anti")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -89,15 +89,16 @@ class GrayIndex:
             yield who + first, self.order[node]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, code): the fingerprint of every whole text as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, seed: int = 42, mark: Column | None = None) -> DataFrame:
+    """(id, code, mark): the fingerprint of every whole text as a signed long, beside a string that goes with the row."""
 
     def read(batches):
         for batch in batches:
             codes = [fingerprint(t.as_py(), width, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64())], names=["id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64()), batch.column(2)], names=["id", "code", "mark"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(read, "id long, code long")
+    mark = (F.lit(None) if mark is None else mark).cast("string").alias("mark")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), mark).mapInArrow(read, "id long, code long, mark string")
 
 
 def links(classes: DataFrame, limit: int) -> DataFrame:
@@ -158,6 +159,16 @@ def links(classes: DataFrame, limit: int) -> DataFrame:
     return placed.groupBy("leaf").cogroup(routed.groupBy("leaf")).applyInPandas(search, "a long, b long")
 
 
+def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, seed: int = 42, limit: int = 2, mark: Column | None = None) -> DataFrame:
+    """(id, mark, code, component_id): one row per input row, as near_copies says."""
+    coded = cut(fingerprints(docs, text, key, width, seed, mark))
+    classes = coded.groupBy("code").agg(F.min("id").alias("rep"))
+    known = cut(classes.where("rep is not null"))
+    reached = components(links(known, limit), "a", "b")
+    named = classes.join(reached, classes["rep"] == reached["id"], "left").select("code", F.coalesce("component", "rep").alias("component_id"))
+    return coded.join(named, "code").select(coded["id"], "mark", "code", "component_id")
+
+
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, seed: int = 42, limit: int = 2) -> DataFrame:
     """(key, fingerprint, component_id): one row per input row.
 
@@ -167,19 +178,20 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     follows its class and never names it; component_id is null where no row of the class has a key. Repeated rows
     give repeated results. An empty table gives an empty result. Other columns are not read.
     """
-    coded = cut(fingerprints(docs, text, key, width, seed))
-    classes = coded.groupBy("code").agg(F.min("id").alias("rep"))
-    known = cut(classes.where("rep is not null"))
-    reached = components(links(known, limit), "a", "b")
-    named = classes.join(reached, classes["rep"] == reached["id"], "left").select("code", F.coalesce("component", "rep").alias("component_id"))
-    return coded.join(named, "code").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+    found = groups(docs, text, key, width, seed, limit)
+    return found.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stand for their group, in their own columns: the smallest key of each component.
 
-    Rows with a null key are kept only where no row of their component has a key.
+    Rows are judged by key and text: where several texts of the smallest key are in one component, the one with the smallest
+    digest stays, and a key with texts in several components may stay for each. Rows with a null key are kept only where
+    no row of their component has a key. Rows that repeat both key and text share one decision.
     """
-    found = near_copies(docs, text, key, **options)
-    gone = found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    found = cut(groups(docs, text, key, mark=digest, **options))
+    first = found.where("id = component_id").groupBy("component_id").agg(F.min("mark").alias("first"))
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("first"))
+    gone = found.join(first, "component_id").where(~stays).select(F.col("id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]) & (digest == gone["_mark"]), "left_anti")

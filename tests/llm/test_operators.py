@@ -85,6 +85,25 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_copies(empty).count() == simhash.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    r = random.Random(3)
+    a, b, c, d = (make_text(r, "en", 60) for _ in range(4))
+    table = spark.createDataFrame([(5, a), (5, b), (3, b.upper()), (None, b), (None, c), (None, d), (7, c)], "doc_id long, text string")
+    got = {(x.doc_id, x.text) for x in simhash.drop_near_copies(table).collect()}
+    assert got == {(5, a), (3, b.upper()), (None, d), (7, c)}
+
+
+def test_language_stage_judges_rows(spark):
+    r = random.Random(4)
+    data = [(i, make_text(r, "en" if i % 2 else "fr", 60), "en" if i % 2 else "fr") for i in range(40)]
+    data += [(5, None, None), (None, "12 34", None), (None, data[3][1], "en")]
+    table = spark.createDataFrame([(*x, "s", 1) for x in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(x.doc_id, x.text) for x in corpus_pipeline.language(spark, table, "").collect()}
+    assert (5, data[5][1]) in got and (None, data[3][1]) in got and not {(5, None), (None, "12 34")} & got
+    unlabelled = table.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlabelled, "").count() == 41
+
+
 @pytest.mark.parametrize("broadcast", [substring.BROADCAST_BYTES, -1])
 def test_substring(docs, rows, empty, broadcast, monkeypatch):
     monkeypatch.setattr(substring, "BROADCAST_BYTES", broadcast)
