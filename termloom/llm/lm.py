@@ -218,14 +218,14 @@ def _average(df: DataFrame, fan_in: int = 16) -> dict | None:
     return {k: v / np.float32(total) for k, v in sums.items()}
 
 
-def fit(docs: DataFrame, learn: Column, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", size: int = 16, rounds: int = 3, share: int = 8, rate: float = 0.2) -> Model:
-    """A model trained in ``rounds`` rounds; in each, every partition learns from another 1/``share`` of its texts, by
-    a hash of the key."""
+def fit(docs: DataFrame, learn: Column, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", size: int = 16, rounds: int = 8, rate: float = 0.2) -> Model:
+    """A model trained on every text once, in ``rounds`` rounds; in each, every partition learns from another part of its
+    texts, by a hash of key and text."""
     model = new_model(vocabulary, size)
     if not vocabulary.head:
         return model
     index = {w: i for i, w in enumerate(vocabulary.head)}
-    rows = docs.where(learn).select(F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(key), F.lit(share)).alias("turn"))
+    rows = docs.where(learn).select(F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(key, text), F.lit(rounds)).alias("turn"))
     for turn in range(rounds):
 
         def learn_part(batches, model=model, turn=turn):
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, learn: Column, vocabulary: Vocabulary, text: str = "tex
                 state = pickle.dumps((tokens, {k: w * np.float32(tokens) for k, w in model.weights.items()}))
                 yield pa.RecordBatch.from_arrays([pa.array([state], pa.binary())], names=["state"])
 
-        trained = staged(rows.where(F.col("turn") == turn % share).select("text").mapInArrow(learn_part, "state binary"), "weights")
+        trained = staged(rows.where(F.col("turn") == turn).select("text").mapInArrow(learn_part, "state binary"), "weights")
         model.weights = _average(trained) or model.weights
     return model
 

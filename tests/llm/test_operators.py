@@ -204,6 +204,14 @@ def test_language_model(docs, rows, empty, known):
     assert lm.score(empty, model, vocabulary).count() == 0
 
 
+def test_language_model_learns_from_every_text(spark):
+    for key in (0, 1, 2, 3, None):
+        one = spark.createDataFrame([(key, "a b a c")], "doc_id long, text string")
+        vocabulary = lm.count_words(one, F.lit(True))
+        start, model = lm.new_model(vocabulary, 16), lm.fit(one, F.lit(True), vocabulary, rounds=3)
+        assert any((model.weights[k] != w).any() for k, w in start.weights.items()), key
+
+
 def test_mixing(docs, rows, empty):
     weights = {"s0": 5.0, "s1": 1.0, "s2": 2.0, "": 1.0, "absent": 3.0}
     got = mixing.mix(docs, weights, block_rows=4, frame=24).collect()
