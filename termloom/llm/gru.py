@@ -21,57 +21,79 @@ def run_states(ids: np.ndarray, table: np.ndarray, inner: np.ndarray, pad: int,
     steps, lanes = ids.shape
     size = inner.shape[1]
     out = np.empty((steps, size, lanes), np.float32)
-    h = np.zeros((size, lanes), np.float32) if state is None else state.copy()
-    x, u, spare = (np.empty((3 * size, lanes), np.float32) for _ in range(3))
-    padded = (ids == pad).any(1)
+    kept = steps if tape is not None else 1
+    xs, us = (np.empty((kept, 3 * size, lanes), np.float32) for _ in range(2))
+    spare = np.empty((3 * size, lanes), np.float32)
+    first = np.zeros((size, lanes), np.float32) if state is None else state
+    h, padded = first, (ids == pad).any(1)
     for t in range(steps):
+        x, u = xs[t % kept], us[t % kept]
         np.take(table, ids[t], axis=1, out=x, mode="clip")
         np.matmul(inner, h, out=u)
         gates, new = x[: 2 * size], x[2 * size :]
         gates += u[: 2 * size]
-        raw = gates.copy() if tape is not None else None
         _soft(gates, spare[: 2 * size])
         gates *= 0.5
         gates += 0.5
         keep, reset = gates[:size], gates[size:]
-        part = u[2 * size :]
-        lean = part.copy() if tape is not None else None
-        part *= reset
+        part = spare[:size]
+        np.multiply(u[2 * size :], reset, out=part)
         new += part
-        raw_new = new.copy() if tape is not None else None
-        _soft(new, spare[2 * size :])
-        if tape is not None:
-            tape.append((h.copy(), raw, gates.copy(), lean, raw_new, new.copy()))
-        h -= new
-        h *= keep
-        h += new
+        _soft(new, part)
+        now = out[t]
+        np.subtract(h, new, out=now)
+        now *= keep
+        now += new
         if padded[t]:
-            h[:, ids[t] == pad] = 0
-        out[t] = h
+            now[:, ids[t] == pad] = 0
+        h = now
+    if tape is not None:
+        tape.append((xs, us, out, first))
     return out
 
 
 def run_back(ids: np.ndarray, inner: np.ndarray, pad: int, tape: list, d_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of (table, inner) from the gradient of all states: backpropagation through time. ``pad`` is the last id."""
+    """Gradients of (table, inner) from the gradient of all states: backpropagation through time. ``pad`` is the last id.
+
+    The slopes of the softsign y are (1 - |y|) squared, so the tape needs no inputs of the curves.
+    """
     steps, lanes = ids.shape
     size = inner.shape[1]
+    ((xs, us, out, first),) = tape
     d_table, d_inner = np.zeros((3 * size, pad + 1), np.float32), np.zeros_like(inner)
-    d_h = np.zeros((size, lanes), np.float32)
-    slope = lambda raw: 1 / np.square(1 + np.abs(raw))
-    d_x = np.empty((steps, 3 * size, lanes), np.float32)
+    d_h, d_u, slope = np.zeros((size, lanes), np.float32), np.empty((3 * size, lanes), np.float32), np.empty((3 * size, lanes), np.float32)
+    d_x, padded = np.empty((steps, 3 * size, lanes), np.float32), (ids == pad).any(1)
     for t in range(steps - 1, -1, -1):
-        before, raw, gates, lean, raw_new, new = tape[t]
-        d_h = d_h + d_out[t]
-        d_h[:, ids[t] == pad] = 0
+        gates, new, lean = xs[t, : 2 * size], xs[t, 2 * size :], us[t, 2 * size :]
         keep, reset = gates[:size], gates[size:]
-        d_new = d_h * (1 - keep) * slope(raw_new)
-        d_gates = np.concatenate((d_h * (before - new), d_new * lean)) * (0.5 * slope(raw))
-        d_u = np.concatenate((d_gates, d_new * reset))
-        d_x[t, : 2 * size], d_x[t, 2 * size :] = d_gates, d_new
+        before = out[t - 1] if t else first
+        d_h += d_out[t]
+        if padded[t]:
+            d_h[:, ids[t] == pad] = 0
+        d_keep, d_reset, d_new = d_x[t, :size], d_x[t, size : 2 * size], d_x[t, 2 * size :]
+        of_gates, of_new = slope[: 2 * size], slope[2 * size :]
+        np.abs(new, out=of_new)
+        np.subtract(1, of_new, out=of_new)
+        of_new *= of_new
+        np.subtract(1, keep, out=d_new)
+        d_new *= d_h
+        d_new *= of_new
+        np.subtract(before, new, out=d_keep)
+        d_keep *= d_h
+        np.multiply(d_new, lean, out=d_reset)
+        np.subtract(1, gates, out=of_gates)
+        np.minimum(of_gates, gates, out=of_gates)
+        of_gates *= of_gates
+        of_gates *= 2
+        d_x[t, : 2 * size] *= of_gates
+        d_u[: 2 * size] = d_x[t, : 2 * size]
+        np.multiply(d_new, reset, out=d_u[2 * size :])
         d_inner += d_u @ before.T
-        d_h = d_h * keep + inner.T @ d_u
-    flat = d_x.transpose(1, 0, 2).reshape(3 * size, -1)
-    order = np.argsort(ids.ravel(), kind="stable")
-    found, first = np.unique(ids.ravel()[order], return_index=True)
-    d_table[:, found] = np.add.reduceat(flat[:, order], first, axis=1)
+        d_h *= keep
+        d_h += inner.T @ d_u
+    flat = ids.ravel()
+    order = np.argsort(flat.astype(np.int16) if pad < 1 << 15 else flat, kind="stable")
+    found, start = np.unique(flat[order], return_index=True)
+    rows = d_x.transpose(0, 2, 1).reshape(-1, 3 * size)[order]
+    d_table[:, found] = np.add.reduceat(rows, start, axis=0).T
     return d_table, d_inner

@@ -6,8 +6,8 @@ number. One more class holds all other tokens, which share it by their smoothed
 tokens never seen count as one. The state runs through a text from its start to its end, window after window.
 
 Training is parallel stochastic gradient descent with averaged weights (McDonald et al. 2010; Zinkevich et al. 2010):
-in every round each partition runs truncated backpropagation over a fixed share of its own training texts, so
-what is learned from grows with the corpus, and the weights are averaged by token counts in a tree of tasks.
+in every round each partition runs truncated backpropagation over another share of its own training texts, so that all of
+them are learned from once, and the weights are averaged by token counts in a tree of tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections import Counter
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -49,7 +50,8 @@ def split(text: str | None) -> list[bytes]:
 
 def count_words(docs: DataFrame, learn: Column, text: str = "text", head: int = 2048, known: int = 200_000) -> Vocabulary:
     """Counts of all tokens of the rows for which ``learn`` holds. Whole bands of the most frequent words become known, at
-    most ``known`` words, and the first ``head`` of them are predicted."""
+    most ``known`` words, and the first ``head`` of them are predicted. Null and empty texts count an end, repeated rows
+    count each, and without rows all counts are zero. Other columns are not read."""
 
     def read(batches):
         for batch in batches:
@@ -73,6 +75,16 @@ def count_words(docs: DataFrame, learn: Column, text: str = "text", head: int =
     return Vocabulary(table, total["n"] or 0, total["v"], first, counts, sum(counts[w] for w in first))
 
 
+def class_starts(counts: list[int], most: int) -> list[int]:
+    """First words of the classes of words in falling count: about ``most`` classes with equal shares of the counts' square roots,
+    so that frequent words are in small classes and rare ones in large ones (Mikolov et al. 2011)."""
+    mass = np.cumsum(np.sqrt(np.array(counts, np.float64)))
+    if not len(mass):
+        return []
+    share = np.minimum((np.append(0.0, mass[:-1]) / mass[-1] * most).astype(np.int64), most - 1)
+    return [0, *(np.flatnonzero(np.diff(share)) + 1).tolist()]
+
+
 class Model:
     """Weights and the layout of classes. Ids: 0 to head - 1 the predicted tokens, head the shared class, head + 1 padding."""
 
@@ -80,9 +92,11 @@ class Model:
         rng = np.random.default_rng(seed)
         n = len(counts)
         self.n, self.end, self.size = n, end, size
-        self.width = max(1, math.ceil(math.sqrt(n)))
-        self.starts = list(range(0, n, self.width))
-        mass = np.array([*(sum(counts[s : s + self.width]) for s in self.starts), others], np.float64) + SMOOTH
+        self.starts = class_starts(counts, max(1, math.ceil(0.7 * math.sqrt(n))))
+        self.edges = [*self.starts, n]
+        self.group = np.searchsorted(self.starts, np.arange(n + 1), "right").astype(np.int16) - 1
+        self.group[n] = len(self.starts)
+        mass = np.array([*(sum(counts[s:e]) for s, e in zip(self.edges, self.edges[1:])), others], np.float64) + SMOOTH
         draw = lambda *shape, by: rng.normal(0, by, shape).astype(np.float32)
         self.weights = {
             "table": draw(3 * size, n + 2, by=0.1), "inner": draw(3 * size, size, by=size**-0.5),
@@ -90,97 +104,114 @@ class Model:
             "words": draw(n, size, by=0.02), "word_bias": np.log(np.array(counts, np.float64) + SMOOTH).astype(np.float32)[:, None],
         }
 
-    def class_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.n, ids // self.width, len(self.starts))
-
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray, back: dict | None = None) -> np.ndarray:
         """Natural logs of P(target | state) for states (H, M); targets in the shared class get the log of the class.
 
         With ``back``, also the gradients of the summed negative logs, and under "states" those of the states.
         """
         w, m = self.weights, np.arange(len(targets))
-        group = self.class_of(targets)
-        scores = w["classes"] @ states + w["class_bias"]
-        scores -= scores.max(0)
-        p = np.exp(scores)
-        total = p.sum(0)
-        out = (scores[group, m] - np.log(total)).astype(np.float64)
+        order = np.argsort(self.group[targets], kind="stable")
+        states, targets = np.ascontiguousarray(states[:, order]), targets[order]
+        group = self.group[targets]
+        edges = np.searchsorted(group, np.arange(len(self.starts) + 1)).tolist()
+
+        def softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, right: np.ndarray, at: np.ndarray):
+            """Logs of the right rows' shares; p is left as the gradient of the scores."""
+            p = weights @ h
+            p += bias
+            p -= p.max(0)
+            mine = p[right, at]
+            np.exp(p, out=p)
+            total = p.sum(0)
+            if back is not None:
+                p /= total
+                p[right, at] -= 1
+            return mine - np.log(total), p
+
+        out, p = softmax(w["classes"], w["class_bias"], states, group, m)
+        out = out.astype(np.float64)
         if back is not None:
-            p /= total
-            p[group, m] -= 1
-            back["classes"], back["class_bias"], back["states"] = p @ states.T, p.sum(1, keepdims=True), w["classes"].T @ p
+            back["classes"], back["class_bias"], d_states = p @ states.T, p.sum(1, keepdims=True), w["classes"].T @ p
             back["words"], back["word_bias"] = np.zeros_like(w["words"]), np.zeros_like(w["word_bias"])
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(len(self.starts) + 1))
-        for k, s in enumerate(self.starts):
-            pick = order[edges[k] : edges[k + 1]]
-            if len(pick):
-                e = min(s + self.width, self.n)
-                h, t, j = states[:, pick], targets[pick] - s, np.arange(len(pick))
-                scores = w["words"][s:e] @ h + w["word_bias"][s:e]
-                scores -= scores.max(0)
-                p = np.exp(scores)
-                total = p.sum(0)
-                out[pick] += scores[t, j] - np.log(total)
+        for s, e, a, b in zip(self.edges, self.edges[1:], edges, edges[1:]):
+            if a < b and e - s > 1:  # a word alone in its class has share one
+                h = states[:, a:b]
+                logs, p = softmax(w["words"][s:e], w["word_bias"][s:e], h, targets[a:b] - s, m[: b - a])
+                out[a:b] += logs
                 if back is not None:
-                    p /= total
-                    p[t, j] -= 1
                     back["words"][s:e], back["word_bias"][s:e] = p @ h.T, p.sum(1, keepdims=True)
-                    back["states"][:, pick] += w["words"][s:e].T @ p
+                    d_states[:, a:b] += w["words"][s:e].T @ p
+        if back is not None:
+            back["states"] = np.empty_like(states)
+            back["states"][:, order] = d_states
+        result = np.empty_like(out)
+        result[order] = out
+        return result
+
+    def score(self, texts: list[np.ndarray], steps: int = 16, lanes: int = 512) -> np.ndarray:
+        """Summed natural logs of each sequence of ids; the state is carried from window to window. Texts of like lengths run
+        side by side."""
+        out = np.zeros(len(texts))
+        order = np.argsort([len(t) for t in texts], kind="stable")[::-1]
+        for i in range(0, len(order), lanes):
+            pick = order[i : i + lanes]
+            out[pick] = self._score_lanes([texts[j] for j in pick], steps)
         return out
 
-    def score(self, texts: list[np.ndarray], steps: int = 32) -> np.ndarray:
-        """Summed natural logs of each sequence of ids; the state is carried from window to window."""
+    def _score_lanes(self, texts: list[np.ndarray], steps: int) -> np.ndarray:
+        """``texts`` are in falling length."""
         out, pad = np.zeros(len(texts)), self.n + 1
-        order = np.argsort([-len(t) for t in texts], kind="stable")
-        lengths = np.array([len(texts[i]) for i in order], np.int64)
-        flat = np.concatenate([np.append(self.end, texts[i]) for i in order] + [np.full(steps + 1, pad)])
+        lengths = np.array([len(t) for t in texts], np.int64)
+        flat = np.concatenate([x for t in texts for x in ((self.end,), t)] + [np.full(steps + 1, pad)]).astype(np.int32)
         base = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
         state = np.zeros((self.size, len(texts)), np.float32)
         for first in range(0, int(lengths.max(initial=0)), steps):
             lanes = int(np.searchsorted(-lengths, -first))
-            at = first + np.arange(steps)[:, None]
+            at = first + np.arange(min(steps, int(lengths[0]) - first))[:, None]
             real = at < lengths[:lanes]
             where = np.minimum(base[:lanes] + at, len(flat) - 2)
             ids, after = np.where(real, flat[where], pad), flat[where + 1]
             states = run_states(ids, self.weights["table"], self.weights["inner"], pad, None, state[:, :lanes])
             state = states[-1]
             logs = self.log_probabilities(np.ascontiguousarray(states.transpose(1, 0, 2)[:, real]), after[real])
-            out[order[:lanes]] += np.bincount(np.nonzero(real)[1], logs, lanes)
+            out[:lanes] += np.bincount(np.nonzero(real)[1], logs, lanes)
         return out
 
-    def train(self, texts: list[np.ndarray], rate: float, steps: int = 24, lanes: int = 96, seed: int = 0) -> int:
-        """One pass of truncated backpropagation with Adagrad steps; returns the number of tokens."""
+    def train(self, texts: list[np.ndarray], rate: float, steps: int = 24, lanes: int = 256) -> int:
+        """One pass of truncated backpropagation with Adagrad steps; returns the number of tokens.
+
+        The texts follow each other, a pad before each, in lanes of equal length, so that every window is full however
+        long or short they are; a text that a lane's end cuts goes on in the next lane from a fresh state.
+        """
         w, pad = self.weights, self.n + 1
         seen = {k: np.full_like(v, 1e-4) for k, v in w.items()}
-        rng, total = np.random.default_rng(seed), 0
-        by_length = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        groups = [by_length[i : i + lanes] for i in range(0, len(by_length), lanes)]
-        for g in rng.permutation(len(groups)):
-            group = [texts[i] for i in groups[g]]
-            longest = max(map(len, group))
-            grid = np.full((longest + 1, len(group)), pad, np.int64)
-            grid[0] = self.end
-            for lane, t in enumerate(group):
-                grid[1 : len(t) + 1, lane] = t
-            state = None
-            for first in range(0, longest, steps):
-                after = grid[first + 1 : first + steps + 1]
-                ids = np.where(after == pad, pad, grid[first : first + len(after)])
-                tape: list = []
-                states = run_states(ids, w["table"], w["inner"], pad, tape, state)
-                state = states[-1]
-                real, g_ = after != pad, {}
-                self.log_probabilities(np.ascontiguousarray(states.transpose(1, 0, 2)[:, real]), after[real], g_)
-                d = np.zeros(states.shape, np.float32)
-                d.transpose(1, 0, 2)[:, real] = g_.pop("states")
-                g_["table"], g_["inner"] = run_back(ids, w["inner"], pad, tape, d)
-                n = int(real.sum())
-                total += n
-                for k, grad in g_.items():
-                    grad = grad / np.float32(n)
-                    seen[k] += np.square(grad)
-                    w[k] -= np.float32(rate) * grad / np.sqrt(seen[k])
+        total = sum(map(len, texts))
+        flat = np.concatenate([x for t in texts for x in ((pad, self.end), t)]).astype(np.int32)
+        lanes = max(1, min(lanes, total // (4 * steps)))
+        reach = -(-(len(flat) - 1) // lanes)
+        flat = np.append(flat, np.full(reach * lanes + 1 - len(flat), pad, np.int32))
+        rows = np.lib.stride_tricks.sliding_window_view(flat, reach + 1)[::reach]
+        state = None
+        for first in range(0, reach, steps):
+            part = np.ascontiguousarray(rows[:, first : first + steps + 1].T)
+            ids, after = part[:-1], part[1:]
+            real = (after != pad) & (ids != pad)
+            n = int(real.sum())
+            if not n:
+                continue
+            tape: list = []
+            states = run_states(ids, w["table"], w["inner"], pad, tape, state)
+            state, g = states[-1], {}
+            self.log_probabilities(states.transpose(1, 0, 2)[:, real], after[real], g)
+            d = np.zeros(states.shape, np.float32)
+            d.transpose(1, 0, 2)[:, real] = g.pop("states")
+            g["table"], g["inner"] = run_back(ids, w["inner"], pad, tape, d)
+            for k, grad in g.items():
+                grad *= np.float32(1 / n)
+                seen[k] += np.square(grad)
+                grad *= np.float32(rate)
+                grad /= np.sqrt(seen[k])
+                w[k] -= grad
         return total
 
 
@@ -190,10 +221,6 @@ def new_model(vocabulary: Vocabulary, size: int) -> Model:
     return Model(counts, vocabulary.tokens - vocabulary.head_tokens, end, size)
 
 
-def _ids(words: list[bytes], index: dict[bytes, int], other: int) -> np.ndarray:
-    return np.array([index.get(w, other) for w in words] + [index.get(END, other)], np.int64)
-
-
 def _average(df: DataFrame, fan_in: int = 16) -> dict | None:
     """Token-weighted mean of the rows (tokens, weights times tokens), added up in a tree of tasks that hold one sum each."""
 
@@ -218,9 +245,14 @@ def _average(df: DataFrame, fan_in: int = 16) -> dict | None:
     return {k: v / np.float32(total) for k, v in sums.items()}
 
 
-def fit(docs: DataFrame, learn: Column, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", size: int = 16, rounds: int = 8, rate: float = 0.2) -> Model:
-    """A model trained on every text once, in ``rounds`` rounds; in each, every partition learns from another part of its
-    texts, by a hash of key and text."""
+def fit(docs: DataFrame, learn: Column, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", size: int = 16, rounds: int = 4, rate: float = 0.5) -> Model:
+    """A model trained on every text for which ``learn`` holds, once each, in ``rounds`` rounds; in each, every partition
+    learns from another part of its texts, by a hash of key and text.
+
+    Null and empty texts teach the end alone, repeated rows count each, rows with a null key are dealt by their text, and
+    without rows the model stays as it begins. A very long text fills the same windows as short ones. The weights depend on
+    how the input is split into partitions, since each partition's steps are averaged with the others'.
+    """
     model = new_model(vocabulary, size)
     if not vocabulary.head:
         return model
@@ -229,9 +261,13 @@ def fit(docs: DataFrame, learn: Column, vocabulary: Vocabulary, text: str = "tex
     for turn in range(rounds):
 
         def learn_part(batches, model=model, turn=turn):
-            texts = [_ids(split(body.as_py()), index, model.n) for batch in batches for body in batch.column(0)]
+            texts = []
+            for batch in batches:
+                for body in batch.column(0):
+                    words = [*split(body.as_py()), END]
+                    texts.append(np.fromiter(map(index.get, words, repeat(model.n)), np.int32, len(words)))
             if texts:
-                tokens = model.train(texts, rate / (1 + turn), seed=turn)
+                tokens = model.train(texts, rate / (1 + turn))
                 state = pickle.dumps((tokens, {k: w * np.float32(tokens) for k, w in model.weights.items()}))
                 yield pa.RecordBatch.from_arrays([pa.array([state], pa.binary())], names=["state"])
 
@@ -240,44 +276,55 @@ def fit(docs: DataFrame, learn: Column, vocabulary: Vocabulary, text: str = "tex
     return model
 
 
-def score(docs: DataFrame, model: Model, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", at_once: int = 2048) -> DataFrame:
+def score(docs: DataFrame, model: Model, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", at_once: int = 1024) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of every whole text.
 
     ``base_score`` is that of a unigram model with 0.1 added to every count, ``score`` the network's, which shares the
     same events: known tokens and one event for all others. Words whose counts are not among the bounded
     number that every task holds meet the full table of counts in a join, one row per text and word. Null and empty texts
     hold the end alone. Repeated rows are scored each. Without training texts both scores are zero. Very long texts
-    run through the same windows. Other columns are not read.
+    run through the same windows. An empty table gives an empty result. Other columns are not read.
     """
-    index = {w: i for i, w in enumerate(vocabulary.head)}
+    rank = {w: i for i, w in enumerate(vocabulary.known)}  # the predicted words come first
     others = vocabulary.tokens - vocabulary.head_tokens
     types = vocabulary.distinct - len(vocabulary.head)
-    logs = {w: math.log10(c + SMOOTH) for w, c in vocabulary.known.items()}
+    logs = np.log10(np.array([*vocabulary.known.values(), 0], np.float64) + SMOOTH)  # the last is never asked for
     whole = math.log10(vocabulary.tokens + SMOOTH * (vocabulary.distinct + 1))
     shared = math.log10(others + SMOOTH * (types + 1))
-    complete = len(logs) == vocabulary.distinct
+    complete = len(rank) == vocabulary.distinct
+
+    def look_up(bodies: pa.Array):
+        """(tokens, known ones, base, what the shared class adds, unknown words with counts, ids) of each text."""
+        words, ends = [], []
+        for body in bodies:
+            words += split(body.as_py())
+            words.append(END)
+            ends.append(len(words))
+        place = np.fromiter(map(rank.get, words, repeat(-1)), np.int32, len(words))
+        starts, known = np.array([0, *ends[:-1]]), place >= 0
+        seen = np.where(known, logs[place], 0.0)
+        ids = np.where(known & (place < model.n), place, np.int32(model.n))
+        low = ids == model.n
+        sums = lambda x: np.add.reduceat(x, starts)  # noqa: E731 (every text has a token)
+        rest = [Counter() for _ in ends]
+        unknown = np.flatnonzero(~known)
+        for i, t in zip(unknown.tolist(), np.searchsorted(ends, unknown, "right").tolist()):
+            rest[t][words[i]] += 1
+        rest = [[{"word": w, "n": n} for w, n in r.items()] for r in rest]
+        return np.diff([0, *ends]), sums(known.astype(np.int64)), sums(seen), sums(np.where(low, seen - shared, 0.0)), rest, np.split(ids, ends[:-1])
 
     def read(batches):
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first in range(0, len(batch), at_once):
-                part = batch.slice(first, at_once)
-                out, ids = [[] for _ in range(6)], []
-                for body in part.column(1):
-                    words = split(body.as_py())
-                    ids.append(_ids(words, index, model.n))
-                    words.append(END)
-                    mine = [logs[w] for w in words if w in logs]
-                    rest = Counter(w for w in words if w not in logs)
-                    tail = [logs[w] for w in words if w in logs and w not in index]
-                    row = len(words), len(mine), math.fsum(mine), math.fsum(tail) - shared * int((ids[-1] == model.n).sum()), [{"word": w, "n": n} for w, n in rest.items()], number
-                    number += 1
-                    for column, value in zip(out, row):
-                        column.append(value)
-                scores = model.score(ids) / math.log(10) + np.array(out[3])
-                kinds = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-                values = out[5], out[0], out[1], out[2], scores, out[4]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(values, kinds))], names=["id", "row", "n_tokens", "n_known", "base", "score", "rest"])
+            found = [look_up(batch.column(1).slice(i, at_once)) for i in range(0, len(batch), at_once)]
+            if not found:
+                continue
+            n_tokens, n_known, base, tail = (np.concatenate([f[c] for f in found]) for c in range(4))
+            scores = model.score([t for f in found for t in f[5]]) / math.log(10) + tail
+            rest = pa.array([r for f in found for r in f[4]], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+            columns = pa.array(number + np.arange(len(batch))), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(scores), rest
+            number += len(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "row", "n_tokens", "n_known", "base", "score", "rest"])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     read_rows = rows.mapInArrow(read, f"id {dict(rows.dtypes)['id']}, row long, n_tokens long, n_known long, base double, score double, rest array<struct<word: binary, n: long>>")
