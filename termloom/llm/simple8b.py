@@ -89,3 +89,9 @@ def decode_from(words: np.ndarray, offsets: np.ndarray, start: int, length: int,
     first, last = start // block, (start + length - 1) // block + 1
     stop = offsets[last] if last < len(offsets) else len(words)
     return decode(words[offsets[first] : stop])[start - first * block :][:length]
+
+
+def runs(words: np.ndarray, offsets: np.ndarray, n: int, block: int = 512, blocks: int = 512):
+    """Yield the ``n`` values in turn, ``blocks`` blocks at a time, each run found by its offset and decoded at once."""
+    for start in range(0, n, block * blocks):
+        yield decode_from(words, offsets, start, min(block * blocks, n - start), block)

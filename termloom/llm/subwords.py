@@ -64,6 +64,9 @@ class Encoder:
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
+        self.space = self.letters[ord(" ")]
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(size)]
         self.known = Memory(self._piece, memory)  # after a space
         self.bare = Memory(self._model, memory // 8)
 
@@ -72,11 +75,16 @@ class Encoder:
 
     def _model(self, part: str) -> bytes:
         """One pre-token."""
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+        return self._ids(part.encode().decode("latin-1").translate(self.letters))
+
+    def _ids(self, letters: str) -> bytes:
+        """One pre-token in the byte-level alphabet."""
+        known = self.id_bytes
+        return b"".join([known[t.id] for t in self.model.tokenize(letters)])
 
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():
-            return self._model(" " + piece)
+            return self._ids(self.space + piece) if piece.isascii() else self._model(" " + piece)
         if max(piece) >= OLD_ALPHABETS:
             return self._library(" " + piece)
         parts = PRE_TOKEN.findall(" " + piece)
@@ -88,7 +96,10 @@ class Encoder:
             return b""
         if any(token in text for token in self.added):
             return self._library(text)
-        pieces = CLEAN_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
+        pieces = text.split(" ")
+        lone = text.replace("\n", " ").split(" ") == text.split()  # all white space is single blanks and line ends inside the text
+        if not lone and ODD_SPACE.search(text):
+            pieces = CLEAN_SPACE.split(text)
         first, pieces[0] = pieces[0], pieces[-1]  # the first has no space before it
         ids = list(map(self.known.__getitem__, pieces))
         ids[0] = self._library(first)

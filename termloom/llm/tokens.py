@@ -16,13 +16,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b, subwords
 from .store import partitions
 
 BLOCK = 512
+BROADCAST_CHUNKS = 500_000  # chunks whose starts are sent to every task, about 24 bytes each
 SCHEMA = "part int, chunk int, keys array<long>, lengths array<long>, words binary, offsets binary"
 
 
@@ -66,30 +67,45 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = True) -> DataFrame:
     """(key, start, n_tokens, ids_crc32[, ids]) of each document in a token folder.
 
-    ``start`` counts the ids of all documents before it, ``ids_crc32`` is over little-endian unsigned 32-bit ids. The
-    totals of the files, one number each, are added up on the driver.
+    ``start`` counts the ids of all documents before it, ``ids_crc32`` is over little-endian unsigned 32-bit ids. Chunks
+    are decoded a bounded number of blocks at a time, found by their offsets, so that without ``ids`` a very long document is never
+    whole in memory. Starts are sums over two windows, over the chunks of a part and over the parts, one row each; they are
+    broadcast up to BROADCAST_CHUNKS, counted first, and met in a join of both sides beyond. Null and
+    repeated keys are read as written, a document without ids has length zero, and a folder without rows gives none.
     """
     files = spark.read.schema(SCHEMA).parquet(path)
-    totals = files.select("part", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    base, before = {}, 0
-    for row in totals:
-        base[row["part"]] = before
-        before += row["n"]
-    chunks = files.select("part", "chunk", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n")).groupBy("part").agg(F.collect_list(F.struct("chunk", "n")).alias("chunks"))
+    sized = files.select("part", "chunk", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n"))
+    earlier = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sized.groupBy("part").agg(F.sum("n").alias("n")).select("part", earlier(Window.orderBy("part")).alias("base"))
+    inside = sized.select("part", "chunk", earlier(Window.partitionBy("part").orderBy("chunk")).alias("inside"))
+    starts = inside.join(parts, "part").select("part", "chunk", (F.col("base") + F.col("inside")).alias("start"))
+    if files.count() <= BROADCAST_CHUNKS:
+        starts = F.broadcast(starts)
 
     def unpack(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                values = simple8b.decode(np.frombuffer(r["words"], "<u8")).astype("<u4")
-                edges = np.concatenate(([0], np.cumsum(r["lengths"]))).astype(np.int64)
-                start = base[r["part"]] + sum(c["n"] for c in r["chunks"] if c["chunk"] < r["chunk"])
-                pieces = [values[a:b] for a, b in zip(edges, edges[1:])]
-                out = [pa.array(r["keys"], pa.int64()), pa.array(edges[:-1] + start), pa.array(r["lengths"], pa.int64()), pa.array([zlib.crc32(p.tobytes()) for p in pieces], pa.int64())]
+                words, offsets = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["offsets"], "<u4")
+                lengths = r["lengths"]
+                ends, sums, held = np.cumsum(lengths), [0] * len(lengths), [[] for _ in lengths]
+                at = i = 0
+                for values in simple8b.runs(words, offsets, int(ends[-1]), BLOCK):
+                    values, done = values.astype("<u4"), 0
+                    while done < len(values):
+                        while ends[i] == at:  # documents without ids
+                            i += 1
+                        piece = values[done : done + int(ends[i]) - at]
+                        sums[i] = zlib.crc32(piece, sums[i])
+                        if ids:
+                            held[i].append(piece.astype(np.int64))
+                        done += len(piece)
+                        at += len(piece)
+                out = [pa.array(r["keys"], pa.int64()), pa.array(ends - lengths + r["start"]), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
                 names = [key, "start", "n_tokens", "ids_crc32"]
                 if ids:
-                    out.append(pa.array([p.astype(np.int64) for p in pieces], pa.list_(pa.int64())))
+                    out.append(pa.array([np.concatenate(h) if h else [] for h in held], pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    return files.select("part", "chunk", "keys", "lengths", "words").join(F.broadcast(chunks), "part").mapInArrow(unpack, schema)
+    return files.join(starts, ["part", "chunk"]).select("keys", "lengths", "words", "offsets", "start").mapInArrow(unpack, schema)
