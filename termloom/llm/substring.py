@@ -4,11 +4,11 @@ A window is a run of ``width`` words. The work has four steps, all keyed and non
 
 1. Anchors. A window's anchor is the smallest hash among its word k-grams, so equal windows have equal anchors, and a text has
    few of them. An anchor that only one document has rules its windows out.
-2. Owners. The windows left are hashed and meet by hash, after each task has reduced its own; the smallest document with a
-   window owns it. Windows that only their owner has are ruled out.
+2. Owners. The windows left are hashed and meet by hash, in groups whose number grows with the text; the smallest document
+   with a window owns it. Windows that only their owner has are ruled out.
 3. Automata. The windows that a document owns for others are its reference passages. Passages of other documents
    stream through the suffix automaton of their owner's, a reference shard that is sent wherever it is needed once; equal
-   passages stream once. Matching statistics over the words themselves give the maximal spans that are repeated, so hashes
+   passages stream once, and the many passages of one owner are dealt over copies of its automaton. Matching statistics over the words themselves give the maximal spans that are repeated, so hashes
    select candidates and decide nothing.
 4. Removal. The spans return to their documents.
 """
@@ -26,6 +26,8 @@ from . import spans
 from .store import partitions, staged
 
 BROADCAST_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20  # text whose windows meet in one group
+PIECE_BYTES = 256 << 10  # passages that stream through one copy of an owner's automaton
 
 
 class SuffixAutomaton:
@@ -136,8 +138,6 @@ def repeated_runs(rows: DataFrame, width: int, k: int) -> DataFrame:
 
     ``rows`` has (id, text, mark). Starts and stops are the first windows of a run's first and after its last.
     """
-    parts = partitions(rows.sparkSession)
-
     def anchors(batches):
         for batch in batches:
             found = []
@@ -192,6 +192,8 @@ def repeated_runs(rows: DataFrame, width: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(name[cuts[:-1]]), *map(part, columns)], names=["id", "marks", "starts", "stops", "owners"])
 
     near = _join(rows, lists, size, "inner").select("id", "text", "mark", "anchors")
+    held_bytes = rows.join(F.broadcast(lists.select("id")) if size <= BROADCAST_BYTES else lists.select("id"), "id", "left_semi").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(partitions(rows.sparkSession), -(-held_bytes // SHARD_BYTES))
     met = near.mapInArrow(windows, "shard long, window binary, id binary, at binary")
     owned = _by_shard(met, owners, ["<u8", "<i8", "<i8"], "shard long, id binary, at binary, owner binary")
     return staged(_by_shard(owned, runs, ["<i8"] * 3, "id long, marks array<long>, starts array<long>, stops array<long>, owners array<long>"), "runs")
@@ -240,12 +242,13 @@ def repeated_spans(rows: DataFrame, width: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "mark", "start", "owner", "reference", "digest", "body"])
 
     def match(batches):
-        owner, automaton = None, None
+        copy, automaton = None, None
         for batch in batches:
             out = [[] for _ in range(3)]
             for r in batch.to_pylist():
-                if r["owner"] != owner:
-                    owner, automaton = r["owner"], SuffixAutomaton()
+                owner = r["owner"]
+                if (owner, r["piece"]) != copy:
+                    copy, automaton = (owner, r["piece"]), SuffixAutomaton()
                 words = r["body"].split(b" ")
                 if r["reference"]:
                     automaton.add(words)
@@ -259,8 +262,11 @@ def repeated_spans(rows: DataFrame, width: int, k: int) -> DataFrame:
     cut = staged(_join(rows, runs, size, "inner").select("id", "text", "mark", "marks", "starts", "stops", "owners").mapInArrow(passages, "id long, mark long, start long, owner long, reference boolean, digest binary, body binary"), "passages")
     streams = cut.where("not reference")
     once = cut.groupBy("owner", "reference", "digest").agg(F.first("body").alias("body"))
-    order = ["owner", F.desc("reference"), "digest"]
-    matched = once.repartition(partitions(rows.sparkSession), "owner").sortWithinPartitions(*order).mapInArrow(match, "owner long, digest binary, found array<struct<a: long, b: long>>")
+    pieces = once.where("not reference").groupBy("owner").agg(F.ceil(F.sum(F.octet_length("body")) / PIECE_BYTES).cast("int").alias("pieces"))
+    mine = F.array(F.pmod(F.xxhash64("digest"), "pieces").cast("int"))
+    dealt = once.join(pieces, "owner").withColumn("piece", F.explode(F.when(F.col("reference"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(mine)))
+    order = ["owner", "piece", F.desc("reference"), "digest"]
+    matched = dealt.select("owner", "piece", "reference", "digest", "body").repartition(partitions(rows.sparkSession), "owner", "piece").sortWithinPartitions(*order).mapInArrow(match, "owner long, digest binary, found array<struct<a: long, b: long>>")
     back = streams.select("id", "mark", "start", "owner", "digest").join(matched, ["owner", "digest"]).select("id", "mark", "start", F.explode("found").alias("f"))
     return staged(back.groupBy("id").agg(F.collect_list(F.struct("mark", (F.col("start") + F.col("f.a")).alias("a"), (F.col("start") + F.col("f.b")).alias("b"))).alias("spans")), "spans")
 
