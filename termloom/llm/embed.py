@@ -40,8 +40,14 @@ def _parse(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "label", "digest", "dims", "body"])
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest part to between a half and one, which is exact: squares neither
+    overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = _scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -75,6 +81,7 @@ def join_blocks(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, least: fl
     """Boolean matrix of the pairs with cosine >= least; y None joins x with itself, without the diagonal."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
     other = x if y is None else y
+    x, other = _scaled(x), _scaled(other)
     lead_x, lead_y = _unit(x) @ axes[:, :BOX], _unit(other) @ axes[:, :BOX]
     norm_x, norm_y = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (x, other))
     linked = np.zeros((len(x), len(other)), bool)
