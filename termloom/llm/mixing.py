@@ -121,8 +121,10 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, frame:
 
 
 def in_mixed_order(docs: DataFrame, placed: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` in their own columns, sorted by their place in the mixture; rows of one key go to its first."""
-    order = placed.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("slot", "place")).alias("_at")).select("_key", F.col("_at.slot").alias("_slot"), F.col("_at.place").alias("_place"))
-    joined = docs.join(order, docs[key].eqNullSafe(order["_key"]))
+    """The rows of ``docs`` in their own columns, whatever their names, sorted by their place in the mixture; all rows of one key, null
+    ones too, go to its first place. An empty table gives an empty result."""
+    order = placed.groupBy(F.col(key).alias("key")).agg(F.min(F.struct("slot", "place")).alias("at"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = rows.join(order, F.col("row").getField(key).eqNullSafe(F.col("key"))).select("row", "at.slot", "at.place")
     n = partitions(docs.sparkSession)
-    return joined.repartitionByRange(n, "_slot", "_place").sortWithinPartitions("_slot", "_place").select(*[docs[c] for c in docs.columns])
+    return joined.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("row.*")
