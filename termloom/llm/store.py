@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a fresh local one where it is unset (local tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``, or a fresh local one where it is unset and Spark is local, as in
+    tests; an error on a cluster without one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not path:
-        path = context.getCheckpointDir() or tempfile.mkdtemp(prefix="termloom-")
+        path = context.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="termloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
     return path.rstrip("/")
@@ -39,8 +45,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def key_as_text(column: str = "doc_id") -> str:
-    """SQL for the remainder that splits documents into training and held-out folds."""
-    return f"crc32(cast({column} as string))"

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from termloom.llm import components, embed, exact, langid, lm, mixing, packing, quality, simhash, store, substring, subwords, tokens
+from termloom.llm import components, embed, exact, langid, lm, mixing, packing, quality, simhash, similar, store, substring, subwords, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, salt string, body string, code string, mark string, s string, part string"
 EXTRA = ("x",) * 7
@@ -56,10 +56,29 @@ def test_exact(docs, rows, empty):
         top = max((i for i in same if i is not None), default=None)
         assert (r.keep_id, r.group_size, r.kept) == (top, len(same), r.doc_id == top)
     kept = exact.drop_copies(docs)
-    assert kept.columns == docs.columns and {r.text or "" for r in kept.collect()} == set(groups)
+    assert kept.columns == docs.columns and collections.Counter(r.text or "" for r in kept.collect()) == dict.fromkeys(groups, 1)
+    assert all(r.doc_id == max((i for i in groups[r.text or ""] if i is not None), default=None) for r in kept.collect())
     assert exact.sorted_copies(empty).count() == exact.drop_copies(empty).count() == 0
 
 
+def test_exact_copies_meet_in_one_run(spark):
+    """The sort, not the digest, brings ordinary copies together; only a frequent text has several runs."""
+    r = random.Random(9)
+    texts = [make_text(r, "en", 12) for _ in range(400)]
+    data = [(i, texts[i % 400]) for i in range(1200)] + [(5000 + i, texts[7]) for i in range(900)]
+    names = "_mine string, body string, row string, digest string, place string, salted string, mark string"
+    table = spark.createDataFrame([(*x, *EXTRA) for x in data], f"doc_id long, text string, {names}").repartition(7)
+    runs, frequent = exact._runs(table, "text", "doc_id")
+    firsts = collections.Counter(x.body for x in runs.where("place = 1").collect())
+    assert firsts.pop(texts[7]) > 1 and set(firsts.values()) == {1} and len(firsts) == 399 and frequent.count() == 1
+    want = {t: max(i for i, x in data if x == t) for t in texts}
+    got = exact.sorted_copies(table).collect()
+    size = collections.Counter(t for _, t in data)
+    assert sorted((x.doc_id, x.keep_id, x.group_size) for x in got) == sorted((i, want[t], size[t]) for i, t in data)
+    kept = exact.drop_copies(table)
+    assert kept.columns == table.columns and {x.text: x.doc_id for x in kept.collect()} == want and kept.count() == 400 and kept.first()._mine == "x"
+
+
 def test_simhash(docs, rows, empty):
     got = simhash.near_copies(docs).collect()
     assert len(got) == len(rows)
@@ -107,6 +126,9 @@ def test_language_stage_judges_rows(spark):
 @pytest.mark.parametrize("broadcast", [substring.BROADCAST_BYTES, -1])
 def test_substring(docs, rows, empty, broadcast, monkeypatch):
     monkeypatch.setattr(substring, "BROADCAST_BYTES", broadcast)
+    if broadcast < 0:  # many pieces and shards
+        monkeypatch.setattr(substring, "PIECE_BYTES", 100)
+        monkeypatch.setattr(substring, "SHARD_BYTES", 1000)
     width = 50
     split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows]
     first = {}
@@ -301,3 +323,43 @@ def test_pipeline_stages(spark, docs, rows, empty):
     small = empty.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, small, "").count() == 0
+
+
+def shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans({c: chr(c + 32) for c in range(65, 91)})))
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def test_similar_copies_by_brute_force(spark, monkeypatch):
+    """Groups of Jaccard similarity 0.8 and more over five-word shingles, split buckets included."""
+    r = random.Random(11)
+    monkeypatch.setattr(similar, "CELL", 8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [" ".join(r.choices(vocabulary, k=r.randint(80, 160))) for _ in range(30)]
+    data = [(i, t) for i, t in enumerate(base)]
+    for i in range(90):
+        words = base[r.choice((0, 0, 1, *range(30)))].split()
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = r.choice(vocabulary)
+        data.append((100 + i, " ".join(words)))
+    data += [(300, None), (301, ""), (302, " "), (303, "a b"), (304, "A B"), (None, base[2]), (3, base[3]), (305, base[4].upper())]
+    sets = {i: shingles(t) for i, t in data if i is not None}
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    empty_ones = {300, 301}  # equal once null is empty
+    want = {i for i in sets if find(i) == i} - {max(empty_ones)}
+    table = spark.createDataFrame([(*x, "x", "x", 0) for x in data], "doc_id long, text string, mark string, id string, code long").repartition(5)
+    kept = similar.drop_similar(table)
+    assert kept.columns == table.columns
+    got = collections.Counter(x.doc_id for x in kept.collect())
+    assert got.pop(None) == 1 and got.pop(3) == 2 and set(got) | {3} == want
+    assert similar.drop_similar(table.where("false")).count() == 0
