@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import exact, langid, mixing, packing, simhash, subwords
+from termloom.llm import exact, langid, mixing, packing, similar, subwords
 from termloom.llm.store import staged
 
 #: A document whose language is unknown, or that no language is likelier than this to hold, is rejected.
@@ -34,23 +34,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: that with the largest doc_id; null and empty texts are one text. See exact.drop_copies."""
     return exact.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the smallest doc_id."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies, at a Jaccard similarity of 0.8 and more over five-word shingles: the smallest
+    doc_id. Rows without a doc_id and texts without words stay. See similar.similar_groups."""
+    return similar.drop_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of their mixture: sources at their row count to the power SIZE_POWER."""
+    """All documents in the order of their mixture: sources at their row count to the power SIZE_POWER; a null source is the
+    source ''. Rows that repeat a doc_id stay together, at its first place. See mixing.mix."""
     placed = mixing.mix(docs, mixing.size_weights(docs, SIZE_POWER))
     return mixing.in_mixed_order(docs, placed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens, one sequence each."""
+    """Pieces of at most 1024 tokens, one sequence each; null and empty texts are one piece of the end id. See packing.pack."""
     return packing.pack(docs, subwords.vocabulary_path(), end_id=0, longest=1024, ids=False)
 
 
