@@ -87,12 +87,23 @@ def _stronger(r: DataFrame, vertices: DataFrame) -> DataFrame:
     return kept.select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"), "w")
 
 
+HUB = 1000  # neighbours whose pairs one task makes
+
+
+def _by_neighbour(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of ``left`` and ``right`` with the same neighbour k; the many pairs of a hub are dealt over several tasks."""
+    pieces = right.groupBy("k").agg(F.ceil(F.count("*") / HUB).cast("int").alias("pieces"))
+    mine = left.join(pieces, "k").withColumn("piece", F.pmod(F.xxhash64("s"), "pieces").cast("int")).drop("pieces")
+    every = right.join(pieces, "k").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    return mine.join(every, ["k", "piece"])
+
+
 def cosine_graph(pairs: DataFrame, true_cosine: bool = False) -> DataFrame:
     """(s, t, w): sum over k of c_ik c_jk over A_ij = s_i - c_ij, or over sqrt(A_ij A_ji) for a ``true_cosine`` (H7)."""
     full = checkpointed(mirrored(pairs.where("a <> b")))
     sums = row_sums(full)
     k = full.select(F.col("b").alias("k"), F.col("a").alias("s"), F.col("weight").alias("x"))
-    dots = k.join(k.select("k", F.col("s").alias("t"), F.col("x").alias("y")), "k").where("s <> t").groupBy("s", "t").agg(F.sum(F.col("x") * F.col("y")).cast("double").alias("dot"))
+    dots = _by_neighbour(k, k.select("k", F.col("s").alias("t"), F.col("x").alias("y"))).where("s <> t").groupBy("s", "t").agg(F.sum(F.col("x") * F.col("y")).cast("double").alias("dot"))
     c = full.select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("weight").alias("c"))
     rows = dots.join(c, ["s", "t"], "left").join(sums.select(F.col("v").alias("s"), F.col("sum").alias("si")), "s").join(sums.select(F.col("v").alias("t"), F.col("sum").alias("sj")), "t")
     c0 = F.coalesce("c", F.lit(0.0))
@@ -112,7 +123,7 @@ def distributional_graph(pairs: DataFrame) -> DataFrame:
     whole = positive.groupBy(F.col("a").alias("s")).agg(F.sum("mi").alias("whole"))
     left = positive.select(F.col("b").alias("k"), F.col("a").alias("s"), F.col("mi").alias("x"))
     right = mi.select(F.col("b").alias("k"), F.col("a").alias("t"), F.col("mi").alias("y"))
-    overlap = left.join(right, "k").where("s <> t").groupBy("s", "t").agg(F.sum(F.least("x", "y")).alias("overlap"))
+    overlap = _by_neighbour(left, right).where("s <> t").groupBy("s", "t").agg(F.sum(F.least("x", "y")).alias("overlap"))
     own = positive.select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("mi").alias("own"))
     rows = overlap.join(own, ["s", "t"], "left").join(whole, "s").select("s", "t", F.coalesce(F.try_divide("overlap", F.col("whole") - F.coalesce("own", F.lit(0.0))), F.lit(0.0)).alias("w"))
     return _stronger(checkpointed(rows), sums)
@@ -136,15 +147,19 @@ def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def _one_level(edges: DataFrame, loops: DataFrame, rounds: int) -> DataFrame:
-    """(id, cluster) after rounds of local moves; in each, only vertices of one hash parity move, ties to the smallest cluster."""
+def _one_level(edges: DataFrame, loops: DataFrame, least_gain: float, most_rounds: int) -> DataFrame:
+    """(id, cluster) after rounds of local moves; in each, only the vertices of one half, by a hash of vertex and round, move, ties to the
+    smallest cluster. The rounds end when no vertex of two halves in turn moves, or when four rounds together gain less than
+    ``least_gain`` of modularity."""
     both = checkpointed(edges.where("s <> t").select(F.col("s").alias("v"), F.col("t").alias("u"), "w").unionAll(edges.where("s <> t").select("t", "s", "w")))
     degree = both.select("v", "w").unionAll(loops.select(F.col("v"), (2 * F.col("w")).alias("w"))).groupBy("v").agg(F.sum("w").alias("k"))
     degree = checkpointed(degree)
     doubled = degree.agg(F.sum("k").alias("mm")).first()["mm"] or 0.0
     where = checkpointed(degree.select("v", F.col("v").alias("c")))
-    still = 0
-    for turn in range(rounds):
+    still, scores = 0, []
+    if doubled == 0:
+        return where.select(F.col("v").alias("id"), F.col("c").alias("cluster"))
+    for turn in range(most_rounds):
         placed = where.join(degree, "v")
         total = placed.groupBy("c").agg(F.sum("k").alias("total"))
         links = both.join(where.select(F.col("v").alias("u"), F.col("c")), "u").groupBy("v", "c").agg(F.sum("w").alias("kc"))
@@ -153,47 +168,64 @@ def _one_level(edges: DataFrame, loops: DataFrame, rounds: int) -> DataFrame:
         outside = F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
         gain = F.round(F.col("kc") - outside * F.col("k") / doubled, 9)
         best = options.select("v", "own", "c", gain.alias("gain")).groupBy("v", "own").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("here"), F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"))
-        moves = (-F.col("best.loss") > F.col("here")) & (F.pmod(F.xxhash64("v"), F.lit(2)) == turn % 2)
+        moves = (-F.col("best.loss") > F.col("here")) & (F.pmod(F.xxhash64("v", F.lit(turn // 2)), F.lit(2)) == turn % 2)
         new = checkpointed(best.select("v", F.when(moves, F.col("best.c")).otherwise(F.col("own")).alias("c"), moves.alias("moved")))
         moved = new.where("moved").limit(1).count()
         where = new.select("v", "c")
         still = 0 if moved else still + 1
         if still == 2:
             break
+        if turn % 4 == 3:
+            named = where.select(F.col("v").alias("id"), F.col("c").alias("cluster"))
+            scores.append(modularity(edges, named).first()["modularity"])
+            if len(scores) > 1 and scores[-1] - scores[-2] < least_gain:
+                break
+    else:
+        raise RuntimeError("communities did not settle")
     return where.select(F.col("v").alias("id"), F.col("c").alias("cluster"))
 
 
-def communities(edges: DataFrame, levels: int = 3, rounds: int = 6, least_gain: float = 1e-7) -> DataFrame:
-    """(id, cluster): communities by local moves and contraction until modularity gains less than ``least_gain``.
+def community_levels(edges: DataFrame, least_gain: float = 1e-6, most_levels: int = 50, most_rounds: int = 200) -> list[DataFrame]:
+    """The levels (id, cluster) of communities by local moves and contraction, until a level gains less than ``least_gain`` of
+    modularity (H12); each level's ids are the clusters of the one before.
 
-    Deterministic: the result does not depend on partitions. A cluster is named by one of its vertices.
+    Deterministic: the result does not depend on partitions. A cluster is named by one of its vertices. No levels without
+    edges. Raises RuntimeError if the moves have not settled after ``most_levels`` levels of ``most_rounds`` rounds.
     """
     now = checkpointed(edges.select(F.col("s").cast("string").alias("s"), F.col("t").cast("string").alias("t"), F.col("w").cast("double").alias("w")))
     original = now
-    result, score = None, None
-    for _ in range(levels):
+    levels: list[DataFrame] = []
+    score = None
+    for _ in range(most_levels):
         loops = now.where("s = t").select(F.col("s").alias("v"), "w")
-        level = checkpointed(_one_level(now, loops, rounds))
-        composed = level if result is None else result.join(level.select(F.col("id").alias("cluster"), F.col("cluster").alias("further")), "cluster", "left").select("id", F.coalesce("further", "cluster").alias("cluster"))
-        composed = checkpointed(composed)
-        new = modularity(original, composed).first()["modularity"]
+        level = checkpointed(_one_level(now, loops, least_gain, most_rounds))
+        new = modularity(original, compose_levels([*levels, level])).first()["modularity"]
         if new is None or (score is not None and new - score < least_gain):
-            break
-        result, score = composed, new
+            return levels
+        levels.append(level)
+        score = new
         c = lambda k, level=level: level.select(F.col("id").alias(k), F.col("cluster").alias(f"c{k}"))
         joined = now.join(c("s"), "s", "left").join(c("t"), "t", "left").select(F.coalesce("cs", "s").alias("s"), F.coalesce("ct", "t").alias("t"), "w")
         now = checkpointed(joined.groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.sum("w").alias("w")))
-    return result
+    raise RuntimeError("communities did not settle")
 
 
 def compose_levels(levels: list[DataFrame]) -> DataFrame:
-    """(id, cluster) of the last of several levels."""
+    """(id, cluster) of the last of several levels (H13). A cluster that a level has no row for, as one without links to others,
+    keeps its name."""
     out = levels[0]
     for level in levels[1:]:
-        out = out.join(level.select(F.col("id").alias("cluster"), F.col("cluster").alias("further")), "cluster").select("id", F.col("further").alias("cluster"))
+        further = level.select(F.col("id").alias("cluster"), F.col("cluster").alias("further"))
+        out = out.join(further, "cluster", "left").select("id", F.coalesce("further", "cluster").alias("cluster"))
     return out
 
 
+def communities(edges: DataFrame, **options) -> DataFrame:
+    """(id, cluster): the communities of the last level (H12, community_levels); empty without edges."""
+    levels = community_levels(edges, **options)
+    return compose_levels(levels) if levels else edges.where("false").select(F.col("s").cast("string").alias("id"), F.col("t").cast("string").alias("cluster"))
+
+
 def prune_bridges(edges: DataFrame, partition: DataFrame, bridgeness: float) -> DataFrame:
     """All links for b < 0; links within communities for b = 0; for b > 0 also the heaviest round(b links / (n1 + n2)) links of
     each pair of communities (H14)."""

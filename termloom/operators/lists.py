@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
+from termloom.sources.ingest import import_lists
+from termloom.sources.ingest import new_terms as new_terms_of
 
+from .documents import index_terms
 from .metrics import substitute
-from .storage import checkpointed
+from .storage import checkpointed, ranked
 
 # ---- joins and rankings
 
@@ -28,7 +31,8 @@ def main_list(ranking: DataFrame, stop: DataFrame, hard_limit: int = 5000, ratio
     free = ranking.join(stop.select("term"), "term", "left_anti")
     limit = free.groupBy(*by).agg(F.least(F.lit(hard_limit), F.bround(F.count("*") * ratio)).alias("most"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "term"))
-    return free.withColumn("place", place).join(F.broadcast(limit), list(by)).where("place <= most").select(*by, "term", "score")
+    best = free.withColumn("place", place).where(F.col("place") <= hard_limit)  # a constant bound, so that ranks are pruned before the shuffle
+    return best.join(F.broadcast(limit), list(by)).where("place <= most").select(*by, "term", "score")
 
 
 def map_list(scores: DataFrame, main: DataFrame, subforms: DataFrame, limit: int = 350, gen_part: float = 0.6, mono_part: float = 0.2) -> DataFrame:
@@ -73,11 +77,11 @@ def duplicate_documents(docs: DataFrame, *fields: str, key: str = "doc_id") -> D
 
 
 def equal_slices(rows: DataFrame, weight: str, *ties: str) -> DataFrame:
-    """A column ``slice``: round(sqrt n) steps of equal size by rising weight (E7). For lists and graphs of bounded size."""
+    """A column ``slice``: round(sqrt n) steps of equal size by rising weight."""
     n = rows.agg(F.count("*").alias("n"))
     size = F.greatest(F.lit(1), F.round(F.col("n") / F.greatest(F.lit(1), F.round(F.sqrt("n")))))
-    place = F.row_number().over(Window.orderBy(weight, *ties))
-    return rows.withColumn("_place", place).crossJoin(F.broadcast(n)).withColumn("slice", F.floor((F.col("_place") - 1) / size)).drop("_place", "n")
+    placed = ranked(rows.select(F.struct(*rows.columns).alias("row"), *[F.col(c).alias(f"o{i}") for i, c in enumerate((weight, *ties))]), *[F.col(f"o{i}") for i in range(1 + len(ties))])
+    return placed.crossJoin(F.broadcast(n)).select("row.*", F.floor(F.col("rank") / size).alias("slice"))
 
 
 def new_terms(tops: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ STOP_STARTS = (
 def stop_terms(terms: DataFrame, shared: DataFrame, starts: tuple[str, ...] = STOP_STARTS) -> DataFrame:
     """Distinct terms that are shared stop words or start like one (F1)."""
     distinct = terms.select("term").distinct()
-    known = F.broadcast(shared.select("term").distinct().withColumn("known", F.lit(True)))
+    known = shared.select("term").distinct().withColumn("known", F.lit(True))
     return distinct.join(known, "term", "left").where(F.col("known") | F.col("term").rlike("^(?:" + "|".join(starts) + ")")).select("term")
 
 
@@ -117,8 +121,7 @@ def stop_terms(terms: DataFrame, shared: DataFrame, starts: tuple[str, ...] = ST
 def group_by_stem(terms: DataFrame, stop: DataFrame, key: Callable[[Column], Column] = T.stem_key) -> DataFrame:
     """(mainform, subform): per stem key the most frequent term leads the others (G1); ties to the smallest term."""
     freq = terms.join(stop.select("term"), "term", "left_anti").groupBy("term").agg(F.sum("weight").alias("freq")).withColumn("key", key(F.col("term")))
-    best = freq.groupBy("key").agg(F.max("freq").alias("top"))
-    lead = freq.join(best, "key").where("freq = top").groupBy("key").agg(F.min("term").alias("mainform"))
+    lead = freq.groupBy("key").agg(F.min(F.struct((-F.col("freq")).alias("less"), "term")).alias("lead")).select("key", F.col("lead.term").alias("mainform"))
     return freq.join(lead, "key").where("term <> mainform").select("mainform", F.col("term").alias("subform"))
 
 
@@ -262,10 +265,31 @@ def merge_lists(old: DataFrame, new: DataFrame, groups: DataFrame, drop_old: tup
     return joined.select(F.explode(names).alias("list_name"), "term")
 
 
+def import_and_merge(rows: DataFrame, clean: Callable[[Column], Column], old: DataFrame, groups: DataFrame, docs: DataFrame, text: Column, known: DataFrame, overwrite: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lists, groups and new index rows after a term list is imported (J2): the list is read (A18), its terms are looked for in the
+    texts and indexed where the index lacks them (C3), and lists and groups are merged with the old ones (J1), or take their
+    place with ``overwrite``."""
+    lists, links = import_lists(rows, clean)
+    every = links if overwrite else add_links(groups, links)
+    merged = merge_lists(old.where("false") if overwrite else old, lists, every)
+    wanted = lists.select("term").unionAll(links.select(F.col("subform").alias("term"))).distinct()
+    return merged, every, index_terms(docs, text, wanted, known.select("doc_id", "term"))
+
+
+def add_term(raw: DataFrame, clean: Callable[[Column], Column], dictionary: DataFrame, groups: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """(term, is_new, n_docs, occurrences, mainform): what becomes of each term given in ``raw`` (J11): normalised (B1, B3), new to the
+    dictionary or not (A15), looked for in the texts (C3), with its counts and the form it stands under (G5)."""
+    terms = raw.select(clean(F.col("term")).alias("term")).where("term <> ''").distinct()
+    fresh = new_terms_of(terms, dictionary).withColumn("is_new", F.lit(True))
+    counts = index_terms(docs, text, terms).groupBy("term").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("weight").alias("occurrences"))
+    out = main_form(groups, terms).join(fresh, "term", "left").join(counts, "term", "left")
+    return out.select("term", F.coalesce("is_new", F.lit(False)).alias("is_new"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("occurrences", F.lit(0.0)).alias("occurrences"), "mainform")
+
+
 def list_family(main: DataFrame, map_: DataFrame, stop: DataFrame, groups: DataFrame) -> DataFrame:
     """(term, in_map, in_stop, subforms) of main, stop and their sub forms."""
     every = union(union(main, stop), groups.select(F.col("subform").alias("term")))
-    flag = lambda df, name: F.broadcast(df.select("term").distinct().withColumn(name, F.lit(True)))
+    flag = lambda df, name: df.select("term").distinct().withColumn(name, F.lit(True))
     subs = groups.groupBy(F.col("mainform").alias("term")).agg(F.array_join(F.array_sort(F.collect_set("subform")), "|").alias("subforms"))
     out = every.join(flag(map_, "in_map"), "term", "left").join(flag(stop, "in_stop"), "term", "left").join(subs, "term", "left")
     return out.select("term", F.coalesce("in_map", F.lit(False)).alias("in_map"), F.coalesce("in_stop", F.lit(False)).alias("in_stop"), "subforms")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import ranked
+
 
 def substitute(terms: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Replace sub forms by their main form (C4)."""
@@ -173,8 +175,19 @@ def relative_frequency(words: DataFrame, stop: list[str], by: tuple[str, ...] =
 
 def top_part(frequencies: DataFrame, percent: float) -> DataFrame:
     """The top percent of the terms by frequency, ties by term."""
-    most = frequencies.agg(F.bround(F.count("*") * percent / 100).cast("long").alias("n")).first()["n"]
-    return frequencies.orderBy(F.desc("frequency"), "term").limit(int(most))
+    most = frequencies.agg(F.bround(F.count("*") * percent / 100).cast("long").alias("most"))
+    placed = ranked(frequencies, F.desc("frequency"), F.col("term"))
+    return placed.crossJoin(F.broadcast(most)).where("rank < most").drop("rank", "most")
+
+
+def top_part_by(frequencies: DataFrame, percent: float, by: str) -> DataFrame:
+    """The top percent of the terms of each value of ``by``, by frequency, ties by term (E8's first step)."""
+    most = frequencies.groupBy(by).agg(F.bround(F.count("*") * percent / 100).cast("long").alias("most"))
+    first = frequencies.groupBy(by).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a slice
+    starts = first.select(by, before.alias("start")).join(most, by)
+    placed = ranked(frequencies, F.col(by), F.desc("frequency"), F.col("term"))
+    return placed.join(F.broadcast(starts), by).where("rank - start < most").drop("rank", "start", "most")
 
 
 def specificities(frequencies: DataFrame, reference: DataFrame, percent: float) -> DataFrame:

@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own if Spark is local, as in tests, and else an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="termloom-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in ``spark.checkpoint.dir``, or, where that is unset as in local tests, in a folder of our own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="termloom-"))
+    """Cut the lineage with a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="termloom-")
-    return f"{base.rstrip('/')}/termloom-{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/termloom-{uuid.uuid4().hex}/{name}"
+
+
+def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """A column with each row's place, from 0, in the whole order: one range partitioning and the row counts of its parts, so that no
+    task holds more than a part. ``order`` should decide every tie."""
+    number, part = (f"{p}_{uuid.uuid4().hex}" for p in ("n", "part"))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({number: F.monotonically_increasing_id(), part: F.spark_partition_id()})
+    dealt = checkpointed(dealt)
+    parts = dealt.groupBy(part).agg(F.min(number).alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # one row a part
+    shift = parts.select(part, (F.coalesce(before, F.lit(0)) - F.col("first")).alias(name))
+    return dealt.join(F.broadcast(shift), part).withColumn(name, F.col(name) + F.col(number)).drop(number, part)
 
 
 def replace_partitions(df: DataFrame, path: str, by: str = "corpus_id") -> None:

@@ -35,7 +35,7 @@ docs AS (
     FROM documents
 ), tokens AS (
     SELECT corpus_id, doc_id, unnest(regexp_extract_all(lower(abstract), '[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*')) AS term FROM docs
-), doc_terms AS (
+), doc_terms AS MATERIALIZED (
     SELECT corpus_id, doc_id, term, CAST(count(*) AS DOUBLE) AS weight FROM tokens WHERE length(term) > 1 GROUP BY ALL
 )"""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from termloom.operators import graph as G
 from termloom.operators import lists as L
 from termloom.operators import metrics as M
+from termloom.operators.storage import checkpointed
 
 from . import workflow
 from .base import query
@@ -15,20 +16,16 @@ from .list_queries import E1_SQL, NAMES, stop_list
 from .term_queries import six
 
 H1_SQL = """
-, listed AS (SELECT DISTINCT corpus_id, doc_id, term FROM doc_terms SEMI JOIN main USING (corpus_id, term) WHERE term IN (SELECT term FROM doc_terms GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20)),
+, listed AS (SELECT DISTINCT corpus_id, doc_id, term FROM doc_terms SEMI JOIN main USING (corpus_id, term)),
 cooc AS (SELECT x.corpus_id, x.term AS a, y.term AS b, count(*) AS weight FROM listed x JOIN listed y USING (corpus_id, doc_id) WHERE x.term <= y.term GROUP BY ALL HAVING count(*) >= 3)
 """
 
 
-def frequent(terms, least=20):
-    return terms.groupBy("term").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= least).select("term")
-
-
 def listed_terms(spark, sf_dir):
     terms = text_terms(spark, sf_dir)
     ranking = M.occurrences(terms).withColumnRenamed("occurrences", "score")
     main = L.main_list(ranking, F.broadcast(stop_list(spark)))
-    return terms.join(main.select("corpus_id", "term"), ["corpus_id", "term"], "left_semi").join(frequent(terms), "term", "left_semi")
+    return terms.join(main.select("corpus_id", "term"), ["corpus_id", "term"], "left_semi")
 
 
 @query("h1_cooccurrences", "SELECT * FROM cooc", TEXT_SQL + E1_SQL + H1_SQL)
@@ -66,9 +63,9 @@ def h3(spark, sf_dir):
     return name_pairs(spark, sf_dir)
 
 
-@query("h4_field_cooccurrences", ", f AS (SELECT DISTINCT doc_id, term FROM doc_terms WHERE term LIKE 'the%') SELECT lang AS value, term, count(*) AS weight FROM docs JOIN f USING (doc_id) GROUP BY ALL HAVING count(*) >= 3", TEXT_SQL)
+@query("h4_field_cooccurrences", ", f AS (SELECT DISTINCT doc_id, term FROM doc_terms) SELECT lang AS value, term, count(*) AS weight FROM docs JOIN f USING (doc_id) GROUP BY ALL HAVING count(*) >= 3", TEXT_SQL)
 def h4(spark, sf_dir):
-    return G.field_cooccurrences(text_documents(spark, sf_dir), "lang", text_terms(spark, sf_dir).where("term LIKE 'the%'"))
+    return G.field_cooccurrences(text_documents(spark, sf_dir), "lang", text_terms(spark, sf_dir))
 
 
 H5_SQL = f"""
@@ -180,9 +177,53 @@ def h11(spark, sf_dir):
     return G.modularity(edges, partition).withColumn("modularity", six("modularity"))
 
 
+def own_communities(spark, sf_dir):
+    """The edges of the conditional graph and the levels of their communities."""
+    edges = checkpointed(graph(spark, sf_dir)[1])
+    return edges, G.community_levels(edges)
+
+
 @query("h12_communities")
 def h12(spark, sf_dir):
-    return G.communities(name_pairs(spark, sf_dir).select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("weight").alias("w")))
+    return G.compose_levels(own_communities(spark, sf_dir)[1])
+
+
+@query(
+    "h12_invariants",
+    "SELECT count(*) AS vertices, count(*) AS placed, true AS once, true AS gained FROM (SELECT s FROM edges UNION SELECT t FROM edges)",
+    GRAPH_SQL,
+)
+def h12_invariants(spark, sf_dir):
+    """Every vertex of the graph is in one community, and modularity is not below that of single vertices."""
+    edges, levels = own_communities(spark, sf_dir)
+    found = G.compose_levels(levels)
+    alive = edges.select(F.col("s").alias("id")).union(edges.select("t")).distinct()
+    score = lambda p, name: G.modularity(edges, p).withColumnRenamed("modularity", name)
+    counts = alive.join(found.groupBy("id").agg(F.count("*").alias("n")), "id", "full").agg(F.count("*").alias("vertices"), F.count("n").alias("placed"), F.min(F.coalesce("n", F.lit(0)) == 1).alias("once"))
+    return counts.crossJoin(score(found, "found")).crossJoin(score(alive.withColumn("cluster", F.col("id")), "single")).select("vertices", "placed", "once", (F.col("found") >= F.col("single")).alias("gained"))
+
+
+@query("h13_partition_level", "SELECT count(*) AS vertices, true AS nested FROM (SELECT s FROM edges UNION SELECT t FROM edges)", GRAPH_SQL)
+def h13(spark, sf_dir):
+    """Communities of the first level lie whole in those of the last."""
+    _, levels = own_communities(spark, sf_dir)
+    first, last = G.compose_levels(levels[:1]), G.compose_levels(levels).withColumnRenamed("cluster", "whole")
+    both = first.join(last, "id")
+    split = both.groupBy("cluster").agg(F.countDistinct("whole").alias("n")).agg(F.max("n").alias("n"))
+    return both.agg(F.count("*").alias("vertices")).crossJoin(split).select("vertices", (F.col("n") == 1).alias("nested"))
+
+
+@query("h9_min_max", """, p AS (SELECT a, b, weight / s AS w FROM full_ JOIN sums ON a = v) SELECT round(min(greatest(0, coalesce(top, 0))), 6) AS threshold FROM sums LEFT JOIN (SELECT b, max(w) AS top FROM p GROUP BY 1) ON v = b""", BASKET_SQL + H3_SQL + FULL_SQL)
+def h9(spark, sf_dir):
+    full = checkpointed(G.mirrored(name_pairs(spark, sf_dir)))
+    sums = G.row_sums(full)
+    p = full.join(sums, full["a"] == sums["v"]).select(F.col("a").alias("s"), F.col("b").alias("t"), (F.col("weight") / F.col("sum")).alias("w"))
+    return G.min_max(p, sums).withColumn("threshold", six("threshold"))
+
+
+@query("c5_self_join", ", x AS (SELECT DISTINCT doc_id, term FROM basket) SELECT l.term AS a, r.term AS b, count(*) AS weight FROM x l JOIN x r USING (doc_id) WHERE l.term <= r.term GROUP BY ALL", BASKET_SQL)
+def c5(spark, sf_dir):
+    return G.cooccurrences(baskets(spark, sf_dir), threshold=1, by=())
 
 
 @query(
@@ -237,9 +278,19 @@ def a20(spark, sf_dir):
     return workflow.graph_links(edges)
 
 
+@query(
+    "a20_graph_nodes",
+    """SELECT CAST(to_json(struct_pack(id := a, lb := a, s := CAST(sum(weight) AS BIGINT), at := struct_pack(cl := split_part(a, ' ', 2)))) AS VARCHAR) AS json
+    FROM full_ WHERE a IN (SELECT s FROM edges UNION SELECT t FROM edges) GROUP BY a""",
+    GRAPH_SQL,
+)
+def a20_nodes(spark, sf_dir):
+    return workflow.graph_nodes_json(G.assemble(*graph(spark, sf_dir)))
+
+
 @query("k1_workflow")
 def k1(spark, sf_dir):
-    return workflow.corpus_workflow(baskets(spark, sf_dir), basket_groups(spark, sf_dir), stop_list(spark), map_limit=40).map_list
+    return workflow.corpus_workflow(baskets(spark, sf_dir), None, stop_list(spark), map_limit=40).map_list
 
 
 @query("k2_recount")

@@ -115,10 +115,19 @@ def e6(spark, sf_dir):
     return L.duplicate_documents(docs, "title", "lang", "n")
 
 
-@query("e8_new_terms", "SELECT min(year(pub_date)) AS slice, term FROM basket WHERE weight >= 45 AND term LIKE '% %' GROUP BY term", BASKET_SQL)
+@query(
+    "e8_new_terms",
+    """, w AS (SELECT year(pub_date) AS slice, term, sum(weight) AS n FROM basket GROUP BY ALL), everything AS (SELECT term, sum(n) AS n FROM w GROUP BY 1),
+    tops AS (SELECT slice, term FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY n DESC, term) AS r, count(*) OVER (PARTITION BY slice) AS m FROM w) WHERE r <= round_even(m * 10 / 100, 0)),
+    common AS (SELECT term FROM (SELECT *, row_number() OVER (ORDER BY n DESC, term) AS r, count(*) OVER () AS m FROM everything) WHERE r <= round_even(m * 8 / 100, 0))
+    SELECT min(slice) AS slice, term FROM tops WHERE term NOT IN (SELECT term FROM common) GROUP BY term""",
+    BASKET_SQL,
+)
 def e8(spark, sf_dir):
-    tops = baskets(spark, sf_dir).where("weight >= 45 AND term LIKE '% %'").select(F.year("pub_date").cast("long").alias("slice"), "term").distinct()
-    return L.new_terms(tops)
+    rows = baskets(spark, sf_dir).withColumn("slice", F.year("pub_date").cast("long"))
+    each, whole = (rows.groupBy(*by, "term").agg(F.sum("weight").alias("frequency")) for by in (("slice",), ()))
+    special = L.difference(M.top_part_by(each, 10, "slice"), M.top_part(whole, 8))
+    return L.new_terms(special)
 
 
 F1_SQL = "(" + "|".join(L.STOP_STARTS) + ")"
@@ -178,8 +187,8 @@ def g5(spark, sf_dir):
 # ---- algebra: A holds terms of one nation's baskets, B of another's, M the pairs of names and brands in one order
 
 ALGEBRA_SQL = """
-, ua AS (SELECT DISTINCT term FROM basket WHERE corpus_id = 'NATION_7' AND weight >= 40), ub AS (SELECT DISTINCT term FROM basket WHERE corpus_id = 'NATION_3' AND weight <= 5),
-wa AS (SELECT term, sum(weight) AS weight FROM basket WHERE corpus_id = 'NATION_7' AND weight >= 40 GROUP BY 1), wb AS (SELECT term, sum(weight) AS weight FROM basket WHERE corpus_id = 'NATION_3' AND weight <= 5 GROUP BY 1),
+, ua AS (SELECT DISTINCT term FROM basket WHERE corpus_id = 'NATION_7' AND weight >= 40), ub AS (SELECT DISTINCT term FROM basket WHERE corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1993-01-01'),
+wa AS (SELECT term, sum(weight) AS weight FROM basket WHERE corpus_id = 'NATION_7' AND weight >= 40 GROUP BY 1), wb AS (SELECT term, sum(weight) AS weight FROM basket WHERE corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1993-01-01' GROUP BY 1),
 m AS (SELECT a.term AS a, b.term AS b, CAST(count(*) AS DOUBLE) AS weight FROM basket a JOIN basket b ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.corpus_id = 'NATION_11' GROUP BY ALL),
 n AS (SELECT a.term AS a, b.term AS b, CAST(count(*) AS DOUBLE) AS weight FROM basket a JOIN basket b ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.corpus_id = 'NATION_11' AND a.weight > 20 GROUP BY ALL)
 """
@@ -187,7 +196,7 @@ n AS (SELECT a.term AS a, b.term AS b, CAST(count(*) AS DOUBLE) AS weight FROM b
 
 def operands(spark, sf_dir):
     rows = baskets(spark, sf_dir)
-    a, b = rows.where("corpus_id = 'NATION_7' AND weight >= 40"), rows.where("corpus_id = 'NATION_3' AND weight <= 5")
+    a, b = rows.where("corpus_id = 'NATION_7' AND weight >= 40"), rows.where("corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1993-01-01'")
     wa, wb = (x.groupBy("term").agg(F.sum("weight").alias("weight")) for x in (a, b))
     return wa.select("term"), wb.select("term"), wa, wb
 
@@ -313,9 +322,51 @@ def j1(spark, sf_dir):
     return merged(spark, sf_dir)[0]
 
 
-@query("j3_merge_chosen", "SELECT list_name, count(*) AS n FROM merged WHERE list_name IN ('map', 'main') GROUP BY 1", BASKET_SQL + LISTS_SQL)
+@query("j3_merge_chosen", "SELECT list_name, term FROM merged WHERE list_name IN ('map', 'main')", BASKET_SQL + LISTS_SQL)
 def j3(spark, sf_dir):
-    return merged(spark, sf_dir)[0].where("list_name IN ('map', 'main')").groupBy("list_name").agg(F.count("*").alias("n"))
+    return merged(spark, sf_dir)[0].where("list_name IN ('map', 'main')")
+
+
+CLEAN = lambda c: T.normalise_term(T.normalise_chars(c))
+
+
+@query(
+    "j2_import_merge",
+    r"""WITH given AS (SELECT DISTINCT lang AS label, 'main' AS status FROM documents UNION ALL SELECT 'of the', 'map'), looked AS (SELECT lower(label) AS term FROM given UNION SELECT 'in the'),
+    old AS (SELECT 'stop' AS list_name, lang AS term FROM documents GROUP BY 2), fresh AS (SELECT 'main' AS list_name, term FROM looked UNION ALL SELECT 'map', 'of the' UNION ALL SELECT 'map', 'in the'),
+    best AS (SELECT term, max(CASE list_name WHEN 'map' THEN 3 WHEN 'main' THEN 2 ELSE 1 END) AS rank FROM (FROM old UNION ALL FROM fresh) GROUP BY 1)
+    SELECT 'map' AS list_name, term FROM best WHERE rank = 3 UNION ALL SELECT 'main', term FROM best WHERE rank >= 2 UNION ALL SELECT 'stop', term FROM best WHERE rank = 1""",
+)
+def j2(spark, sf_dir):
+    docs = text_documents(spark, sf_dir)
+    labels = docs.select(F.col("lang").alias("label"), F.lit("main").alias("status"), F.lit("").alias("forms")).distinct()
+    given = labels.unionByName(spark.createDataFrame([("of the", "map", "in the")], "label string, status string, forms string"))
+    old = docs.select(F.lit("stop").alias("list_name"), F.col("lang").alias("term")).distinct()
+    none = spark.createDataFrame([], "mainform string, subform string")
+    return L.import_and_merge(given, CLEAN, old, none, docs, F.col("abstract"), text_terms(spark, sf_dir))[0]
+
+
+@query("j2_import_index", r""", t AS (SELECT doc_id, lower(abstract) AS w FROM docs), g AS (SELECT doc_id, regexp_extract_all(w, '[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*') AS w FROM t),
+    r AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM g WHERE len(w) > 1)
+    SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS weight FROM r WHERE term IN ('of the', 'in the') GROUP BY ALL""", TEXT_SQL)
+def j2_index(spark, sf_dir):
+    docs = text_documents(spark, sf_dir)
+    given = spark.createDataFrame([("of the", "map", "in the")], "label string, status string, forms string")
+    none = spark.createDataFrame([], "mainform string, subform string")
+    lists = spark.createDataFrame([], "list_name string, term string")
+    return L.import_and_merge(given, CLEAN, lists, none, docs, F.col("abstract"), text_terms(spark, sf_dir), overwrite=True)[2]
+
+
+@query(
+    "j11_add_term",
+    """, given AS (SELECT unnest(['the', 'and', 'zzz unknown']) AS term), c AS (SELECT term, count(DISTINCT doc_id) AS n, sum(weight) AS w FROM doc_terms GROUP BY 1)
+    SELECT term, term NOT IN (SELECT term FROM doc_terms) AS is_new, coalesce(n, 0) AS n_docs, coalesce(w, 0) AS occurrences, CASE term WHEN 'and' THEN 'also' ELSE term END AS mainform FROM given LEFT JOIN c USING (term)""",
+    TEXT_SQL,
+)
+def j11(spark, sf_dir):
+    raw = spark.createDataFrame([(" The ",), ("'and'",), ("ZZZ  unknown",), ("the",)], "term string")
+    groups = spark.createDataFrame([("also", "and")], "mainform string, subform string")
+    return L.add_term(raw, CLEAN, text_terms(spark, sf_dir).select("term"), groups, text_documents(spark, sf_dir), F.col("abstract"))
 
 
 @query("j4_change_members", f"SELECT term FROM {NAMES} WHERE term >= 'm' UNION SELECT term FROM {KINDS}", BASKET_SQL)

@@ -23,6 +23,28 @@ def a1(spark, sf_dir):
     return I.read_tagged(spark, path).select(F.col("doi").cast("long").alias("doc_id"), "source", "abstract", "lang", "authors")
 
 
+BODY_SQL = f"trim({ONE_LINE})"
+
+
+@query("a1_isi_records", f"SELECT doc_id, 'First part ' || source AS title, source, {BODY_SQL} AS abstract, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'en' END AS lang, 'A. One, B. Two' AS authors, 'MAY 3-5' AS publication_month, '2001' AS publication_year FROM documents WHERE {BODY_SQL} <> ''")
+def a1_isi(spark, sf_dir):
+    body = F.trim(F.regexp_replace("text", r"\s+", " "))
+    lang = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\nLA "), "lang")).otherwise(F.lit(""))
+    record = F.concat(F.lit("PT J\nAU A. One\n   B. Two\nTI First part\n   "), "source", F.lit("\nSO "), "source", F.lit("\nPD MAY 3-5\nPY 2001\nDI "), F.col("doc_id").cast("string"), lang, F.lit("\nAB "), body, F.lit("\nER\n"))
+    path = scratch(spark, "isi")
+    table(spark, sf_dir, "documents").where(body != "").select(record.alias("value")).write.text(path)
+    return I.read_isi(spark, path).select(F.col("doi").cast("long").alias("doc_id"), "title", "source", "abstract", "lang", "authors", "publication_month", "publication_year")
+
+
+@query("a1_repec_records", f"SELECT doc_id, source AS title, 'Series' AS source, {BODY_SQL} AS abstract, lang, 'A. One' || chr(10) || 'B. Two' AS authors, '1999' AS publication_year FROM documents WHERE {BODY_SQL} <> ''")
+def a1_repec(spark, sf_dir):
+    body = F.trim(F.regexp_replace("text", r"\s+", " "))
+    record = F.concat(F.lit("TY  - JOUR\nT1  - "), "source", F.lit("\nA1  - A. One\nA1  - B. Two\nJO  - Series\nY1  - 1999///\nUR  - "), F.col("doc_id").cast("string"), F.lit("\nLA  - "), "lang", F.lit("\nN2  - "), body, F.lit("\nER\n"))
+    path = scratch(spark, "repec")
+    table(spark, sf_dir, "documents").where(body != "").select(record.alias("value")).write.text(path)
+    return I.read_repec(spark, path).select(F.col("doi").cast("long").alias("doc_id"), "title", "source", "abstract", "lang", "authors", "publication_year")
+
+
 DATES_SQL = "SELECT doc_id, CAST(year(pub_date) AS VARCHAR) AS y, lpad(CAST(month(pub_date) AS VARCHAR), 2, '0') AS m, lpad(CAST(day(pub_date) AS VARCHAR), 2, '0') AS d FROM docs"
 
 
@@ -32,10 +54,10 @@ def a2(spark, sf_dir):
     return text_documents(spark, sf_dir).select("doc_id", *I.split_date(py))
 
 
-@query("a3_clean_date", ", p AS (" + DATES_SQL + ") SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN y WHEN 1 THEN y || ' NOV' ELSE y || ' MAY 3' END AS date FROM p", TEXT_SQL)
+@query("a3_clean_date", ", p AS (" + DATES_SQL + ") SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN y WHEN 1 THEN y || ' NOV' WHEN 2 THEN y || ' MAY 3' WHEN 3 THEN y || ' Nov' ELSE '1993' END AS date FROM p", TEXT_SQL)
 def a3(spark, sf_dir):
-    n = F.col("doc_id") % 3
-    pd = F.when(n == 0, F.lit("SPR")).when(n == 1, F.lit("NOV-DEC")).otherwise(F.lit("MAY 3-5"))
+    n = F.col("doc_id") % 5
+    pd = F.when(n == 0, F.lit("SPR")).when(n == 1, F.lit("NOV-DEC")).when(n == 2, F.lit("MAY 3-5")).when(n == 3, F.lit("Nov-Dec")).otherwise(F.lit("Spr 1993"))
     return text_documents(spark, sf_dir).select("doc_id", I.clean_date(pd, F.year("pub_date").cast("string")).alias("date"))
 
 
@@ -73,6 +95,53 @@ def a6(spark, sf_dir):
     return out
 
 
+@query(
+    "a6_istex_dump",
+    f""", p AS ({DATES_SQL}) SELECT CAST(doc_id AS VARCHAR) AS id, title, CASE WHEN doc_id % 2 = 0 THEN corpus_id ELSE 'corpus' END AS source, 'A, B' AS authors, 'd' || doc_id AS doi,
+    CASE WHEN doc_id % 3 = 0 THEN 'en' ELSE 'fr' END AS lang, CASE doc_id % 4 WHEN 1 THEN make_date(CAST(y AS BIGINT), 1, 1) WHEN 2 THEN make_date(CAST(y AS BIGINT), CAST(m AS BIGINT), 1) ELSE make_date(CAST(y AS BIGINT), CAST(m AS BIGINT), CAST(d AS BIGINT)) END::TIMESTAMP AS pub_ts
+    FROM docs JOIN p USING (doc_id) WHERE doc_id % 4 > 0""",
+    TEXT_SQL,
+)
+def a6_istex(spark, sf_dir):
+    n = F.col("doc_id") % 4
+    when = F.when(n == 1, F.date_format("pub_date", "yyyy")).when(n == 2, F.date_format("pub_date", "yyyy-MM")).when(n == 3, F.date_format("pub_date", "yyyy-MM-dd")).otherwise(F.lit("soon"))
+    title = F.when(F.col("doc_id") % 2 == 0, F.col("corpus_id"))
+    language = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("unknown"))).otherwise(F.array(F.lit("fre"), F.lit("eng")))
+    name = lambda x: F.struct(F.lit(x).alias("name"))
+    hit = F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.lit("corpus").alias("corpusName"), "title", language.alias("language"), F.array(F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("doi"),
+        F.struct(title.alias("title")).alias("host"), when.alias("publicationDate"), F.array(name("A"), name("B")).alias("author"),
+    )
+    path = scratch(spark, "istex")
+    text_documents(spark, sf_dir).select(F.array(hit).alias("hits")).write.json(path)
+    return I.read_istex_json(spark, path, lines=True).select("id", "title", "source", "authors", "doi", "lang", "pub_ts")
+
+
+@query(
+    "a6_multivac_dump",
+    f""", p AS ({DATES_SQL}) SELECT CAST(doc_id AS VARCHAR) AS id, title, abstract, '' AS type, CASE WHEN doc_id % 2 = 0 THEN corpus_id ELSE 'REPEC Database' END AS source, 'A, B' AS authors, 'u' || doc_id AS url,
+    make_date(CAST(CASE WHEN doc_id % 3 = 0 THEN '1999' ELSE y END AS BIGINT), 1, 1)::TIMESTAMP AS pub_ts FROM docs JOIN p USING (doc_id)""",
+    TEXT_SQL,
+)
+def a6_multivac(spark, sf_dir):
+    even, third = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0
+    serial = F.struct(F.when(even, F.col("corpus_id")).alias("journaltitle"), F.when(third, F.lit("Invalide date")).otherwise(F.date_format("pub_date", "yyyy")).alias("issuedate"))
+    person = lambda x: F.struct(F.struct(F.lit(x).alias("name")).alias("person"))
+    source = F.struct(F.col("doc_id").cast("string").alias("id"), "title", "abstract", F.lit("1999").alias("issuedate"), serial.alias("serial"), F.array(person("A"), person("B")).alias("hasauthor"), F.struct(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url")).alias("file"))
+    path = scratch(spark, "multivac")
+    text_documents(spark, sf_dir).select(source.alias("_source")).write.json(path)
+    return I.read_multivac_json(spark, path, lines=True)
+
+
+@query("a6_isidore_dump", "SELECT min(title) AS title, 'u' || (doc_id % 500) AS url, CASE WHEN doc_id % 500 % 2 = 0 THEN 'J' ELSE 'ISIDORE Database' END AS source, 'A' AS authors, '' AS abstract, TIMESTAMP '1958-01-01 00:00:00' AS pub_ts FROM docs GROUP BY doc_id % 500", TEXT_SQL)
+def a6_isidore(spark, sf_dir):
+    n = F.col("doc_id") % 500
+    rows = text_documents(spark, sf_dir).select("title", F.lit("A").alias("authors"), F.concat(F.lit("u"), n.cast("string")).alias("url"), F.when(n % 2 == 0, F.lit("J")).alias("source"), F.lit("1958-01-01T00:00:00").alias("date"))
+    path = scratch(spark, "isidore")
+    rows.write.json(path)
+    return I.read_isidore_json(spark, path, lines=True)
+
+
 @query("a7_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS lang FROM documents")
 def a7(spark, sf_dir):
     path = scratch(spark, "csv")
@@ -85,6 +154,32 @@ def a8(spark, sf_dir):
     return I.press_articles(table(spark, sf_dir, "pages")).groupBy("page_id", "lang").agg(F.count("*").alias("n"))
 
 
+BARE = "trim(regexp_replace(regexp_replace({}, '[<>]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "a8_press_documents",
+    f""", p AS ({DATES_SQL}), b AS (SELECT doc_id, corpus_id, pub_date, {BARE.format('title')} AS title, {BARE.format('abstract')} AS body FROM docs)
+    SELECT doc_id, title, 'A. One; B. Two' AS authors, '<p>' || body || '</p>' || chr(10) || '<p>end</p>' AS abstract, corpus_id AS source, 'no. 7' AS number, CASE WHEN doc_id % 2 = 0 THEN 'fr' ELSE 'en' END AS lang,
+    pub_date::TIMESTAMP AS pub_ts, CASE WHEN doc_id % 3 > 0 THEN 'World' END AS section FROM b WHERE title <> ''""",
+    TEXT_SQL,
+)
+def a8_press(spark, sf_dir):
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[<>]", " "), r"\s+", " "))
+    french = F.element_at(F.array(*[F.lit(m) for m in I.MONTHS["fr"]]), F.month("pub_date"))
+    date = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", F.lit("lundi"), F.dayofmonth("pub_date"), french, F.year("pub_date"))).otherwise(F.concat(F.lit("Monday, "), F.date_format("pub_date", "MMMM d, yyyy")))
+    header = F.concat(F.when(F.col("doc_id") % 3 > 0, F.lit("World, ")).otherwise(F.lit("")), date, F.lit(", p. 9"))
+    html = F.concat(
+        F.lit('<html><body><article><header><div><span class="DocPublicationName">'), "corpus_id", F.lit(', no. 7</span></div><div><span class="DocHeader">'), header,
+        F.lit('</span></div><div class="titreArticle"><p class="titreArticleVisu rdp__articletitle">'), bare("title"), F.lit('</p></div><div class="docAuthors">A. One</div><div class="docAuthors">B. Two</div></header><section><div class="DocText clearfix"><p>'),
+        bare("abstract"), F.lit("</p><p>end</p></div></section></article></body></html>"),
+    )
+    pages = text_documents(spark, sf_dir).where(bare("title") != "").select("doc_id", html.alias("html"))
+    path = scratch(spark, "press")
+    pages.write.parquet(path)
+    return I.press_documents(spark.read.parquet(path), key="doc_id").where("error is null").drop("pos", "error")
+
+
 @query("a9_dates", ", p AS (" + DATES_SQL + ") SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN make_date(CAST(y AS BIGINT), 1, 1) WHEN 1 THEN make_date(CAST(y AS BIGINT), CAST(m AS BIGINT), 1) ELSE make_date(CAST(y AS BIGINT), CAST(m AS BIGINT), CAST(d AS BIGINT)) END::TIMESTAMP AS ts FROM p", TEXT_SQL)
 def a9(spark, sf_dir):
     n = F.col("doc_id") % 3
@@ -101,9 +196,9 @@ def a10(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", I.language_code(given).alias("lang"))
 
 
-@query("a11_first_of", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+@query("a11_first_of", "SELECT source, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source")
 def a11(spark, sf_dir):
-    return I.first_of(table(spark, sf_dir, "documents").select("source", "doc_id", "lang"), "source", "doc_id").select("source", "doc_id")
+    return I.first_of(table(spark, sf_dir, "documents").select("source", "doc_id", "lang"), "source", "doc_id")
 
 
 @query("a13_bad_records", "SELECT doc_id FROM documents WHERE n_chars >= 100")

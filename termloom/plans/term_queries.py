@@ -224,14 +224,14 @@ def d18(spark, sf_dir):
 @query(
     "d19_historic_specificity",
     """, f AS (SELECT slice, term, sum(n) / sum(sum(n)) OVER (PARTITION BY slice) AS f FROM words GROUP BY slice, term), s AS (SELECT DISTINCT slice FROM f),
-    g AS (SELECT slice, term FROM s, (SELECT DISTINCT term FROM f WHERE term LIKE 'tha%'))
-    SELECT slice, term, round(coalesce(f, 0) - (SELECT sum(x.f) FROM f x WHERE x.term = g.term) / (SELECT count(*) FROM s), 9) AS specificity FROM g LEFT JOIN f USING (slice, term)""",
+    g AS (SELECT slice, term, whole FROM s, (SELECT term, sum(f) AS whole FROM f GROUP BY 1))
+    SELECT slice, term, round(coalesce(f, 0) - whole / (SELECT count(*) FROM s), 9) AS specificity FROM g LEFT JOIN f USING (slice, term)""",
     TEXT_SQL + D17_SQL,
 )
 def d19(spark, sf_dir):
     years = text_documents(spark, sf_dir).select("doc_id", F.year("pub_date").cast("long").alias("slice"))
     f = M.relative_frequency(text_terms(spark, sf_dir).join(years, "doc_id"), STOP, ("slice",))
-    out = M.historic_specificity(f.where("term LIKE 'tha%'"), f.select("slice").distinct())
+    out = M.historic_specificity(f, f.select("slice").distinct())
     return out.withColumn("specificity", F.round("specificity", 9))
 
 

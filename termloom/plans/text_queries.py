@@ -9,7 +9,7 @@ from termloom.operators import documents as D
 from termloom.operators import metrics as M
 
 from .base import query
-from .corpora import TEXT_SQL, table, text_documents
+from .corpora import TEXT_SQL, basket_list, table, text_documents
 from .list_queries import stop_list
 from .term_queries import STOP_SQL
 
@@ -186,6 +186,16 @@ def c3(spark, sf_dir):
     return D.index_terms(docs, F.col("abstract"), F.broadcast(new), known, longest=2)
 
 
+@query(
+    "b10_stem_key",
+    r"""SELECT p_name AS term, array_to_string(list_transform(list_filter(string_split_regex(p_name, '[^\p{L}\p{N}_]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) <= 3 THEN w
+    WHEN regexp_matches(w, '(^|[^ea])ies$') THEN left(w, length(w) - 3) || 'y' WHEN regexp_matches(w, '(^|[^aeo])es$') THEN left(w, length(w) - 2) || 'e' WHEN regexp_matches(w, '(^|[^us])s$') THEN left(w, length(w) - 1) ELSE w END), ' ') AS key
+    FROM (SELECT DISTINCT p_name FROM part)""",
+)
+def b10(spark, sf_dir):
+    return basket_list(spark, sf_dir).select("term", T.stem_key(F.col("term")).alias("key"))
+
+
 @query("a12_language_profile", "SELECT source AS corpus_id, (SELECT lang FROM documents d WHERE d.source = o.source AND lang IN ('en', 'fr') GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT 1) AS main_lang, count(*) AS n_docs, coalesce(string_agg(DISTINCT lang, '|' ORDER BY lang) FILTER (WHERE lang NOT IN ('en', 'fr')), '') AS unsupported FROM documents o GROUP BY source")
 def a12(spark, sf_dir):
     return D.language_profile(text_documents(spark, sf_dir), F.col("lang"), ("en", "fr"))

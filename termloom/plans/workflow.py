@@ -22,10 +22,12 @@ class Corpus(NamedTuple):
     map_list: DataFrame
 
 
-def corpus_workflow(terms: DataFrame, groups: DataFrame, stop: DataFrame, map_limit: int = 350, threshold: int = 3) -> Corpus:
-    """Stop list, occurrences, ranking, main list, document tf-idf, co-occurrences, specificity and map list, in this
-    order, over all corpora of ``terms`` as one (K1)."""
+def corpus_workflow(terms: DataFrame, groups: DataFrame | None, stop: DataFrame, map_limit: int = 350, threshold: int = 3) -> Corpus:
+    """Stop list, groups, occurrences, ranking, main list, document tf-idf, co-occurrences, specificity and map list, in this
+    order, over all corpora of ``terms`` as one (K1). Without given ``groups`` terms are grouped by their stems (G1)."""
     stops = L.stop_terms(terms, stop)
+    if groups is None:
+        groups = checkpointed(L.group_by_stem(terms, stops))
     ranking = M.tfidf_ranking(terms, terms, groups).select(F.lit("all").alias("corpus_id"), "term", "score")
     main = checkpointed(L.main_list(ranking, stops))
     listed = L.union(main, groups.join(main, groups["mainform"] == main["term"], "left_semi").select(F.col("subform").alias("term")))

@@ -13,12 +13,15 @@ RIS_TAGS = {"TI": "title", "T1": "title", "AU": "authors", "JO": "source", "T2":
 RIS_JOINS = {"AU": "\n", "TI": " ", "T1": " ", "AB": " ", "N2": " "}
 ISI_TAGS = {"TI": "title", "AU": "authors", "DI": "doi", "SO": "source", "PY": "publication_year", "PD": "publication_month", "LA": "lang", "AB": "abstract", "WC": "fields"}
 ISI_JOINS = {"AU": ", ", "TI": " ", "AB": " "}
+REPEC_TAGS = {"T1": "title", "ST": "subtitle", "A1": "authors", "JO": "source", "UR": "doi", "Y1": "publication_year", "PD": "publication_month", "N1": "references", "LA": "lang", "N2": "abstract", "WC": "fields"}
+REPEC_JOINS = {"T1": " ", "ST": " ", "A1": "\n", "N1": ", ", "N2": " "}
 
 
-def read_tagged(spark: SparkSession, path: str, tags: dict[str, str] = RIS_TAGS, joins: dict[str, str] = RIS_JOINS, value_from: int = 7, end: str = "ER", key: str = "record") -> DataFrame:
-    """One row per record of tagged lines (A1): records end at ``end``; a line without a tag continues the one before;
-    repeated tags join; of several tags of a field the last in ``tags`` that the record has wins; no language is ``en``."""
-    lines = spark.read.option("lineSep", f"\n{end}  -").text(path).where(F.col("value").rlike(r"\S")).select(F.regexp_replace("value", "\r", "").alias("value"), F.monotonically_increasing_id().alias(key))
+def read_tagged(spark: SparkSession, path: str, tags: dict[str, str] = RIS_TAGS, joins: dict[str, str] = RIS_JOINS, value_from: int = 7, end: str = "ER  -", key: str = "record") -> DataFrame:
+    """One row per record of tagged lines (A1): records end at a line that starts with ``end``, which is a whole line where it ends
+    with a line feed; a line without a tag continues the one before; repeated tags join; of several tags of a field the last in
+    ``tags`` that the record has wins; no language is ``en``. What holds none of the tags, as a file's last line, is no record."""
+    lines = spark.read.option("lineSep", f"\n{end}").text(path).select(F.regexp_replace(F.regexp_replace("value", "\r", ""), rf"\n{end.strip()[:2]}\s*$", "").alias("value"), F.monotonically_increasing_id().alias(key))
     rows = lines.select(key, F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     tag = F.regexp_extract("line", r"^([A-Z][A-Z0-9])(?:  - |\s|$)", 1)
     value = F.when(tag != "", F.substr("line", F.lit(value_from))).otherwise(F.col("line"))
@@ -31,7 +34,7 @@ def read_tagged(spark: SparkSession, path: str, tags: dict[str, str] = RIS_TAGS,
         lambda s, x: F.struct(F.coalesce(x["tag"], s["tag"]).alias("tag"), F.concat(s["out"], F.array(F.struct(F.coalesce(x["tag"], s["tag"]).alias("tag"), x["value"].alias("value")))).alias("out")),
         lambda s: s["out"],
     )
-    filled = folded.select(key, F.filter(carry, lambda x: x["value"] != "").alias("lines"))
+    filled = folded.select(key, F.filter(carry, lambda x: x["value"] != "").alias("lines")).where(F.exists("lines", lambda x: x["tag"].isin(*tags)))
     field = lambda t: F.array_join(F.transform(F.filter("lines", lambda x: x["tag"] == t), lambda x: x["value"]), joins.get(t, " "))
     out = {}
     for t, name in tags.items():
@@ -41,6 +44,17 @@ def read_tagged(spark: SparkSession, path: str, tags: dict[str, str] = RIS_TAGS,
     return filled.select(key, *[c.alias(name) for name, c in out.items()])
 
 
+def read_isi(spark: SparkSession, path: str) -> DataFrame:
+    """Web of Science records (A1): values from column 3, a record ends at a line ER."""
+    return read_tagged(spark, path, ISI_TAGS, ISI_JOINS, value_from=4, end="ER\n")
+
+
+def read_repec(spark: SparkSession, path: str, end: str = "ER\n") -> DataFrame:
+    """RePEc records (A1): the year is the first four characters of its tag."""
+    rows = read_tagged(spark, path, REPEC_TAGS, REPEC_JOINS, end=end)
+    return rows.withColumn("publication_year", F.substring("publication_year", 1, 4))
+
+
 def split_date(py: Column) -> list[Column]:
     """publication_year, publication_month, publication_day of YYYY/MM/DD/ with optional parts (A2)."""
     parts = F.split(py, "/")
@@ -48,12 +62,13 @@ def split_date(py: Column) -> list[Column]:
 
 
 def clean_date(pd: Column, py: Column) -> Column:
-    """Year first, without seasons, the first month of JAN-FEB and the first day of 3-5 (A3)."""
-    c = F.regexp_replace(pd, r"\b(?:SPR|SUM|FAL|WIN)\b", "")
-    c = F.regexp_replace(c, r"\b([A-Z]{3})-[A-Z]{3}\b", "$1")
+    """Year first where the date has none, without seasons, the first month of JAN-FEB and the first day of 3-5, in any case (A3)."""
+    year, pd = r"\b\d{4}\b", F.coalesce(pd, F.lit(""))
+    c = F.when(py.rlike(year) & ~pd.rlike(year), F.concat_ws(" ", py, pd)).otherwise(pd)
+    c = F.regexp_replace(c, r"(?i)\b(?:SPR|SUM|FAL|WIN)\b", "")
+    c = F.regexp_replace(c, r"(?i)\b([A-Z]{3})-[A-Z]{3}\b", "$1")
     c = F.regexp_replace(c, r"\b(\d{1,2})-\d{1,2}\b", "$1")
-    dated = F.when(c.contains(py), c).otherwise(F.concat_ws(" ", py, c))
-    return F.trim(F.regexp_replace(dated, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def timestamp_of(text: Column, year: Column, month: Column, day: Column, default=None) -> Column:
@@ -130,6 +145,47 @@ def read_hal_json(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     return first_of(out, "url", "docid")
 
 
+def read_istex_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(id, title, abstract, source, genre, authors, doi, lang, pub_ts) of the hits of API answers: the host's title wins over the
+    corpus name, the first language unless unknown, dates of three lengths; undated hits are dropped (A6). ``lines``: one answer
+    a line."""
+    host = "struct<title: string, genre: array<string>, pubdate: string>"
+    hit = f"struct<id: string, corpusName: string, title: string, genre: array<string>, language: array<string>, doi: array<string>, host: {host}, publicationDate: string, abstract: string, author: array<struct<name: string>>>"
+    hits = spark.read.schema(f"hits array<{hit}>").option("multiLine", not lines).json(path).select(F.explode("hits").alias("h")).select("h.*")
+    first = F.try_element_at("language", F.lit(1))
+    lang = F.when(first.isNull() | (first == "unknown"), F.lit("eng")).otherwise(first)
+    when, size = F.col("publicationDate"), F.length("publicationDate")
+    tries = lambda *formats: F.coalesce(*[F.try_to_timestamp(when, F.lit(f)) for f in formats])
+    stamp = F.when(size > 8, tries("yyyy-MMM-d", "yyyy-M-d")).when(size > 4, tries("yyyy-MMM", "yyyy-M")).otherwise(tries("yyyy"))
+    genre = F.when(F.size("genre") > 0, F.col("genre")).otherwise(F.col("host.genre"))
+    out = hits.select(
+        "id", "title", "abstract", F.coalesce("host.title", "corpusName").alias("source"), F.array_join(genre, ", ").alias("genre"), F.array_join("author.name", ", ").alias("authors"),
+        F.try_element_at("doi", F.lit(1)).alias("doi"), language_code(lang).alias("lang"), stamp.alias("pub_ts"),
+    )
+    return out.where("pub_ts is not null")
+
+
+def read_multivac_json(spark: SparkSession, path: str, lines: bool = False, default=None) -> DataFrame:
+    """(id, title, abstract, type, source, authors, url, pub_ts) of a search index dump; missing texts are empty, the year is the journal's
+    or, where that is invalid, the article's own, else ``default`` (A6)."""
+    source = "struct<id: string, title: string, abstract: string, type: string, issuedate: string, serial: struct<journaltitle: string, issuedate: string>, hasauthor: array<struct<person: struct<name: string>>>, file: struct<url: string>>"
+    rows = spark.read.schema(f"_source {source}").option("multiLine", not lines).json(path).select("_source.*")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    names = F.array_join(F.transform("hasauthor", lambda a: F.coalesce(a["person"]["name"], F.lit(""))), ", ")
+    year = F.when(F.col("serial.issuedate") == "Invalide date", F.col("issuedate")).otherwise(F.col("serial.issuedate"))
+    stamp = F.coalesce(F.try_to_timestamp(year, F.lit("yyyy")), F.lit(default).cast("timestamp"))
+    return rows.select(*[text(c).alias(c) for c in ("id", "title", "abstract", "type")], F.coalesce("serial.journaltitle", F.lit("REPEC Database")).alias("source"), F.coalesce(names, F.lit("")).alias("authors"), text("file.url").alias("url"), stamp.alias("pub_ts"))
+
+
+def read_isidore_json(spark: SparkSession, path: str, lines: bool = False, default=None) -> DataFrame:
+    """(title, abstract, authors, url, source, pub_ts) of a flat dump; of equal urls the first title stays, a date that cannot be
+    read becomes ``default`` (A6, A11)."""
+    rows = spark.read.schema("title string, abstract string, authors string, url string, source string, date string").option("multiLine", not lines).json(path)
+    stamp = F.coalesce(F.try_to_timestamp("date", F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.lit(default).cast("timestamp"))
+    out = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "abstract", "authors", "url")], F.coalesce("source", F.lit("ISIDORE Database")).alias("source"), stamp.alias("pub_ts"))
+    return first_of(out, "url", "title")
+
+
 def first_of(df: DataFrame, by: str, order: str) -> DataFrame:
     """The row with the smallest ``order`` of each value of ``by``."""
     columns = df.columns
@@ -152,6 +208,51 @@ def press_articles(pages: DataFrame, html: str = "html", key: str = "page_id") -
     return found.select(key, F.col("pos").cast("long").alias("pos"), title.alias("title"), body.alias("body"), F.nullif("lang", F.lit("")).alias("lang"))
 
 
+# The months and week days of press headers, and the classes of the parts of an article.
+MONTHS = {
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    "en": ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+}
+DAYS = ("lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+PRESS_CLASSES = {"title": "titreArticleVisu rdp__articletitle", "authors": "docAuthors", "publication": "DocPublicationName", "header": "DocHeader", "text": "DocText clearfix"}
+
+
+def press_documents(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """(key, pos, title, authors, abstract, source, number, lang, pub_ts, section, error) of the articles of press archive pages.
+
+    Authors are joined by "; ", paragraphs are kept as <p>; the publication's name is cut at ", ". The form of the date in the
+    header tells the language, French or English; without one both are null. The section is the header's first part unless
+    that belongs to the date. An article without a header or a title has an error.
+    """
+    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)<article.*?</article>"), F.lit(0))).alias("pos", "part"))
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    head = F.regexp_extract("part", r"(?s)<header[^>]*>(.*?)</header>", 1)
+    of_class = lambda name: F.lit(rf'(?s)<(\w+)[^>]*\bclass\s*=\s*[\'"][^\'"]*{PRESS_CLASSES[name]}[^\'"]*[\'"][^>]*>(.*?)</\1>')
+    parts = lambda where, name: F.transform(F.regexp_extract_all(where, of_class(name), F.lit(2)), plain)
+    rows = found.select(key, F.col("pos").cast("long").alias("pos"), "part", head.alias("head"))
+    rows = rows.withColumns({"titles": parts(F.col("head"), "title"), "writers": parts(F.col("head"), "authors"), "names": parts(F.col("head"), "publication"), "headers": parts(F.col("head"), "header")})
+    texts = F.transform(F.regexp_extract_all(F.regexp_extract("part", r"(?s)<section[^>]*>(.*)</section>", 1), F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), plain)
+    paragraphs = F.concat(F.slice("titles", 2, 1_000_000), texts)
+    name, detail = F.try_element_at("names", F.lit(1)), F.try_element_at("headers", F.lit(1))
+    search = F.coalesce(detail, plain(F.col("head")))
+    french = F.regexp_extract(search, rf"[0-3]?\d\s+(?:{'|'.join(MONTHS['fr'])})\s+(?:19|20)\d\d", 0)
+    english = F.regexp_extract(search, rf"\b(?:{'|'.join(MONTHS['en'])})\s+[0-3]?\d,\s+(?:19|20)\d\d", 0)
+    numbers = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS["fr"], 1) for x in (m, str(i))])
+    words = F.split(french, r"\s+")
+    stamp_fr = F.try_to_timestamp(F.concat_ws("-", F.try_element_at(words, F.lit(3)), F.try_element_at(numbers, F.try_element_at(words, F.lit(2))), F.try_element_at(words, F.lit(1))), F.lit("yyyy-M-d"))
+    stamp_en = F.try_to_timestamp(F.regexp_replace(english, r"\s+", " "), F.lit("MMMM d, yyyy"))
+    first = F.try_element_at(F.split(detail, ", "), F.lit(1))
+    dated = first.rlike(rf"(?i)\b(?:{'|'.join((*MONTHS['fr'], *MONTHS['en'], *DAYS))})\b") | first.rlike(r"^[\d\s/.-]*$")
+    error = F.when(plain(F.col("head")) == "", F.lit("no header")).when(F.size("titles") == 0, F.lit("no title"))
+    return rows.select(
+        key, "pos", F.try_element_at("titles", F.lit(1)).alias("title"), F.array_join("writers", "; ").alias("authors"),
+        F.array_join(F.transform(paragraphs, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "\n").alias("abstract"),
+        F.try_element_at(F.split(name, ", "), F.lit(1)).alias("source"), F.try_element_at(F.split(name, ", "), F.lit(2)).alias("number"),
+        F.when(french != "", F.lit("fr")).when(english != "", F.lit("en")).alias("lang"), F.when(french != "", stamp_fr).otherwise(stamp_en).alias("pub_ts"),
+        F.when(~dated, first).alias("section"), error.alias("error"),
+    )
+
+
 def good(docs: DataFrame) -> DataFrame:
     """Documents without an error; the others are kept in the table but skipped downstream."""
     return docs.where("error is null").drop("error")
