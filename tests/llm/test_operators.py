@@ -169,8 +169,16 @@ def test_packing(docs, rows, empty):
     got = packing.pack(docs, subwords.vocabulary_path()).collect()
     assert len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 and r.length == 1 << r.bucket == len(r.ids) <= 1024 for r in got)
     assert sum(r.length for r in got) == sum(len(coder.encode(t)) // 4 + 1 for _, t, *_ in rows)
-    mine = sorted((r.start, r.ids) for r in got if r.doc_id == 206)
-    assert [x for _, ids in mine for x in ids] == np.frombuffer(coder.encode(next(t for i, t, *_ in rows if i == 206)), "<u4").tolist() + [0]
+    whole = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id >> 33, r.sequence_id)):  # the pieces of a row follow each other
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        if r.start == 0:
+            last = whole.setdefault((r.doc_id, r.sequence_id), [])
+        assert r.start == len(last)
+        last += r.ids
+        assert len(last) <= r.doc_tokens and (r.length == 1024 or r.doc_tokens - r.start < 1024)
+    want = collections.Counter((i, tuple(np.frombuffer(coder.encode(t), "<u4").tolist() + [0])) for i, t, *_ in rows)
+    assert collections.Counter((k, tuple(ids)) for (k, _), ids in whole.items()) == want
     assert packing.pack(empty, subwords.vocabulary_path()).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs, subwords.vocabulary_path(), longest=1000)
@@ -306,18 +314,36 @@ def test_components(spark):
 
 
 def test_pipeline_stages(spark, docs, rows, empty):
+    """Every stage against its brute-force version, on what its predecessor kept."""
     table = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    now = table
+    now, before = table, None
     for name, stage in corpus_pipeline.STAGES:
+        before = [tuple(r) for r in now.collect()]
         new = store.staged(stage(spark, now, ""), name)
+        got = [tuple(r) for r in new.collect()]
         if name == "language":
-            kept = [r.doc_id for r in new.collect()]
-            assert not {202, 203, 204, 205} & set(kept) and 206 in kept
-        elif name in ("exact_copies", "near_copies"):
-            texts = [r.text for r in new.collect()]
-            assert len(texts) == len(set(texts)) or name == "near_copies"
+            network = langid.train(now, F.lit(True))
+            labelled = {(i, t): langid.label_texts(network, [t.encode()]).max() for i, t, *_ in before if t and re.search(r"[^\W\d_]", t)}
+            want = [r for r in before if labelled.get(r[:2], 0) >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+            assert collections.Counter(got) == collections.Counter(want) and not {202, 203, 204, 205} & {r[0] for r in got}
+        elif name == "exact_copies":
+            top = {}
+            for i, t, *_ in before:
+                top[t or ""] = max(top.get(t or "", -1), -1 if i is None else i)
+            assert collections.Counter((t or "", -1 if i is None else i) for i, t, *_ in got) == collections.Counter(top.items())
+        elif name == "near_copies":
+            sets = {r[0]: shingles(r[1]) for r in before}
+            low = {i: min(j for j in sets if j == i or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in sets}
+            assert all(low[low[i]] == low[i] for i in sets)  # the fixture holds no chains, so groups are what each text is near
+            assert sorted(r[0] for r in got) == sorted(i for i in sets if low[i] == i)
         elif name == "mix":
-            assert sorted(map(str, new.collect())) == sorted(map(str, now.collect()))
+            assert collections.Counter(got) == collections.Counter(before)
+            slots = mixing.mix(now, mixing.size_weights(now, corpus_pipeline.SIZE_POWER)).collect()
+            assert [r.doc_id for r in stage(spark, now, "").collect()] == [r.doc_id for r in sorted(slots, key=lambda r: (r.slot, r.place))]
+        else:
+            coder = subwords.encoder(subwords.vocabulary_path())
+            pieces = [(i, n) for i, t, *_ in before for n in packing.pieces(len(coder.encode(t)) // 4 + 1, 1024)]
+            assert collections.Counter((r.doc_id, r.length) for r in new.collect()) == collections.Counter(pieces)
         assert name == "pack" or new.columns == table.columns
         now = new
     small = empty.select("doc_id", "text", "lang", "source", "n_chars")
@@ -363,3 +389,70 @@ def test_similar_copies_by_brute_force(spark, monkeypatch):
     got = collections.Counter(x.doc_id for x in kept.collect())
     assert got.pop(None) == 1 and got.pop(3) == 2 and set(got) | {3} == want
     assert similar.drop_similar(table.where("false")).count() == 0
+
+
+def plain_score(model, ids):
+    """Natural log of a sequence, one number at a time."""
+    w, size = {k: v.astype(float) for k, v in model.weights.items()}, model.size
+    soft = lambda x: x / (1 + abs(x))
+    h, before, out = np.zeros(size), model.end, 0.0
+    for t in ids:
+        x, u = w["table"][:, before], w["inner"] @ h
+        gates = 0.5 + 0.5 * soft(x[: 2 * size] + u[: 2 * size])
+        new = soft(x[2 * size :] + u[2 * size :] * gates[size:])
+        h = gates[:size] * h + (1 - gates[:size]) * new
+        share = lambda z: np.exp(z) / np.exp(z).sum()
+        group = int(model.group[t])
+        out += math.log(share(w["classes"] @ h + w["class_bias"][:, 0])[group])
+        if t < model.n:
+            s, e = model.edges[group], model.edges[group + 1]
+            out += math.log(share(w["words"][s:e] @ h + w["word_bias"][s:e, 0])[t - s])
+        before = t
+    return out
+
+
+def test_language_model_scores_by_the_book(docs, rows):
+    learn = F.coalesce(F.col("doc_id") % 5 != 0, F.lit(False))
+    vocabulary = lm.count_words(docs, learn, head=9)
+    model = lm.fit(docs, learn, vocabulary, rounds=2)
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score(docs, model, vocabulary).collect()}
+    place = {w: i for i, w in enumerate(vocabulary.head)}
+    others, types = vocabulary.tokens - vocabulary.head_tokens, vocabulary.distinct - len(vocabulary.head)
+    for i, text, *_ in rows[:60:7] + [r for r in rows if r[0] in (202, 203, 205)]:
+        words = [*lm.split(text), lm.END]
+        tail = sum(math.log10((vocabulary.known.get(w, 0) + 0.1) / (others + 0.1 * (types + 1))) for w in words if w not in place)
+        want = plain_score(model, [place.get(w, model.n) for w in words]) / math.log(10) + tail
+        assert abs(got[i, len(words)] - want) < 1e-3 * len(words)
+
+
+def test_language_model_beats_single_words_on_unseen_texts(spark):
+    r, ring = random.Random(6), [f"w{i}" for i in range(12)]
+    data = []
+    for i in range(600):
+        at = r.randrange(12)
+        data.append((i, " ".join(ring[(at + k) % 12] if r.random() < 0.9 else r.choice(ring) for k in range(30))))
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    learn = F.col("doc_id") % 5 != 0
+    vocabulary = lm.count_words(table, learn)
+    scores = lm.score(table.where(~learn), lm.fit(table, learn, vocabulary), vocabulary).collect()
+    assert len(scores) == 120 and sum(x.score for x in scores) > sum(x.base_score for x in scores) + 100
+
+
+def test_mixing_stays_within_a_block_of_uneven_targets():
+    """Every source at every prefix of 100,000 slots, 1,500 sources of weights 1 to 1,500."""
+    whole = mixing.shares({f"s{i}": float(i) for i in range(1, 1501)})
+    total = sum(whole.values())
+    worst, done = 0.0, dict.fromkeys(whole, 0)
+    for t, name, block, release, deadline in mixing.schedule(whole):
+        share = whole[name] / total
+        assert release <= t < deadline and block == done[name]
+        worst = max(worst, abs(t * share - block), abs((t + 1) * share - block - 1))  # a source strays most right before and after its slots
+        done[name] += 1
+        if t == 99_999:
+            break
+    assert worst < 1 and all(abs(done[n] - 100_000 * a / total) < 1 for n, a in whole.items())
+
+
+def test_vectors_of_extreme_scale_keep_their_links(spark):
+    table = spark.createDataFrame([(i, [s * x for x in (1.0, 2.0, 3.0)], 0) for i, s in enumerate((1.0, 1e200, 1e-200, 1e-310))], "vec_id long, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in embed.near_vectors(table).collect()} == {(3, 0)}
