@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import substitute
-from .storage import checkpointed
+from .storage import checkpointed, staged
 
 
 def cooccurrences(terms: DataFrame, members: DataFrame | None = None, groups: DataFrame | None = None, stop: DataFrame | None = None, threshold: int = 3, diagonal: bool = True, half: bool = True, by: tuple[str, ...] = ("corpus_id",)) -> DataFrame:
@@ -169,7 +169,7 @@ def _one_level(edges: DataFrame, loops: DataFrame, least_gain: float, most_round
         gain = F.round(F.col("kc") - outside * F.col("k") / doubled, 9)
         best = options.select("v", "own", "c", gain.alias("gain")).groupBy("v", "own").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("here"), F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"))
         moves = (-F.col("best.loss") > F.col("here")) & (F.pmod(F.xxhash64("v", F.lit(turn // 2)), F.lit(2)) == turn % 2)
-        new = checkpointed(best.select("v", F.when(moves, F.col("best.c")).otherwise(F.col("own")).alias("c"), moves.alias("moved")))
+        new = staged(best.select("v", F.when(moves, F.col("best.c")).otherwise(F.col("own")).alias("c"), moves.alias("moved")))
         moved = new.where("moved").limit(1).count()
         where = new.select("v", "c")
         still = 0 if moved else still + 1
@@ -198,7 +198,7 @@ def community_levels(edges: DataFrame, least_gain: float = 1e-6, most_levels: in
     score = None
     for _ in range(most_levels):
         loops = now.where("s = t").select(F.col("s").alias("v"), "w")
-        level = checkpointed(_one_level(now, loops, least_gain, most_rounds))
+        level = staged(_one_level(now, loops, least_gain, most_rounds))
         new = modularity(original, compose_levels([*levels, level])).first()["modularity"]
         if new is None or (score is not None and new - score < least_gain):
             return levels
@@ -206,7 +206,7 @@ def community_levels(edges: DataFrame, least_gain: float = 1e-6, most_levels: in
         score = new
         c = lambda k, level=level: level.select(F.col("id").alias(k), F.col("cluster").alias(f"c{k}"))
         joined = now.join(c("s"), "s", "left").join(c("t"), "t", "left").select(F.coalesce("cs", "s").alias("s"), F.coalesce("ct", "t").alias("t"), "w")
-        now = checkpointed(joined.groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.sum("w").alias("w")))
+        now = staged(joined.groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.sum("w").alias("w")))
     raise RuntimeError("communities did not settle")
 
 

@@ -16,7 +16,7 @@ from termloom.sources.ingest import new_terms as new_terms_of
 
 from .documents import index_terms
 from .metrics import substitute
-from .storage import checkpointed, ranked
+from .storage import checkpointed, ranked, staged
 
 # ---- joins and rankings
 
@@ -135,7 +135,7 @@ def group_union(a: DataFrame, b: DataFrame, max_rounds: int = 30) -> DataFrame:
         near = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
         moved = labels.join(near, "v").select("v", F.least("label", "near").alias("label"))
         jump = moved.join(moved.select(F.col("v").alias("label"), F.col("label").alias("further")), "label")
-        new = checkpointed(jump.select("v", F.least("label", "further").alias("label")))
+        new = staged(jump.select("v", F.least("label", "further").alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "v").where("label <> old").limit(1).count()
         labels = new
         if not changed:

@@ -28,6 +28,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back. For loops: what the optimizer infers of a plan, and a checkpoint
+    hands on, starts anew here, where it would double in every round."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/termloom-{uuid.uuid4().hex}/{name}"

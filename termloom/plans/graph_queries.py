@@ -189,28 +189,21 @@ def h12(spark, sf_dir):
 
 
 @query(
-    "h12_invariants",
-    "SELECT count(*) AS vertices, count(*) AS placed, true AS once, true AS gained FROM (SELECT s FROM edges UNION SELECT t FROM edges)",
+    "h13_partition_level",
+    "SELECT count(*) AS vertices, count(*) AS placed, true AS once, true AS gained, true AS nested FROM (SELECT s FROM edges UNION SELECT t FROM edges)",
     GRAPH_SQL,
 )
-def h12_invariants(spark, sf_dir):
-    """Every vertex of the graph is in one community, and modularity is not below that of single vertices."""
+def h13(spark, sf_dir):
+    """Invariants of the levels: every vertex is in one community of the last, whose modularity is not below that of single vertices,
+    and communities of the first level lie whole in those of the last."""
     edges, levels = own_communities(spark, sf_dir)
-    found = G.compose_levels(levels)
+    first, found = G.compose_levels(levels[:1]), G.compose_levels(levels)
     alive = edges.select(F.col("s").alias("id")).union(edges.select("t")).distinct()
-    score = lambda p, name: G.modularity(edges, p).withColumnRenamed("modularity", name)
     counts = alive.join(found.groupBy("id").agg(F.count("*").alias("n")), "id", "full").agg(F.count("*").alias("vertices"), F.count("n").alias("placed"), F.min(F.coalesce("n", F.lit(0)) == 1).alias("once"))
-    return counts.crossJoin(score(found, "found")).crossJoin(score(alive.withColumn("cluster", F.col("id")), "single")).select("vertices", "placed", "once", (F.col("found") >= F.col("single")).alias("gained"))
-
-
-@query("h13_partition_level", "SELECT count(*) AS vertices, true AS nested FROM (SELECT s FROM edges UNION SELECT t FROM edges)", GRAPH_SQL)
-def h13(spark, sf_dir):
-    """Communities of the first level lie whole in those of the last."""
-    _, levels = own_communities(spark, sf_dir)
-    first, last = G.compose_levels(levels[:1]), G.compose_levels(levels).withColumnRenamed("cluster", "whole")
-    both = first.join(last, "id")
-    split = both.groupBy("cluster").agg(F.countDistinct("whole").alias("n")).agg(F.max("n").alias("n"))
-    return both.agg(F.count("*").alias("vertices")).crossJoin(split).select("vertices", (F.col("n") == 1).alias("nested"))
+    score = lambda p, name: G.modularity(edges, p).withColumnRenamed("modularity", name)
+    parts = first.join(found.withColumnRenamed("cluster", "whole"), "id").groupBy("cluster").agg(F.countDistinct("whole").alias("parts")).agg(F.max("parts").alias("parts"))
+    every = counts.crossJoin(score(found, "found")).crossJoin(score(alive.withColumn("cluster", F.col("id")), "single")).crossJoin(parts)
+    return every.select("vertices", "placed", "once", (F.col("found") >= F.col("single")).alias("gained"), (F.col("parts") == 1).alias("nested"))
 
 
 @query("h9_min_max", """, p AS (SELECT a, b, weight / s AS w FROM full_ JOIN sums ON a = v) SELECT round(min(greatest(0, coalesce(top, 0))), 6) AS threshold FROM sums LEFT JOIN (SELECT b, max(w) AS top FROM p GROUP BY 1) ON v = b""", BASKET_SQL + H3_SQL + FULL_SQL)

@@ -187,8 +187,8 @@ def g5(spark, sf_dir):
 # ---- algebra: A holds terms of one nation's baskets, B of another's, M the pairs of names and brands in one order
 
 ALGEBRA_SQL = """
-, ua AS (SELECT DISTINCT term FROM basket WHERE corpus_id = 'NATION_7' AND weight >= 40), ub AS (SELECT DISTINCT term FROM basket WHERE corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1993-01-01'),
-wa AS (SELECT term, sum(weight) AS weight FROM basket WHERE corpus_id = 'NATION_7' AND weight >= 40 GROUP BY 1), wb AS (SELECT term, sum(weight) AS weight FROM basket WHERE corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1993-01-01' GROUP BY 1),
+, ua AS (SELECT DISTINCT term FROM basket WHERE corpus_id = 'NATION_7' AND weight >= 40), ub AS (SELECT DISTINCT term FROM basket WHERE corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1997-01-01'),
+wa AS (SELECT term, sum(weight) AS weight FROM basket WHERE corpus_id = 'NATION_7' AND weight >= 40 GROUP BY 1), wb AS (SELECT term, sum(weight) AS weight FROM basket WHERE corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1997-01-01' GROUP BY 1),
 m AS (SELECT a.term AS a, b.term AS b, CAST(count(*) AS DOUBLE) AS weight FROM basket a JOIN basket b ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.corpus_id = 'NATION_11' GROUP BY ALL),
 n AS (SELECT a.term AS a, b.term AS b, CAST(count(*) AS DOUBLE) AS weight FROM basket a JOIN basket b ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.corpus_id = 'NATION_11' AND a.weight > 20 GROUP BY ALL)
 """
@@ -196,7 +196,7 @@ n AS (SELECT a.term AS a, b.term AS b, CAST(count(*) AS DOUBLE) AS weight FROM b
 
 def operands(spark, sf_dir):
     rows = baskets(spark, sf_dir)
-    a, b = rows.where("corpus_id = 'NATION_7' AND weight >= 40"), rows.where("corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1993-01-01'")
+    a, b = rows.where("corpus_id = 'NATION_7' AND weight >= 40"), rows.where("corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1997-01-01'")
     wa, wb = (x.groupBy("term").agg(F.sum("weight").alias("weight")) for x in (a, b))
     return wa.select("term"), wb.select("term"), wa, wb
 

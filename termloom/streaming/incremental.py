@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def index_stream(docs: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
+def index_stream(docs: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Append the (doc_id, term, weight) rows of new documents that the table at ``path`` lacks (L1).
 
-    Each batch meets the stored rows of its documents' buckets in an anti join, so a batch that is run again adds nothing. The
-    table is partitioned by ``bucket``, a hash of the document, and a batch reads the buckets it holds only.
+    Each batch meets the stored rows in the range of its documents' ids in an anti join, so a batch that is run again adds nothing.
+    Rows are written in the order of doc_id, so that the files' and row groups' bounds keep the other ranges from being read:
+    where new documents have new ids, as numbers given in order, a batch reads next to nothing of the index.
     """
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = extract(batch.dropDuplicates(["doc_id"])).withColumn("bucket", bucket)
-        rows.where("false").write.mode("ignore").partitionBy("bucket").parquet(path)  # the first batch makes the table
-        mine = [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
-        known = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(mine)).select("doc_id", "term")
+        rows = extract(batch.dropDuplicates(["doc_id"]))
+        rows.where("false").write.mode("ignore").parquet(path)  # the first batch makes the table
+        ends = batch.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+        known = spark.read.schema(rows.schema).parquet(path).where(F.col("doc_id").between(ends["low"], ends["high"])).select("doc_id", "term")
         rows = rows.join(known, ["doc_id", "term"], "left_anti")
-        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("append").parquet(path)
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
