@@ -23,6 +23,7 @@ def one(spark, c):
 
 
 def test_specificity_example(spark):
+    # A published worked example, counts of seven sentences' nouns, and its results.
     names = "animals food grass humans report rivers war water".split()
     grid = [[4, 2, 1, 1, 4, 0, 0, 1], [2, 3, 1, 1, 3, 0, 0, 1], [1, 1, 1, 0, 1, 0, 0, 0], [1, 1, 0, 3, 3, 0, 1, 1], [4, 3, 1, 3, 7, 1, 1, 3], [0, 0, 0, 0, 1, 1, 0, 1], [0, 0, 0, 1, 1, 0, 1, 0], [1, 1, 0, 1, 3, 1, 0, 3]]
     pairs = spark.createDataFrame([(a, b, grid[i][j]) for (i, a), (j, b) in itertools.product(enumerate(names), repeat=2) if i <= j and grid[i][j]], "a string, b string, weight long")
