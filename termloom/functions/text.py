@@ -51,20 +51,18 @@ def tokens(c: Column, pattern: str = TOKEN) -> Column:
 def chunk_tagged(tagged: Column, letter: Callable[[Column], Column], rule: str = "J*N+J*", most: int = 6) -> Column:
     """Phrases whose tags match ``rule``, of at most ``most`` tokens, from array<struct<token, tag>>.
 
-    ``letter`` maps a tag to one letter of the rule; a phrase starts where the letters before it end.
+    ``letter`` maps a tag to one letter of the rule; a phrase starts where the letters before it end. Each expression passes once
+    over the text, however many phrases it holds. Tokens lose the characters U+0001 to U+0003, which mark places here.
     """
     letters = F.array_join(F.transform(tagged, lambda t: letter(t["tag"])), "")
-    runs = F.regexp_extract_all(letters, F.lit(f"({rule})"), F.lit(1))
-    marked = F.regexp_replace(letters, rule, "|")
-    gaps = F.transform(F.split(marked, r"\|"), F.length)
-    place = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(runs)).alias("gap"), F.transform(runs, F.length).alias("n")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("found")),
-        lambda s, x: F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.concat(s["found"], F.array(F.struct((s["at"] + x["gap"] + 1).alias("start"), x["n"].alias("n")))).alias("found")),
-        lambda s: s["found"],
-    )
-    words = F.transform(tagged, lambda t: t["token"])
-    return F.transform(F.filter(place, lambda p: p["n"] <= most), lambda p: F.array_join(F.slice(words, p["start"], p["n"]), " "))
+    marked = F.replace(F.regexp_replace(letters, f"({rule})", "<$1>"), F.lit("<>"), F.lit(""))
+    marks = F.regexp_extract_all(marked, F.lit("<?[^<>]>?"), F.lit(0))  # one a token
+    words = F.transform(tagged, lambda t: F.translate(t["token"], "\u0001\u0002\u0003", ""))
+    opened = lambda m: F.when(m.startswith("<"), "\u0002").otherwise("")
+    closed = lambda m: F.when(m.endswith(">"), "\u0003").otherwise("")
+    line = F.array_join(F.zip_with(words, marks, lambda w, m: F.concat(opened(m), w, closed(m))), "\u0001")
+    runs = F.transform(F.regexp_extract_all(line, F.lit("\u0002([^\u0003]*)\u0003"), F.lit(1)), lambda r: F.split(r, "\u0001"))
+    return F.transform(F.filter(runs, lambda r: F.size(r) <= most), lambda r: F.array_join(r, " "))
 
 
 def sub_phrases(words: Column) -> Column:

@@ -286,7 +286,10 @@ def k1(spark, sf_dir):
     return workflow.corpus_workflow(baskets(spark, sf_dir), None, stop_list(spark), map_limit=40).map_list
 
 
-@query("k2_recount")
+K2_SQL = H5_SQL.replace("DISTINCT doc_id, term FROM basket", "DISTINCT doc_id, coalesce(mainform, term) AS term FROM basket LEFT JOIN groups ON term = subform")
+
+
+@query("k2_recount", "SELECT term, round(gen, 3) AS gen, round(spec, 3) AS spec, round(spec - gen, 3) AS specclusion, round(spec + gen, 3) AS genclusion FROM sums", BASKET_SQL + K2_SQL)
 def k2(spark, sf_dir):
     groups, names = basket_groups(spark, sf_dir), basket_list(spark, sf_dir)
     return workflow.recount(baskets(spark, sf_dir), groups, names.join(groups, names["term"] == groups["subform"], "left_anti")).scores

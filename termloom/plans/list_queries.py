@@ -153,7 +153,17 @@ def g1(spark, sf_dir):
     return L.group_by_stem(rows, F.broadcast(stop_list(spark)), T.stem_key)
 
 
-@query("g2_group_union")
+@query(
+    "g2_group_union",
+    """, firsts AS (SELECT min(p_name) OVER (PARTITION BY split_part(p_name, ' ', 1)) AS mainform, p_name AS subform FROM (SELECT DISTINCT p_name FROM part)),
+    links AS (SELECT * FROM groups UNION ALL SELECT * FROM firsts WHERE mainform <> subform),
+    both_ AS (SELECT mainform AS v, subform AS w FROM links UNION SELECT subform, mainform FROM links),
+    reach AS (SELECT v, v AS w FROM both_ UNION SELECT r.v, e.w FROM reach r JOIN both_ e ON r.w = e.v),
+    part_ AS (SELECT v, min(w) AS label FROM reach GROUP BY 1),
+    led AS (SELECT v, first_value(v) OVER (PARTITION BY label ORDER BY (SELECT count(*) FROM links WHERE mainform = v) DESC, v) AS mainform FROM part_)
+    SELECT mainform, v AS subform FROM led WHERE v <> mainform""",
+    "RECURSIVE " + BASKET_SQL,
+)
 def g2(spark, sf_dir):
     groups = basket_groups(spark, sf_dir)
     firsts = basket_list(spark, sf_dir).withColumn("key", F.split_part("term", F.lit(" "), F.lit(1)))

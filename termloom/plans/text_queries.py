@@ -53,7 +53,20 @@ def b4(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
-@query("b5_tagged_chunks")
+B5_SQL = f"""
+l AS (SELECT doc_id, t, array_to_string(list_transform(t, lambda w: CASE WHEN regexp_matches(w, '\\d') THEN 'x' WHEN length(w) <= 4 THEN 'J' ELSE 'N' END), '') AS letters
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM documents)),
+r AS (SELECT doc_id, unnest(regexp_extract_all(letters, 'J*N+J*')) AS run, unnest(string_split_regex(letters, 'J*N+J*')[1:-2]) AS gap, unnest(generate_series(1, len(regexp_extract_all(letters, 'J*N+J*')))) AS i FROM l),
+placed AS (SELECT doc_id, length(run) AS n, CAST(sum(length(gap) + length(run)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS last FROM r),
+tokens AS (SELECT doc_id, unnest(t) AS token, unnest(generate_series(1, len(t))) AS pos FROM l)"""
+
+
+@query(
+    "b5_tagged_chunks",
+    """SELECT k.doc_id, string_agg(token, ' ' ORDER BY pos) AS term FROM tokens k ASOF JOIN placed p ON k.doc_id = p.doc_id AND k.pos <= p.last
+    WHERE pos > last - n AND n <= 6 GROUP BY k.doc_id, last""",
+    B5_SQL,
+)
 def b5(spark, sf_dir):
     """Words of up to four letters stand for adjectives, longer ones for nouns, others for the rest."""
     words = T.tokens(F.lower("text"))
@@ -83,7 +96,11 @@ def b8(spark, sf_dir):
     return D.weigh_terms(D.phrases(docs, F.col("abstract"), stop_list(spark), keys=("doc_id",)), keys=("doc_id",))
 
 
-@query("b7_sub_phrases")
+@query(
+    "b7_sub_phrases",
+    """SELECT p_partkey, array_to_string(list_slice(t, i, j), ' ') AS term
+    FROM (SELECT p_partkey, t, i, unnest(generate_series(i, len(t))) AS j FROM (SELECT p_partkey, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part)))""",
+)
 def b7(spark, sf_dir):
     words = F.split("p_name", " ")
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(T.sub_phrases(words)).alias("words")).select("p_partkey", F.array_join("words", " ").alias("term"))
