@@ -5,7 +5,7 @@ Pairs are (a, b, weight); graphs are edges (s, t, w) with s < t.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .metrics import substitute
@@ -155,23 +155,22 @@ def _one_level(edges: DataFrame, loops: DataFrame, least_gain: float, most_round
     degree = both.select("v", "w").unionAll(loops.select(F.col("v"), (2 * F.col("w")).alias("w"))).groupBy("v").agg(F.sum("w").alias("k"))
     degree = checkpointed(degree)
     doubled = degree.agg(F.sum("k").alias("mm")).first()["mm"] or 0.0
-    where = checkpointed(degree.select("v", F.col("v").alias("c")))
+    where = checkpointed(degree.select("v", F.col("v").alias("c"), "k"))
     still, scores = 0, []
     if doubled == 0:
         return where.select(F.col("v").alias("id"), F.col("c").alias("cluster"))
     for turn in range(most_rounds):
-        placed = where.join(degree, "v")
-        total = placed.groupBy("c").agg(F.sum("k").alias("total"))
-        links = both.join(where.select(F.col("v").alias("u"), F.col("c")), "u").groupBy("v", "c").agg(F.sum("w").alias("kc"))
-        stay = where.select("v", "c", F.lit(0.0).alias("kc"))
-        options = links.unionByName(stay).groupBy("v", "c").agg(F.sum("kc").alias("kc")).join(total, "c").join(placed.select("v", F.col("c").alias("own"), "k"), "v")
+        total = where.groupBy("c").agg(F.sum("k").alias("total"))
+        near = both.join(where.select(F.col("v").alias("u"), "c"), "u").select("v", "c", "w").unionAll(where.select("v", "c", F.lit(0.0)))
+        options = near.groupBy("v", "c").agg(F.sum("w").alias("kc")).join(total, "c").join(where.select("v", F.col("c").alias("own"), "k"), "v")
         outside = F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
         gain = F.round(F.col("kc") - outside * F.col("k") / doubled, 9)
-        best = options.select("v", "own", "c", gain.alias("gain")).groupBy("v", "own").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("here"), F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"))
+        best = options.select("v", "own", "k", "c", gain.alias("gain")).groupBy("v", "own", "k").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("here"), F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"))
         moves = (-F.col("best.loss") > F.col("here")) & (F.pmod(F.xxhash64("v", F.lit(turn // 2)), F.lit(2)) == turn % 2)
-        new = staged(best.select("v", F.when(moves, F.col("best.c")).otherwise(F.col("own")).alias("c"), moves.alias("moved")))
-        moved = new.where("moved").limit(1).count()
-        where = new.select("v", "c")
+        seen = Observation()
+        placed = best.select("v", F.when(moves, F.col("best.c")).otherwise(F.col("own")).alias("c"), "k", moves.alias("moved"))
+        where = staged(placed.observe(seen, F.max("moved").alias("moved"))).drop("moved")
+        moved = seen.get["moved"]
         still = 0 if moved else still + 1
         if still == 2:
             break

@@ -12,8 +12,9 @@ from termloom.operators.storage import checkpointed
 from . import workflow
 from .base import query
 from .corpora import BASKET_SQL, TEXT_SQL, basket_groups, basket_list, baskets, table, text_documents, text_terms
-from .list_queries import E1_SQL, NAMES, stop_list
-from .term_queries import six
+from .list_queries import E1_SQL, F1_SQL, NAMES, stop_list
+from .term_queries import STOP_SQL, six
+from .text_queries import STEM_KEY_SQL
 
 H1_SQL = """
 , listed AS (SELECT DISTINCT corpus_id, doc_id, term FROM doc_terms SEMI JOIN main USING (corpus_id, term)),
@@ -68,12 +69,12 @@ def h4(spark, sf_dir):
     return G.field_cooccurrences(text_documents(spark, sf_dir), "lang", text_terms(spark, sf_dir))
 
 
-H5_SQL = f"""
-, named AS (SELECT DISTINCT doc_id, term FROM basket WHERE term IN {NAMES}),
-full_ AS (SELECT x.term AS i, y.term AS j, count(*) AS n FROM named x JOIN named y USING (doc_id) GROUP BY ALL HAVING count(*) >= 3),
+SCORES_SQL = """
+, full_ AS (SELECT x.term AS i, y.term AS j, count(*) AS n FROM named x JOIN named y USING (doc_id) GROUP BY ALL HAVING count(*) >= 3),
 p AS (SELECT i, j, f.n / d.n AS p FROM full_ f JOIN (SELECT i AS j, n FROM full_ WHERE i = j) d USING (j)),
 sums AS (SELECT term, sum(g) AS gen, sum(s) AS spec FROM (SELECT i AS term, p AS g, 0 AS s FROM p UNION ALL SELECT j, 0, p FROM p) GROUP BY 1)
 """
+H5_SQL = f", named AS (SELECT DISTINCT doc_id, term FROM basket WHERE term IN {NAMES})" + SCORES_SQL
 
 
 @query("h5_specificity", "SELECT term, round(gen, 3) AS gen, round(spec, 3) AS spec, round(spec - gen, 3) AS specclusion, round(spec + gen, 3) AS genclusion FROM sums", BASKET_SQL + H5_SQL)
@@ -81,15 +82,16 @@ def h5(spark, sf_dir):
     return G.specificity(G.cooccurrences(baskets(spark, sf_dir), basket_list(spark, sf_dir), by=()))
 
 
-@query(
-    "e2_map_list",
-    f"""{H5_SQL.replace('full_', 'everything').replace(f"WHERE term IN {NAMES}", '')}
-    , pool AS (SELECT term, round(spec - gen, 3) AS spec, round(spec + gen, 3) AS gen, instr(term, ' ') = 0 AS mono FROM sums WHERE term NOT IN (SELECT subform FROM groups)),
-    s AS (SELECT term FROM pool QUALIFY row_number() OVER (PARTITION BY mono ORDER BY spec DESC, term) <= CASE WHEN mono THEN 2 ELSE 6 END),
-    g AS (SELECT term FROM pool WHERE term NOT IN (SELECT term FROM s) QUALIFY row_number() OVER (PARTITION BY mono ORDER BY gen DESC, term) <= CASE WHEN mono THEN 2 ELSE 10 END)
-    SELECT term, 'spec' AS picked_by FROM s UNION ALL SELECT term, 'gen' FROM g""",
-    BASKET_SQL,
-)
+def map_sql(subforms: str, mono: tuple[int, int], multi: tuple[int, int]) -> str:
+    """Picks from ``sums``: numbers by specclusion and by genclusion, of single words and of longer terms."""
+    return f"""
+    , pool AS (SELECT term, round(spec - gen, 3) AS spec, round(spec + gen, 3) AS gen, instr(term, ' ') = 0 AS mono FROM sums WHERE term NOT IN (SELECT subform FROM {subforms})),
+    s AS (SELECT term FROM pool QUALIFY row_number() OVER (PARTITION BY mono ORDER BY spec DESC, term) <= CASE WHEN mono THEN {mono[0]} ELSE {multi[0]} END),
+    g AS (SELECT term FROM pool WHERE term NOT IN (SELECT term FROM s) QUALIFY row_number() OVER (PARTITION BY mono ORDER BY gen DESC, term) <= CASE WHEN mono THEN {mono[1]} ELSE {multi[1]} END)
+    SELECT term, 'spec' AS picked_by FROM s UNION ALL SELECT term, 'gen' FROM g"""
+
+
+@query("e2_map_list", ", named AS (SELECT DISTINCT doc_id, term FROM basket)" + SCORES_SQL + map_sql("groups", (2, 2), (6, 10)), BASKET_SQL)
 def e2(spark, sf_dir):
     rows = baskets(spark, sf_dir)
     scores = G.specificity(G.cooccurrences(rows, by=()))
@@ -281,12 +283,25 @@ def a20_nodes(spark, sf_dir):
     return workflow.graph_nodes_json(G.assemble(*graph(spark, sf_dir)))
 
 
-@query("k1_workflow")
+K1_SQL = f"""
+, stops AS (SELECT DISTINCT term FROM basket WHERE term IN ({STOP_SQL}) OR regexp_matches(term, '^{F1_SQL}')),
+freq AS (SELECT term, sum(weight) AS f FROM basket WHERE term NOT IN (SELECT term FROM stops) GROUP BY 1),
+led AS (SELECT first_value(term) OVER (PARTITION BY key ORDER BY f DESC, term) AS mainform, term AS subform FROM (SELECT term, f, {STEM_KEY_SQL} AS key FROM freq)),
+alike AS (SELECT * FROM led WHERE mainform <> subform),
+formed AS (SELECT doc_id, coalesce(mainform, term) AS term, weight FROM basket LEFT JOIN alike ON term = subform),
+ranked AS (SELECT term, sum(weight) * (ln((SELECT count(DISTINCT doc_id) FROM basket)) - ln(count(DISTINCT doc_id))) AS score FROM formed WHERE term NOT IN (SELECT term FROM stops) GROUP BY 1),
+main AS (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY score DESC, term) AS r, count(*) OVER () AS n FROM ranked) WHERE r <= least(5000, round_even(n * 0.75, 0))),
+listed AS (SELECT term FROM main UNION SELECT subform FROM alike WHERE mainform IN (SELECT term FROM main)),
+named AS (SELECT DISTINCT doc_id, coalesce(mainform, term) AS term FROM basket LEFT JOIN alike ON term = subform WHERE term IN (SELECT term FROM listed))
+"""
+
+
+@query("k1_workflow", K1_SQL + SCORES_SQL + map_sql("alike", (3, 5), (13, 19)), BASKET_SQL)
 def k1(spark, sf_dir):
     return workflow.corpus_workflow(baskets(spark, sf_dir), None, stop_list(spark), map_limit=40).map_list
 
 
-K2_SQL = H5_SQL.replace("DISTINCT doc_id, term FROM basket", "DISTINCT doc_id, coalesce(mainform, term) AS term FROM basket LEFT JOIN groups ON term = subform")
+K2_SQL = f", named AS (SELECT DISTINCT doc_id, coalesce(mainform, term) AS term FROM basket LEFT JOIN groups ON term = subform WHERE term IN {NAMES})" + SCORES_SQL
 
 
 @query("k2_recount", "SELECT term, round(gen, 3) AS gen, round(spec, 3) AS spec, round(spec - gen, 3) AS specclusion, round(spec + gen, 3) AS genclusion FROM sums", BASKET_SQL + K2_SQL)

@@ -203,12 +203,11 @@ def c3(spark, sf_dir):
     return D.index_terms(docs, F.col("abstract"), F.broadcast(new), known, longest=2)
 
 
-@query(
-    "b10_stem_key",
-    r"""SELECT p_name AS term, array_to_string(list_transform(list_filter(string_split_regex(p_name, '[^\p{L}\p{N}_]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) <= 3 THEN w
-    WHEN regexp_matches(w, '(^|[^ea])ies$') THEN left(w, length(w) - 3) || 'y' WHEN regexp_matches(w, '(^|[^aeo])es$') THEN left(w, length(w) - 2) || 'e' WHEN regexp_matches(w, '(^|[^us])s$') THEN left(w, length(w) - 1) ELSE w END), ' ') AS key
-    FROM (SELECT DISTINCT p_name FROM part)""",
-)
+STEM_KEY_SQL = r"""array_to_string(list_transform(list_filter(string_split_regex(term, '[^\p{L}\p{N}_]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) <= 3 THEN w
+    WHEN regexp_matches(w, '(^|[^ea])ies$') THEN left(w, length(w) - 3) || 'y' WHEN regexp_matches(w, '(^|[^aeo])es$') THEN left(w, length(w) - 2) || 'e' WHEN regexp_matches(w, '(^|[^us])s$') THEN left(w, length(w) - 1) ELSE w END), ' ')"""
+
+
+@query("b10_stem_key", f"SELECT term, {STEM_KEY_SQL} AS key FROM (SELECT DISTINCT p_name AS term FROM part)")
 def b10(spark, sf_dir):
     return basket_list(spark, sf_dir).select("term", T.stem_key(F.col("term")).alias("key"))
 
