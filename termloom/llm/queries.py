@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed, exact, langid, lm, mixing, packing, quality, simhash, substring, subwords, tokens
+from . import embed, exact, langid, lm, mixing, packing, phrases, quality, simhash, substring, subwords, tokens
 from .store import scratch
 
 
@@ -70,6 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.size_weights(docs, power=0.7))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), longest=3, least=10, share=50, most=2000)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_model": op9_language_model,
     "op10_mixing": op10_mixing,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -114,4 +119,23 @@ ORACLES = {
         SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
         FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = e.vec_id
     """,
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+        totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+        sized AS (SELECT lang, words, unnest([1, 2, 3]) AS size FROM w),
+        runs AS (SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase FROM sized WHERE len(words) >= size),
+        f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 10),
+        cuts AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS t, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+        judged AS (
+            SELECT c.lang, c.phrase, c.size, a, x.f AS l, y.f AS r, k, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(t[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(t[k + 1:], ' ')
+        ), scored AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        longer AS (
+            SELECT lang, part, max(a) AS top FROM (SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS part FROM scored WHERE size = 3) GROUP BY ALL
+        ), kept AS (SELECT s.* FROM scored s LEFT JOIN longer o ON s.lang = o.lang AND s.phrase = o.part WHERE top IS NULL OR 100 * top < 50 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
 }
