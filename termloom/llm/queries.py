@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed, exact, langid, lm, mixing, packing, phrases, quality, simhash, substring, subwords, tokens
+from . import embed, exact, langid, lm, mixing, packing, phrases, quality, secret_scan, simhash, substring, subwords, tokens
 from .store import scratch
 
 
@@ -70,6 +72,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.size_weights(docs, power=0.7))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"), longest=3, least=10, share=50, most=2000)
 
@@ -85,10 +91,25 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_model": op9_language_model,
     "op10_mixing": op10_mixing,
+    "op12_secrets": op12_secrets,
     "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
+
+def _span_sql(rule: secret_scan.Rule, place: int) -> str:
+    """(doc_id, start, place, kind, stop) of a rule's matches: the gaps between them, and they, add up to places."""
+    pattern = rule.pattern.replace("(?i:password|passwd|secret|token|api_?key)", "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]").replace("'", "''")
+    whole = re.sub(r"\((?!\?)", "(?:", pattern)
+    return f"""
+        SELECT doc_id, start, {place} AS place, '{rule.kind}' AS kind, start + hit AS stop FROM (
+            SELECT doc_id, judged, hit, CAST(sum(gap + hit) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - hit AS start FROM (
+                SELECT doc_id, unnest(list_transform(string_split_regex(body, '{whole}')[1:-2], lambda g: length(g))) AS gap, unnest(list_transform(regexp_extract_all(body, '{pattern}', 0), lambda h: length(h))) AS hit,
+                       unnest(regexp_extract_all(body, '{pattern}', {rule.group})) AS judged, unnest(generate_series(1, len(regexp_extract_all(body, '{pattern}', 0)))) AS i FROM d WHERE regexp_matches(body, '{pattern}')
+            )
+        ) WHERE length(judged) >= {rule.least}"""
+
+
 ORACLES = {
     "op2_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -138,4 +159,15 @@ ORACLES = {
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
     """,
+    "op12_secrets": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+        found AS ({" UNION ALL ".join(_span_sql(r, n) for n, r in enumerate(secret_scan.BASE + secret_scan.MORE))}),
+        lines AS (
+            SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+                   string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, place) FILTER (WHERE place < 3) AS base, string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, place) AS spans
+            FROM found GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN lines ON d.doc_id = lines.doc_id
+    """,
 }
