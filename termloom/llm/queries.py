@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed, exact, langid, lm, mixing, packing, phrases, quality, secret_scan, simhash, substring, subwords, tokens
+from . import conversations, embed, exact, langid, lm, mixing, packing, phrases, quality, secret_scan, simhash, substring, subwords, tokens
 from .store import scratch
 
 
@@ -72,6 +72,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.size_weights(docs, power=0.7))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -91,12 +95,65 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_model": op9_language_model,
     "op10_mixing": op10_mixing,
+    "op11_conversations": op11_conversations,
     "op12_secrets": op12_secrets,
     "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
 
+def _repair_sql() -> str:
+    """The dynamic program of conversations.audits as a reduction of each conversation's rows: a list of the cheapest (cost, audit) of the
+    four states; costs from 1000000 on are out of reach. DuckDB has no crc32: it is reduced from bits."""
+    at = lambda q, cost, letter, b="a.b": f"{{'c': {b}[{q + 1}].c + {cost}, 'a': {b}[{q + 1}].a || '{letter}'}}"
+    extra = "(CASE WHEN r.code BETWEEN 'A' AND 'Z' THEN 3 ELSE 0 END)"
+    kept = lambda q, role: f"CASE WHEN lower(r.code) = '{role}' THEN {at(q, extra, 'K')} END"
+    named = lambda q: f"CASE WHEN r.code <> 'd' THEN {at(q, f'3 + {extra}', 'R')} END"
+    least = lambda *options: f"list_min(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))"
+    after = [
+        at(0, 4, "D"), least(at(1, 4, "D"), kept(0, "s")), least(at(2, 4, "D"), *[f(q) for q in (0, 1, 3) for f in (lambda q: kept(q, "u"), named)]),
+        least(at(3, 4, "D"), kept(2, "a"), named(2)),
+    ]
+    put = lambda one, b: f"{{'c': {b}[{one}].c + 3, 'a': {b}[{one}].a || 'I'}}"
+    second = lambda n: f"list_transform([{n}], lambda n: [n[1], n[2], {least('n[3]', put(1, 'n'), put(2, 'n'), put(4, 'n'))}, n[4]])[1]"
+    both = lambda n: f"list_transform([{second(n)}], lambda m: [m[1], m[2], m[3], {least('m[4]', put(3, 'm'))}])[1]"
+    far = "{'c': 1000000, 'a': ''}"
+    return rf"""
+        WITH keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS key FROM conversations),
+        crc AS (
+            SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(key, ''), lambda ch: ascii(ch)::BIGINT),
+                lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 20 AS fault FROM keyed
+        ), spoilt AS (
+            SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM crc WHERE fault <> 0
+        ), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final FROM spoilt),
+        judged AS (
+            SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+                   CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed
+        ), coded AS (
+            SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' ELSE (CASE WHEN fault = 'truncated' THEN upper(x) ELSE x END) END AS code
+            FROM (SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'x' END AS x FROM judged)
+        ), facts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+                   list_reduce([{{'code': '', 'b': {both(f"[{{'c': 0, 'a': ''}}, {far}, {far}, {far}]")}}}] || list({{'code': code, 'b': [{far}]}} ORDER BY i),
+                       lambda a, r: {{'code': '', 'b': {both("[" + ", ".join(after) + "]")}}}).b AS b
+            FROM coded GROUP BY conv_id
+        ), won AS (SELECT *, list_min([b[1], b[4]]) AS best FROM facts),
+        letters AS (SELECT conv_id, unnest(string_split(best.a, '')) AS letter, generate_subscripts(string_split(best.a, ''), 1) AS n FROM won WHERE best.a <> ''),
+        counted AS (
+            SELECT *, CASE WHEN letter <> 'I' THEN count(*) FILTER (WHERE letter <> 'I') OVER w END AS i, count(*) FILTER (WHERE letter <> 'D') OVER w AS place, count(*) FILTER (WHERE letter <> 'D') OVER (PARTITION BY conv_id) AS size
+            FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY n)
+        ), repaired AS (
+            SELECT c.conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place + size) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY n)) AS digest
+            FROM counted c LEFT JOIN placed p ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.i = p.i WHERE letter <> 'D' GROUP BY c.conv_id
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN won w ON o.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
+    """
+
+
 def _span_sql(rule: secret_scan.Rule, place: int) -> str:
     """(doc_id, start, place, kind, stop) of a rule's matches: the gaps between them, and they, add up to places."""
     pattern = rule.pattern.replace("(?i:password|passwd|secret|token|api_?key)", "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]").replace("'", "''")
@@ -159,6 +216,7 @@ ORACLES = {
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
     """,
+    "op11_conversations": _repair_sql(),
     "op12_secrets": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
         found AS ({" UNION ALL ".join(_span_sql(r, n) for n, r in enumerate(secret_scan.BASE + secret_scan.MORE))}),
