@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut, partitions
+from .store import column, cut, partitions
 
 
 def _runs(docs: DataFrame, text: str, key: str, normalise=None, lead: int = 16, carry: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -16,10 +16,10 @@ def _runs(docs: DataFrame, text: str, key: str, normalise=None, lead: int = 16,
     in ``row``.
     """
     n = max(2, partitions(docs.sparkSession))
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(column(text), F.lit(""))
     body = normalise(body) if normalise else body
-    rest = [F.struct(F.col(text).isNull().alias("null"), F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("rest")).alias("row")] if carry else []
-    rows = docs.select(F.col(key).alias("id"), body.alias("body"), *rest).withColumn("mark", F.xxhash64("body"))
+    rest = [F.struct(column(text).isNull().alias("null"), F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]).alias("rest")).alias("row")] if carry else []
+    rows = docs.select(column(key).alias("id"), body.alias("body"), *rest).withColumn("mark", F.xxhash64("body"))
     # One short row a text. Frequent are the texts that hold a quarter of a task's fair part of all rows or bytes: at most 8 n of them.
     texts = cut(rows.groupBy("mark").agg(F.count("*").alias("rows"), F.sum(F.octet_length("body")).alias("bytes")))
     total = texts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
@@ -74,10 +74,10 @@ def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """
     runs, frequent = _runs(docs, text, key, carry=True)
     won = runs.where("place = 1")
-    whole = [F.when(~F.col("row.null"), F.col("body")).alias(c) if c == text else F.col("row.rest").getField(c).alias(c) for c in docs.columns]
+    whole = [F.when(~F.col("row.null"), F.col("body")).alias(c) if c == text else F.col("row.rest").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     if frequent.isEmpty():
         return won.select(*whole)
-    hot = docs.join(F.broadcast(frequent), F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == frequent["mark"], "left_semi")
+    hot = docs.join(F.broadcast(frequent), F.xxhash64(F.coalesce(column(text), F.lit(""))) == frequent["mark"], "left_semi")
     tops = _runs(hot, text, key)[0].where("place = 1").groupBy("digest").agg(F.max("id").alias("all_top"))
     met = won.join(F.broadcast(tops), "digest", "left")
     return met.where(~F.col("salted") | F.col("all_top").isNull() | F.col("id").eqNullSafe(F.col("all_top"))).select(*whole)

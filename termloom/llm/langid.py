@@ -42,23 +42,23 @@ class Network:
         scores /= scores.sum(1, keepdims=True)
         return scores
 
-    def gradients(self, ids: np.ndarray, truth: np.ndarray) -> tuple[float, dict]:
-        """Mean loss over the real positions, and the gradient of every weight."""
+    def gradients(self, ids: np.ndarray, truth: np.ndarray, share: np.ndarray | float = 1.0) -> tuple[float, dict]:
+        """Mean loss over the real positions, by the share of each lane, and the gradient of every weight."""
         w, tapes = self.weights, {"f": [], "b": []}
         p = self.position_probabilities(ids, tapes)
-        real = ids != PAD
-        n = max(1, real.sum())
+        real = (ids != PAD) * np.asarray(share, np.float32)
+        real /= max(1e-30, real.sum())
         lanes = np.arange(ids.shape[1])
-        loss = -float(np.log(np.maximum(p[:, truth, lanes], 1e-30))[real].sum()) / n
+        loss = -float((np.log(np.maximum(p[:, truth, lanes], 1e-30)) * real).sum())
         p[:, truth, lanes] -= 1
-        p *= real[:, None, :] / np.float32(n)
+        p *= real[:, None, :]
         g = {"bias": p.sum((0, 2))[:, None], "outf": np.einsum("tlb,thb->lh", p, self.ahead, optimize=True), "outb": np.einsum("tlb,thb->lh", p, self.behind, optimize=True)}
         g["tablef"], g["innerf"] = run_back(ids, w["innerf"], PAD, tapes["f"], np.matmul(w["outf"].T, p))
         g["tableb"], g["innerb"] = run_back(ids[::-1], w["innerb"], PAD, tapes["b"], np.matmul(w["outb"].T, p)[::-1])
         return loss, g
 
-    def fit(self, windows: np.ndarray, truth: np.ndarray, epochs: int, lanes: int = 128, rate: float = 0.02, seed: int = 0) -> None:
-        """Adam steps over shuffled windows (n, T)."""
+    def fit(self, windows: np.ndarray, truth: np.ndarray, share: np.ndarray, epochs: int, lanes: int = 64, rate: float = 0.02, seed: int = 0) -> None:
+        """Adam steps over shuffled windows (n, T), each with its share of its text."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
@@ -67,7 +67,7 @@ class Network:
             order = rng.permutation(len(windows))
             for i in range(0, len(order), lanes):
                 pick = order[i : i + lanes]
-                _, g = self.gradients(np.ascontiguousarray(windows[pick].T), truth[pick])
+                _, g = self.gradients(np.ascontiguousarray(windows[pick].T).astype(np.int64), truth[pick], share[pick])
                 step += 1
                 now = rate * (1 - (step - 1) / total)
                 for k, w in self.weights.items():
@@ -118,9 +118,9 @@ def sample(docs: DataFrame, learn: Column, text: str, lang: str, key: str, sampl
     return thinned.where(F.col("place") <= max(quota.values())).where("place <= quota").select("text", "lang", "key")
 
 
-def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 1600, size: int = 8, steps: int = 64, windows_each: int = 8, epochs: int = 4) -> Network | None:
-    """A network fitted to a bounded and balanced sample of the rows for which ``learn`` holds (sample); None without such
-    rows. Windows are drawn from all over each text.
+def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 1600, size: int = 8, steps: int = 128, epochs: int = 1) -> Network | None:
+    """A network fitted to a bounded and balanced sample of the rows for which ``learn`` holds (sample), to the whole text of
+    each in windows as long as those that are scored, so weighed that every text counts the same; None without such rows.
     """
     chosen = sample(docs, learn, text, lang, key, sample_rows)
     if chosen is None:
@@ -128,16 +128,11 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
 
     def fit(batches):
         got = sorted((r["key"], r["lang"], r["text"]) for b in batches for r in b.to_pylist())
-        labels, rng = sorted({r[1] for r in got}), np.random.default_rng(0)
-        grids, truth = [], []
-        for _, label, body in got:
-            grid, _ = cut_windows([body.encode()], steps)
-            grid = grid[rng.permutation(len(grid))[:windows_each]]
-            grids.append(grid)
-            truth += [labels.index(label)] * len(grid)
+        labels = sorted({r[1] for r in got})
+        windows, owner = cut_windows([body.encode() for _, _, body in got], steps)
         network = Network(labels, size)
-        if truth:
-            network.fit(np.concatenate(grids).astype(np.int64), np.array(truth), epochs)
+        if len(windows):
+            network.fit(windows, np.array([labels.index(label) for _, label, _ in got])[owner], 1 / np.bincount(owner)[owner], epochs)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((labels, size, network.weights))])], names=["model"])
 
     row = chosen.repartition(1).mapInArrow(fit, "model binary").first()

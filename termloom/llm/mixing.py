@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut, partitions, staged
+from .store import column, cut, partitions, staged
 
 
 def shares(weights: dict[str, float]) -> dict[str, int]:
@@ -58,6 +58,37 @@ def schedule(whole: dict[str, int]) -> Iterator[tuple[int, str, int, int, int]]:
         t += 1
 
 
+def filled(whole: dict[str, int], blocks: dict[str, int], frame: int) -> Iterator[tuple[int, str, int, int, int]]:
+    """The rows of the schedule for as many ``blocks`` as each source has.
+
+    While at least a quarter of the slots hold blocks, ``frame`` slots aside, slots of sources that have run out stay empty as in the
+    schedule. Then these sources leave it, and the clock moves to the next release, so that the work grows with the blocks and not with
+    the slots: blocks still start at their release or later and meet their deadlines, as fewer compete.
+    """
+    total, todo, placed, t = sum(whole.values()), sum(blocks.values()), 0, 0
+    done = dict.fromkeys(blocks, 0)
+    for row in schedule(whole):
+        t, n, j = row[:3]
+        if placed == todo or t >= frame + 4 * placed:
+            break
+        if j < blocks.get(n, 0):
+            done[n], placed = j + 1, placed + 1
+            yield row
+    waiting = [(done[n] * total // whole[n], n, done[n]) for n in blocks if done[n] < blocks[n]]
+    ready: list[tuple[int, str, int, int]] = []
+    heapq.heapify(waiting)
+    while waiting or ready:
+        t = t if ready else max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            release, n, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // whole[n]), n, j, release))
+        deadline, n, j, release = heapq.heappop(ready)
+        yield t, n, j, release, deadline
+        t += 1
+        if j + 1 < blocks[n]:
+            heapq.heappush(waiting, ((j + 1) * total // whole[n], n, j + 1))
+
+
 def pfair_frame(slots: dict[str, int]) -> list[tuple[str, int, int, int]]:
     """(source, block, release, deadline) of each slot of one frame, after which the schedule of ``slots`` repeats."""
     return [row[1:] for row in islice(schedule(slots), sum(slots.values()))]
@@ -66,7 +97,7 @@ def pfair_frame(slots: dict[str, int]) -> list[tuple[str, int, int, int]]:
 def size_weights(docs: DataFrame, power: float, source: str = "source", most: int = 10_000) -> dict[str, float]:
     """Target weights in proportion to each source's row count to the ``power``: below 1 small sources gain. One number a
     source reaches the driver; more than ``most`` sources are an error."""
-    rows = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).count().limit(most + 1).collect()
+    rows = docs.groupBy(F.coalesce(column(source).cast("string"), F.lit("")).alias("s")).count().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} sources")
     return {r["s"]: float(r["count"]) ** power for r in rows}
@@ -76,8 +107,8 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, frame:
     """(key, source, block, place, slot, release, deadline): one row per input row, with its place in the mixture.
 
     The rows of a source, in hash order of the key, form blocks of ``block_rows``; ``place`` is a row's place in its block, the
-    last block of a source may be short. The whole run is scheduled from the exact weights (schedule), up to the last
-    block of every source; one task streams it, ``frame`` slots at a time, and holds one block a source. Sorting by (slot,
+    last block of a source may be short. The whole run is scheduled from the exact weights (schedule, filled), up to the last
+    block of every source; one task streams its blocks, ``frame`` of them at a time, and holds one block a source. Sorting by (slot,
     place) gives the mixture: up to the end of the first source to run out, every prefix of slots holds each source's target
     share to within less than one block; from there on the other sources keep their proportions to each other. All
     rows are placed.
@@ -92,7 +123,7 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, frame:
     spark = docs.sparkSession
     whole = shares(weights)
     table = spark.createDataFrame([(n,) for n in whole], "s string")
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"))
+    rows = docs.select(column(key).alias("id"), F.coalesce(column(source).cast("string"), F.lit("")).alias("s"))
     rows = rows.withColumn("h", F.xxhash64("id", F.lit(seed)))
     lost = rows.select("s").distinct().join(table, "s", "left_anti").limit(10).collect()
     if lost:
@@ -107,11 +138,8 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, frame:
     rank = dealt.join(F.broadcast(parts), ["s", "part"]).select("id", "s", (F.col("n") + F.col("shift")).alias("rank"))
 
     def run(_):
-        slots, blocks = schedule(whole), dict(left)
-        while any(blocks.values()):
-            found = [row for row in islice(slots, frame) if row[2] < left.get(row[1], 0)]
-            for row in found:
-                blocks[row[1]] -= 1
+        slots = filled(whole, left, frame)
+        while found := list(islice(slots, frame)):
             yield pa.RecordBatch.from_pylist([dict(zip(kind.names, row)) for row in found], schema=kind)
 
     kind = pa.schema([("slot", pa.int64()), ("s", pa.string()), ("block", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())])
@@ -123,8 +151,9 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = 32, frame:
 def in_mixed_order(docs: DataFrame, placed: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
     """The rows of ``docs`` in their own columns, whatever their names, sorted by their place in the mixture; all rows of one key, null
     ones too, go to its first place. An empty table gives an empty result."""
-    order = placed.groupBy(F.col(key).alias("key")).agg(F.min(F.struct("slot", "place")).alias("at"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    joined = rows.join(order, F.col("row").getField(key).eqNullSafe(F.col("key"))).select("row", "at.slot", "at.place")
+    order = placed.groupBy(column(key).alias("key")).agg(F.min(F.struct("slot", "place")).alias("at"))
+    rows = docs.select(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), column(key).alias("mine"))
+    joined = rows.join(order, F.col("mine").eqNullSafe(F.col("key"))).select("row", "at.slot", "at.place")
     n = partitions(docs.sparkSession)
-    return joined.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+    mixed = joined.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place")
+    return mixed.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
