@@ -48,6 +48,41 @@ def tokens(c: Column, pattern: str = TOKEN) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def counted(words: Column) -> Column:
+    """array<struct<term, weight>>: the distinct words of an array, in order, with how often each is there."""
+
+    def runs(w: Column) -> Column:
+        heads = F.array_compact(F.transform(w, lambda x, i: F.when(i == 0, i).when(w[i - 1] != x, i)))
+        each = lambda h: F.transform(h, lambda x, k: F.struct(w[x].alias("term"), (F.coalesce(F.get(h, k + 1), F.size(w)) - x).cast("double").alias("weight")))
+        return let(heads, each)
+
+    return let(F.sort_array(words), runs)
+
+
+def placed(words: Column) -> Column:
+    """array<struct<term, positions>>: the distinct words of an array with their places, from 0, in order."""
+
+    def runs(w: Column) -> Column:
+        heads = F.array_compact(F.transform(w, lambda x, i: F.when(i == 0, i).when(w[i - 1]["term"] != x["term"], i)))
+        places = lambda h, x, k: F.transform(F.slice(w, x + 1, F.coalesce(F.get(h, k + 1), F.size(w)) - x), lambda e: e["pos"])
+        return let(heads, lambda h: F.transform(h, lambda x, k: F.struct(w[x]["term"].alias("term"), places(h, x, k).alias("positions"))))
+
+    return let(F.sort_array(F.transform(words, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))), runs)
+
+
+def phrases_between(tokens_: Column, stops: Column, most: int = 6) -> Column:
+    """Runs of words between stop words and signs, of at most ``most`` words, from an array of both (B6). Each expression passes
+    once over the text; words hold no U+0001 or U+0002, which mark places here."""
+    flagged = let(F.array_intersect(tokens_, stops), lambda here: F.transform(tokens_, lambda t: F.when(F.array_contains(here, t) | ~t.rlike(r"^[\p{L}\p{N}_]"), "\u0002").otherwise(t)))
+    runs = F.transform(F.split(F.array_join(flagged, "\u0001"), "\u0002"), lambda r: F.btrim(r, F.lit("\u0001")))
+    return F.transform(F.filter(runs, lambda r: (r != "") & (F.length(r) - F.length(F.replace(r, F.lit("\u0001"), F.lit(""))) < most)), lambda r: F.replace(r, F.lit("\u0001"), F.lit(" ")))
+
+
 def chunk_tagged(tagged: Column, letter: Callable[[Column], Column], rule: str = "J*N+J*", most: int = 6) -> Column:
     """Phrases whose tags match ``rule``, of at most ``most`` tokens, from array<struct<token, tag>>.
 

@@ -10,13 +10,31 @@ from termloom.functions import text as T
 
 def phrases(docs: DataFrame, text: Column, stop: DataFrame, most: int = 6, keys: tuple[str, ...] = ("corpus_id", "doc_id")) -> DataFrame:
     """(*keys, term): runs of words between stop words and punctuation, of at most ``most`` words."""
+    return _with_stops(docs, text, stop).select(*keys, F.explode(T.phrases_between(F.col("_tokens"), F.col("_stops"), most)).alias("term"))
+
+
+MOST_STOPS = 100_000
+
+
+def _with_stops(docs: DataFrame, text: Column, stop: DataFrame) -> DataFrame:
+    """The documents with their words and signs, and the stop words as one array, which goes to every task: more than MOST_STOPS
+    are an error."""
+    stops = stop.select("term").distinct().limit(MOST_STOPS + 1).agg(F.collect_list("term").alias("_stops"))
+    checked = F.when(F.size("_stops") <= MOST_STOPS, F.col("_stops")).otherwise(F.raise_error(F.lit(f"more than {MOST_STOPS} stop words")).cast("array<string>"))
     found = F.regexp_extract_all(F.lower(text), F.lit(T.TOKEN + r"|[^\s]"), F.lit(0))
-    rows = docs.select(*keys, F.posexplode(found).alias("pos", "token"))
-    known = F.broadcast(stop.select(F.col("term").alias("token"), F.lit(True).alias("is_stop")).distinct())
-    flagged = rows.join(known, "token", "left").withColumn("cut", F.coalesce("is_stop", ~F.col("token").rlike(r"^[\p{L}\p{N}_]")))
-    run = F.sum(F.col("cut").cast("int")).over(Window.partitionBy(*keys).orderBy("pos"))
-    runs = flagged.withColumn("run", run).where(~F.col("cut")).groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("words"))
-    return runs.where(F.size("words") <= most).select(*keys, F.array_join("words.token", " ").alias("term"))
+    return docs.withColumn("_tokens", found).crossJoin(F.broadcast(stops.select(checked.alias("_stops"))))
+
+
+def document_terms(docs: DataFrame, text: Column, stop: DataFrame, lang: Column | None = None, supported: tuple[str, ...] = (), most: int = 6, keys: tuple[str, ...] = ("corpus_id", "doc_id")) -> DataFrame:
+    """(*keys, term, weight) of each document's phrases (B6), normalised, of two characters and more, cut at 255, counted.
+
+    With ``lang``, documents in none of the ``supported`` languages are skipped. A document's words are cut, put in order and counted within
+    its row, and never shuffled.
+    """
+    rows = docs if lang is None else docs.where(lang.isin(*supported))
+    terms = F.transform(T.phrases_between(F.col("_tokens"), F.col("_stops"), most), lambda t: F.substring(T.normalise_term(t), 1, 255))
+    counts = _with_stops(rows, text, stop).select(*keys, F.explode(T.counted(F.filter(terms, lambda t: F.length(t) > 1))).alias("t"))
+    return counts.select(*keys, "t.term", "t.weight")
 
 
 def weigh_terms(candidates: DataFrame, keys: tuple[str, ...] = ("corpus_id", "doc_id")) -> DataFrame:

@@ -12,11 +12,16 @@ from .metrics import substitute
 from .storage import checkpointed, staged
 
 
+CELL = 1024  # terms of a part of a document
+
+
 def cooccurrences(terms: DataFrame, members: DataFrame | None = None, groups: DataFrame | None = None, stop: DataFrame | None = None, threshold: int = 3, diagonal: bool = True, half: bool = True, by: tuple[str, ...] = ("corpus_id",)) -> DataFrame:
     """(*by, a, b, weight): documents with both terms, in their main forms (H1, H2, H3).
 
-    The lists apply before the self join, so that a document's pairs are of listed terms only. ``half`` keeps a <= b,
-    or a < b without the ``diagonal``.
+    The lists apply before the self join, so that a document's pairs are of listed terms only, and so does the threshold: the terms
+    of a pair in so many documents are each in so many. A document of more than CELL terms is dealt over cells of two parts of
+    its terms, each pair in one cell, so that no task makes more than a cell's pairs at a time. ``half`` keeps a <= b, or a < b
+    without the ``diagonal``.
     """
     forms = substitute(terms, groups)
     if members is not None:
@@ -24,9 +29,16 @@ def cooccurrences(terms: DataFrame, members: DataFrame | None = None, groups: Da
     if stop is not None:
         forms = forms.join(stop.select("term").distinct(), "term", "left_anti")
     docs = forms.select(*by, "doc_id", "term").distinct()
-    a, b = docs.withColumnRenamed("term", "a"), docs.withColumnRenamed("term", "b")
+    if threshold > 1:
+        often = docs.groupBy(*by, "term").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+        docs = docs.join(often.drop("n"), [*by, "term"], "left_semi")
     order = (F.col("a") <= F.col("b")) if half and diagonal else (F.col("a") < F.col("b")) if half else (F.col("a") != F.col("b")) if not diagonal else F.lit(True)
-    return a.join(b, [*by, "doc_id"]).where(order).groupBy(*by, "a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
+    parts = F.ceil(F.count("*").over(Window.partitionBy(*by, "doc_id")) / CELL).cast("int")
+    dealt = docs.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("term"), "parts").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = dealt.select(*by, "doc_id", F.col("term").alias("a"), F.col("mine").alias("i"), every.alias("j"))
+    b = dealt.select(*by, "doc_id", F.col("term").alias("b"), every.alias("i"), F.col("mine").alias("j"))
+    return a.join(b, [*by, "doc_id", "i", "j"]).where(order).groupBy(*by, "a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
 
 
 def field_cooccurrences(docs: DataFrame, field: str, terms: DataFrame, threshold: int = 3) -> DataFrame:

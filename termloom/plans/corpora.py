@@ -43,8 +43,8 @@ docs AS (
 def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(corpus_id, doc_id, term, weight): single words of two characters and more."""
     docs = text_documents(spark, sf_dir)
-    words = docs.select("corpus_id", "doc_id", F.explode(T.tokens(F.lower("abstract"))).alias("term")).where(F.length("term") > 1)
-    return words.groupBy("corpus_id", "doc_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    counts = docs.select("corpus_id", "doc_id", F.explode(T.counted(T.tokens(F.lower("abstract")))).alias("t"))
+    return counts.select("corpus_id", "doc_id", "t.term", "t.weight").where(F.length("term") > 1)
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:

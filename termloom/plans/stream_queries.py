@@ -15,8 +15,8 @@ from .corpora import TEXT_SQL
 @query("l1_incremental_index", "SELECT doc_id, term, weight FROM doc_terms", TEXT_SQL)
 def l1(spark, sf_dir):
     def extract(batch):
-        words = batch.select("doc_id", F.explode(T.tokens(F.lower("text"))).alias("term")).where(F.length("term") > 1)
-        return words.groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("weight"))
+        counts = batch.select("doc_id", F.explode(T.counted(T.tokens(F.lower("text")))).alias("t"))
+        return counts.select("doc_id", "t.term", "t.weight").where(F.length("term") > 1)
 
     path = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(path).schema

@@ -22,20 +22,14 @@ def read_tagged(spark: SparkSession, path: str, tags: dict[str, str] = RIS_TAGS,
     with a line feed; a line without a tag continues the one before; repeated tags join; of several tags of a field the last in
     ``tags`` that the record has wins; no language is ``en``. What holds none of the tags, as a file's last line, is no record."""
     lines = spark.read.option("lineSep", f"\n{end}").text(path).select(F.regexp_replace(F.regexp_replace("value", "\r", ""), rf"\n{end.strip()[:2]}\s*$", "").alias("value"), F.monotonically_increasing_id().alias(key))
-    rows = lines.select(key, F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    tag = F.regexp_extract("line", r"^([A-Z][A-Z0-9])(?:  - |\s|$)", 1)
-    value = F.when(tag != "", F.substr("line", F.lit(value_from))).otherwise(F.col("line"))
-    marked = rows.select(key, "pos", F.when(tag != "", tag).alias("tag"), F.trim(value).alias("value"))
-    # A record's lines are few: they are put in order and folded within the row.
-    folded = marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tag", "value"))).alias("lines"))
-    carry = F.aggregate(
-        "lines",
-        F.struct(F.lit(None).cast("string").alias("tag"), F.array().cast("array<struct<tag:string,value:string>>").alias("out")),
-        lambda s, x: F.struct(F.coalesce(x["tag"], s["tag"]).alias("tag"), F.concat(s["out"], F.array(F.struct(F.coalesce(x["tag"], s["tag"]).alias("tag"), x["value"].alias("value")))).alias("out")),
-        lambda s: s["out"],
-    )
-    filled = folded.select(key, F.filter(carry, lambda x: x["value"] != "").alias("lines")).where(F.exists("lines", lambda x: x["tag"].isin(*tags)))
-    field = lambda t: F.array_join(F.transform(F.filter("lines", lambda x: x["tag"] == t), lambda x: x["value"]), joins.get(t, " "))
+    # Within the row: a line with a tag opens a part, the lines behind it belong to it. U+0001 to U+0003 mark places and are taken out of texts.
+    tag = lambda line: F.regexp_extract(line, r"^([A-Z][A-Z0-9])(?:  - |\s|$)", 1)
+    opened = lambda line: F.when(tag(line) != "", F.concat(F.lit("\u0002"), tag(line), F.lit("\u0003"), F.substr(line, F.lit(value_from)))).otherwise(line)
+    parts = F.split(F.array_join(F.transform(F.split(F.translate("value", "\u0001\u0002\u0003", ""), "\n"), opened), "\u0001"), "\u0002")
+    values = lambda p: F.filter(F.transform(F.split(F.substring_index(p, "\u0003", -1), "\u0001"), lambda v: F.trim(v)), lambda v: v != "")
+    tagged = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit("\u0003"))), lambda p: F.struct(F.substring_index(p, "\u0003", 1).alias("tag"), values(p).alias("values")))
+    filled = lines.select(key, F.filter(tagged, lambda x: F.size(x["values"]) > 0).alias("lines")).where(F.exists("lines", lambda x: x["tag"].isin(*tags)))
+    field = lambda t: F.array_join(F.flatten(F.transform(F.filter("lines", lambda x: x["tag"] == t), lambda x: x["values"])), joins.get(t, " "))
     out = {}
     for t, name in tags.items():
         found = F.nullif(field(t), F.lit(""))
