@@ -130,6 +130,37 @@ def stem_key(term: Column, lang: str = "en", stemmer: Callable[[Column, str], Co
     return F.array_join(F.transform(words, lambda w: stemmer(w, lang)), " ")
 
 
+# Vowels, and endings that a light stemmer takes off (after the Snowball stemmers of M. Porter), the longest that fits.
+VOWELS = {"en": "aeiouy", "fr": "aeiouyâàëéêèïîôûù", "de": "aeiouyäöü", "es": "aeiouáéíóúü"}
+ENDINGS = {
+    "en": "ations|ation|ments|ment|nesses|ness|ings|ing|edly|ed|ies|es|ly|s",
+    "fr": "issements|issement|ements|ement|ations|ation|ateurs|ateur|ences|ence|ités|ité|euses|euse|eux|ives|ive|ifs|if|antes|ants|ante|ant|ées|és|ée|er|ez|es|e|s",
+    "de": "ungen|ung|heiten|heit|keiten|keit|lichen|lich|ischen|isch|ern|em|en|er|es|e|s",
+    "es": "amientos|amiento|aciones|ación|adores|ador|idades|idad|mente|ados|adas|ado|ada|ando|iendo|ar|er|ir|os|as|es|o|a|e|s",
+}
+
+
+def region_pattern(lang: str) -> str:
+    """What stays, as group 1, and an ending of the language behind it: the ending lies in the region behind the first vowel and the first
+    letter after it that is none."""
+    v = VOWELS[lang]
+    return rf"^([^{v}]*[{v}]+[^{v}].*?)(?:{ENDINGS[lang]})$"
+
+
+def region_stem(word: Column, lang: Column) -> Column:
+    """A word without the ending that its language knows in its region; words of up to three letters, and those of other languages, stay."""
+    out = word
+    for name in ENDINGS:
+        out = F.when(lang == name, F.regexp_replace(word, region_pattern(name), "$1")).otherwise(out)
+    return F.when(F.length(word) <= 3, word).otherwise(out)
+
+
+def language_key(term: Column, lang: Column) -> Column:
+    """Stems of a term's words by the rules of its language, joined by blanks."""
+    words = F.filter(F.split(term, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: region_stem(w, lang)), " ")
+
+
 def quoted(term: str) -> str:
     return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 

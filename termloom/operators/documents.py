@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as T
 
+from .storage import ranked
+
 
 def phrases(docs: DataFrame, text: Column, stop: DataFrame, most: int = 6, keys: tuple[str, ...] = ("corpus_id", "doc_id")) -> DataFrame:
     """(*keys, term): runs of words between stop words and punctuation, of at most ``most`` words."""
@@ -59,16 +61,36 @@ def metadata_index(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def index_terms(docs: DataFrame, text: Column, new: DataFrame, known: DataFrame | None = None, longest: int = 6) -> DataFrame:
-    """(doc_id, term, weight) of new terms in the texts, without the rows already known.
+    """(doc_id, term, weight) of new terms of up to ``longest`` words in the texts, without the rows already known.
 
-    Every run of up to ``longest`` words meets the terms in one hash join, instead of each term scanning each text.
+    All terms are looked for at once. Runs of words start only where a word is the first of a term, and have only lengths that a term has; they
+    are counted within the row, and meet the terms in one hash join. The first words go to every task as one array, up to MOST_STARTS,
+    counted first; beyond, every run of words meets the terms.
     """
     words = T.tokens(F.lower(text))
+    wanted = new.select("term").distinct()
+    split = F.split("term", " ")
+    starts = wanted.where(F.size(split) <= longest).select(split[0].alias("first"), F.size(split).alias("n"))
+    if starts.select("first").distinct().limit(MOST_STARTS + 1).count() <= MOST_STARTS:
+        every = starts.agg(F.collect_set("first").alias("_firsts"), F.sort_array(F.collect_set("n")).alias("_sizes"))  # one row
+        rows = docs.select("doc_id", words.alias("_w")).crossJoin(F.broadcast(every))
+        at = lambda w: T.let(F.array_intersect(w, F.col("_firsts")), lambda here: F.array_compact(F.transform(w, lambda t, i: F.when(F.array_contains(here, t), i))))
+        run = lambda i: F.transform(F.filter("_sizes", lambda n: i + n <= F.size("_w")), lambda n: F.array_join(F.slice("_w", i + 1, n), " "))
+        counts = rows.select("doc_id", F.explode(T.counted(F.flatten(F.transform(at(F.col("_w")), run)))).alias("t")).select("doc_id", "t.term", "t.weight")
+        found = counts.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.sum("weight").alias("weight"))
+    else:
+        found = _every_run(docs, words, wanted, longest)
+    return found if known is None else found.join(known, ["doc_id", "term"], "left_anti")
+
+
+MOST_STARTS = 100_000
+
+
+def _every_run(docs: DataFrame, words: Column, wanted: DataFrame, longest: int) -> DataFrame:
     sizes = F.array(*[F.lit(n) for n in range(1, longest + 1)])
     runs = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0).select("doc_id", "w", F.explode(sizes).alias("n")).where(F.size("w") >= F.col("n"))
     runs = runs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("term"))
-    found = runs.join(new.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("weight"))
-    return found if known is None else found.join(known, ["doc_id", "term"], "left_anti")
+    return runs.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
 def document_sizes(docs: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
@@ -101,9 +123,11 @@ def language_profile(docs: DataFrame, lang: Column, supported: tuple[str, ...],
 
 
 def sample_by_year(docs: DataFrame, year: Column, limit: int, key: str = "doc_id") -> DataFrame:
-    """(key, year): for each year round(limit * k / N) documents, at least one, the smallest hashes first."""
-    rows = docs.select(key, year.alias("year"))
-    sizes = rows.groupBy("year").agg(F.count("*").alias("k"))
-    quota = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("k").alias("N")))).select("year", F.greatest(F.lit(1), F.bround(limit * F.col("k") / F.col("N"))).alias("quota"))
-    place = F.row_number().over(Window.partitionBy("year").orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key))
-    return rows.withColumn("place", place).join(F.broadcast(quota), "year").where("place <= quota").select(key, "year")
+    """(key, year): for each year round(limit * k / N) documents, at least one, the smallest hashes first (A14). Ranks within the
+    years come from one range partitioning by (year, hash), so that no task holds a year. Documents without a year are left out."""
+    rows = docs.select(key, year.alias("year")).where("year IS NOT NULL")
+    sizes = rows.groupBy("year").agg(F.count("*").alias("k"))  # one row a year
+    before = F.coalesce(F.sum("k").over(Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quota = F.greatest(F.lit(1), F.bround(limit * F.col("k") / F.sum("k").over(Window.partitionBy())))
+    drawn = ranked(rows, F.col("year"), F.crc32(F.col(key).cast("string").cast("binary")), F.col(key))
+    return drawn.join(sizes.select("year", before.alias("start"), quota.alias("quota")), "year").where("rank - start < quota").select(key, "year")

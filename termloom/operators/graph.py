@@ -41,6 +41,12 @@ def cooccurrences(terms: DataFrame, members: DataFrame | None = None, groups: Da
     return a.join(b, [*by, "doc_id", "i", "j"]).where(order).groupBy(*by, "a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
 
 
+def touching(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Pairs with at least one of the terms."""
+    known = lambda c: terms.select(F.col("term").alias(c), F.lit(True).alias(f"has_{c}"))
+    return pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").where("has_a OR has_b").select("a", "b", "weight")
+
+
 def field_cooccurrences(docs: DataFrame, field: str, terms: DataFrame, threshold: int = 3) -> DataFrame:
     """(value, term, weight): documents with a field's value and a term (H4)."""
     rows = docs.select("doc_id", F.col(field).alias("value")).join(terms.select("doc_id", "term").distinct(), "doc_id")

@@ -118,11 +118,14 @@ def stop_terms(terms: DataFrame, shared: DataFrame, starts: tuple[str, ...] = ST
 # ---- synonym groups
 
 
-def group_by_stem(terms: DataFrame, stop: DataFrame, key: Callable[[Column], Column] = T.stem_key) -> DataFrame:
-    """(mainform, subform): per stem key the most frequent term leads the others (G1); ties to the smallest term."""
-    freq = terms.join(stop.select("term"), "term", "left_anti").groupBy("term").agg(F.sum("weight").alias("freq")).withColumn("key", key(F.col("term")))
-    lead = freq.groupBy("key").agg(F.min(F.struct((-F.col("freq")).alias("less"), "term")).alias("lead")).select("key", F.col("lead.term").alias("mainform"))
-    return freq.join(lead, "key").where("term <> mainform").select("mainform", F.col("term").alias("subform"))
+def group_by_stem(terms: DataFrame, stop: DataFrame, key: Callable[..., Column] = T.stem_key, lang: str | None = None) -> DataFrame:
+    """([lang, ]mainform, subform): per stem key the most frequent term leads the others (G1); ties to the smallest term. With a column
+    ``lang`` the key is (lang, stem), and ``key`` takes the language too, as text.language_key does."""
+    by = [lang] if lang else []
+    stem = key(F.col("term"), *[F.col(c) for c in by])
+    freq = terms.join(stop.select("term"), "term", "left_anti").groupBy(*by, "term").agg(F.sum("weight").alias("freq")).withColumn("key", stem)
+    lead = freq.groupBy(*by, "key").agg(F.min(F.struct((-F.col("freq")).alias("less"), "term")).alias("lead")).select(*by, "key", F.col("lead.term").alias("mainform"))
+    return freq.join(lead, [*by, "key"]).where("term <> mainform").select(*by, "mainform", F.col("term").alias("subform"))
 
 
 def group_union(a: DataFrame, b: DataFrame, max_rounds: int = 30) -> DataFrame:

@@ -40,11 +40,20 @@ docs AS (
 )"""
 
 
-def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(corpus_id, doc_id, term, weight): single words of two characters and more."""
+def region_sql(column: str, lang: str) -> str:
+    """The stem of a word by the endings of its language."""
+    cases = " ".join(f"WHEN '{name}' THEN regexp_replace({column}, '{T.region_pattern(name)}', '\\1')" for name in T.ENDINGS)
+    return f"CASE WHEN length({column}) <= 3 THEN {column} ELSE CASE {lang} {cases} ELSE {column} END END"
+
+
+LANGUAGE_KEY_SQL = f"array_to_string(list_transform(list_filter(string_split_regex(term, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''), lambda w: {region_sql('w', 'lang')}), ' ')"
+
+
+def text_terms(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(corpus_id, doc_id, *more, term, weight): single words of two characters and more, counted within the document's row."""
     docs = text_documents(spark, sf_dir)
-    counts = docs.select("corpus_id", "doc_id", F.explode(T.counted(T.tokens(F.lower("abstract")))).alias("t"))
-    return counts.select("corpus_id", "doc_id", "t.term", "t.weight").where(F.length("term") > 1)
+    counts = docs.select("corpus_id", "doc_id", *more, F.explode(T.counted(T.tokens(F.lower("abstract")))).alias("t"))
+    return counts.select("corpus_id", "doc_id", *more, "t.term", "t.weight").where(F.length("term") > 1)
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:

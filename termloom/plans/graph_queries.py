@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from termloom.operators import graph as G
@@ -301,6 +303,35 @@ def k1(spark, sf_dir):
     return workflow.corpus_workflow(baskets(spark, sf_dir), None, stop_list(spark), map_limit=40).map_list
 
 
+K1_ROWS = """
+SELECT 'occurrences' AS output, term AS a, '' AS b, round(sum(weight), 6) AS x FROM formed GROUP BY corpus_id, term
+UNION ALL SELECT 'main', term, '', 0 FROM main
+UNION ALL SELECT 'tfidf', term, CAST(doc_id AS VARCHAR), round(tf * (ln(n) - ln(nd)), 6) FROM (
+    SELECT corpus_id, doc_id, term, sum(weight) AS tf, count(*) OVER (PARTITION BY corpus_id, term) AS nd FROM listed_rows GROUP BY corpus_id, doc_id, term) JOIN (SELECT corpus_id, count(DISTINCT doc_id) AS n FROM listed_rows GROUP BY 1) USING (corpus_id)
+UNION ALL SELECT 'pairs', x.term, y.term, count(*) FROM named x JOIN named y USING (doc_id) WHERE x.term <= y.term GROUP BY x.term, y.term HAVING count(*) >= 3
+UNION ALL SELECT 'scores', term, '', round(spec + gen, 3) FROM sums
+"""
+
+
+@query(
+    "k1_outputs",
+    K1_SQL.replace("formed AS (SELECT doc_id,", "formed AS (SELECT corpus_id, doc_id,") + ", listed_rows AS (SELECT corpus_id, doc_id, coalesce(mainform, term) AS term, weight FROM basket LEFT JOIN alike ON term = subform WHERE term IN (SELECT term FROM listed))" + SCORES_SQL + K1_ROWS,
+    BASKET_SQL,
+)
+def k1_outputs(spark, sf_dir):
+    """All outputs of the workflow but the map list, which is k1_workflow's."""
+    made = workflow.corpus_workflow(baskets(spark, sf_dir), None, stop_list(spark), map_limit=40)
+    none, zero = F.lit("").alias("b"), F.lit(0.0).alias("x")
+    parts = [
+        made.occurrences.select(F.lit("occurrences").alias("output"), F.col("term").alias("a"), none, six("occurrences").alias("x")),
+        made.main_list.select(F.lit("main").alias("output"), F.col("term").alias("a"), none, zero),
+        made.tfidf.select(F.lit("tfidf").alias("output"), F.col("term").alias("a"), F.col("doc_id").cast("string").alias("b"), six("score").alias("x")),
+        made.cooccurrences.select(F.lit("pairs").alias("output"), "a", "b", F.col("weight").cast("double").alias("x")),
+        made.scores.select(F.lit("scores").alias("output"), F.col("term").alias("a"), none, F.col("genclusion").alias("x")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 K2_SQL = f", named AS (SELECT DISTINCT doc_id, coalesce(mainform, term) AS term FROM basket LEFT JOIN groups ON term = subform WHERE term IN {NAMES})" + SCORES_SQL
 
 
@@ -310,6 +341,17 @@ def k2(spark, sf_dir):
     return workflow.recount(baskets(spark, sf_dir), groups, names.join(groups, names["term"] == groups["subform"], "left_anti")).scores
 
 
+@query("k2_recount_changes", "SELECT term, round(gen, 3) AS gen, round(spec, 3) AS spec, round(spec - gen, 3) AS specclusion, round(spec + gen, 3) AS genclusion FROM sums", BASKET_SQL + K2_SQL)
+def k2_changes(spark, sf_dir):
+    """From the counts of fewer groups and a shorter list, to those of k2_recount."""
+    rows, groups, names = baskets(spark, sf_dir), basket_groups(spark, sf_dir), basket_list(spark, sf_dir)
+    old = groups.where("mainform < 'c'")
+    free = lambda g: names.join(g, names["term"] == g["subform"], "left_anti")
+    old_terms = free(old).where("term NOT LIKE 'a%'")
+    before = workflow.recount(rows, old, old_terms)
+    return workflow.recount_changes(rows, before, old, groups, old_terms, free(groups)).scores
+
+
 @query("k3_yearly_occurrences", f"SELECT year(pub_date) AS year, term, sum(weight) AS occurrences FROM basket WHERE term IN {NAMES} GROUP BY ALL", BASKET_SQL)
 def k3(spark, sf_dir):
     rows = baskets(spark, sf_dir).withColumn("year", F.year("pub_date").cast("long"))

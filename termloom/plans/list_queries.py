@@ -9,7 +9,7 @@ from termloom.operators import lists as L
 from termloom.operators import metrics as M
 
 from .base import query
-from .corpora import BASKET_SQL, TEXT_SQL, basket_groups, basket_list, baskets, table, text_documents, text_terms
+from .corpora import BASKET_SQL, LANGUAGE_KEY_SQL, TEXT_SQL, basket_groups, basket_list, baskets, table, text_documents, text_terms
 from .term_queries import D3_SQL, NO_GROUPS, STOP, STOP_SQL, six
 
 NAMES = "(SELECT DISTINCT p_name AS term FROM part)"
@@ -153,6 +153,17 @@ def g1(spark, sf_dir):
     return L.group_by_stem(rows, F.broadcast(stop_list(spark)), T.stem_key)
 
 
+@query(
+    "g1_group_by_language",
+    f""", freq AS (SELECT lang, term, sum(weight) AS f FROM doc_terms JOIN docs USING (doc_id) WHERE term NOT IN ({STOP_SQL}) GROUP BY ALL),
+    led AS (SELECT lang, term, first_value(term) OVER (PARTITION BY lang, key ORDER BY f DESC, term) AS mainform FROM (SELECT *, {LANGUAGE_KEY_SQL} AS key FROM freq))
+    SELECT lang, mainform, term AS subform FROM led WHERE term <> mainform""",
+    TEXT_SQL,
+)
+def g1_language(spark, sf_dir):
+    return L.group_by_stem(text_terms(spark, sf_dir, "lang"), stop_list(spark), T.language_key, lang="lang")
+
+
 @query(
     "g2_group_union",
     """, firsts AS (SELECT min(p_name) OVER (PARTITION BY split_part(p_name, ' ', 1)) AS mainform, p_name AS subform FROM (SELECT DISTINCT p_name FROM part)),
@@ -421,6 +432,15 @@ def j8(spark, sf_dir):
     return L.add_favorites(docs.where("lang = 'fr'").select("doc_id"), docs.where("lang IN ('es', 'fr')").select("doc_id"), docs.select("doc_id"))
 
 
+@query("j8_favorites_refused", "SELECT doc_id FROM documents WHERE source = 'src1' AND lang = 'fr'")
+def j8_refused(spark, sf_dir):
+    """One of the wanted documents is not in the corpus, so none is added."""
+    every = table(spark, sf_dir, "documents")
+    docs = every.where("source = 'src1'")
+    wanted = docs.where("lang = 'es'").select("doc_id").unionByName(every.where("source = 'src2'").select("doc_id").limit(1))
+    return L.add_favorites(docs.where("lang = 'fr'").select("doc_id"), wanted, docs.select("doc_id"))
+
+
 @query("j9_delete_matching", r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])idiot($|[^\p{L}\p{N}_])')")
 def j9(spark, sf_dir):
     docs = text_documents(spark, sf_dir)

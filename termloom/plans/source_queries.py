@@ -74,6 +74,36 @@ def a4(spark, sf_dir):
     return I.read_articles_xml(spark, path).select("pmid", "source", "authors", "lang", "pub_ts")
 
 
+@query(
+    "a4_articles_xml_fields",
+    """SELECT CAST(doc_id AS VARCHAR) AS pmid, CASE doc_id % 3 WHEN 0 THEN 'Report ' || doc_id ELSE 'Rapport ' || doc_id END AS title,
+    CASE WHEN doc_id % 2 = 0 THEN corpus_id || ' first. ' || lang || ' second.' ELSE lang || ' only.' END AS abstract, pub_date::TIMESTAMP AS pub_ts FROM docs""",
+    TEXT_SQL,
+)
+def a4_fields(spark, sf_dir):
+    """Titles that are empty with one in the language of the text, abstracts in parts, and dates of the second kind."""
+    tag = lambda name, *c: F.concat(F.lit(f"<{name}>"), *c, F.lit(f"</{name}>"))
+    number, n = F.col("doc_id").cast("string"), F.col("doc_id")
+    title = F.when(n % 3 == 0, tag("ArticleTitle", F.lit("Report "), number)).otherwise(F.concat(F.lit("<ArticleTitle></ArticleTitle>"), tag("VernacularTitle", F.lit("Rapport "), number)))
+    parts = F.when(n % 2 == 0, F.concat(tag("AbstractText", "corpus_id", F.lit(" first.")), tag("AbstractText", "lang", F.lit(" second.")))).otherwise(tag("AbstractText", "lang", F.lit(" only.")))
+    date = F.concat(tag("Year", F.year("pub_date").cast("string")), tag("Month", F.date_format("pub_date", "M")), tag("Day", F.date_format("pub_date", "d")))
+    journal = tag("Journal", tag("Title", F.lit("J")), tag("JournalIssue", F.lit("<PubDate></PubDate>")))
+    record = tag("PubmedArticle", tag("MedlineCitation", tag("PMID", number), tag("Article", title, journal, tag("Abstract", parts), tag("Language", F.lit("eng")), tag("ArticleDate", date))))
+    path = scratch(spark, "xml")
+    text_documents(spark, sf_dir).select(record.alias("value")).write.text(path)
+    return I.read_articles_xml(spark, path).select("pmid", "title", "abstract", "pub_ts")
+
+
+@query("a5_marc_fields", "SELECT CAST(doc_id AS VARCHAR) AS record, lang || ' text' AS abstract, CAST(year(pub_date) AS VARCHAR) AS publication_date, '10.1/' || doc_id AS doi FROM docs", TEXT_SQL)
+def a5_fields(spark, sf_dir):
+    field = lambda tag, code, *c: [F.lit(f'<datafield tag="{tag}"><subfield code="{code}">'), *c, F.lit('</subfield><subfield code="z">other</subfield></datafield>')]
+    number = F.col("doc_id").cast("string")
+    record = F.concat(F.lit('<record><controlfield tag="001">'), number, F.lit("</controlfield>"), *field("520", "a", F.col("lang"), F.lit(" text")), *field("269", "c", F.year("pub_date").cast("string")), *field("024", "a", F.lit("10.1/"), number), F.lit("</record>"))
+    path = scratch(spark, "marc")
+    text_documents(spark, sf_dir).select(record.alias("value")).write.text(path)
+    return I.read_marc(spark, path).select("record", "abstract", "publication_date", "doi")
+
+
 @query("a5_marc_records", "SELECT CAST(doc_id AS VARCHAR) AS record, source AS title, 'First,Second' AS authors, lang FROM documents")
 def a5(spark, sf_dir):
     field = lambda tag, c: [F.lit(f'<datafield tag="{tag}"><subfield code="a">'), c, F.lit("</subfield></datafield>")]
@@ -213,6 +243,18 @@ def a15(spark, sf_dir):
     return I.new_terms(terms.where("corpus_id = 'src1'"), terms.where("corpus_id = 'src2'").select("term").distinct())
 
 
+@query(
+    "a15_dictionary_load",
+    """, given AS (SELECT DISTINCT term FROM doc_terms WHERE corpus_id = 'src1'), known AS (SELECT DISTINCT term FROM doc_terms WHERE corpus_id = 'src2'), every AS (SELECT term FROM given UNION SELECT term FROM known)
+    SELECT term, 1 AS n, term NOT IN (SELECT term FROM known) AS is_new, (SELECT count(*) FROM given WHERE term NOT IN (SELECT term FROM known)) AS n_new FROM every""",
+    TEXT_SQL,
+)
+def a15_load(spark, sf_dir):
+    terms = text_terms(spark, sf_dir)
+    loaded = I.load_terms(terms.where("corpus_id = 'src1'"), terms.where("corpus_id = 'src2'").select("term").distinct())
+    return loaded.crossJoin(F.broadcast(loaded.agg(F.count_if("is_new").alias("n_new"))))
+
+
 @query("a16_replace_partitions", "SELECT source, count(*) AS n, CAST(sum(CASE WHEN source = 'src3' THEN 1 ELSE 0 END) AS BIGINT) AS replaced FROM documents GROUP BY 1")
 def a16(spark, sf_dir):
     path = scratch(spark, "parts")

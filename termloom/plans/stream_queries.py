@@ -23,7 +23,7 @@ def l1(spark, sf_dir):
     docs = spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{sf_dir}/documents.parque[t]")
     out = scratch(spark, "index")
     S.index_stream(docs, extract, out, scratch(spark, "index-log")).awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("doc_id", "term", "weight")
 
 
 @query("l2_stream_history", "SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts) - INTERVAL 1 HOUR) FROM events) GROUP BY 1")

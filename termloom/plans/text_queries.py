@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from termloom.functions import text as T
 from termloom.operators import documents as D
 from termloom.operators import metrics as M
+from termloom.operators import search as S
+from termloom.operators.storage import scratch
 
-from .base import query
-from .corpora import TEXT_SQL, basket_list, table, text_documents
+from .base import ORACLES, query
+from .corpora import LANGUAGE_KEY_SQL, TEXT_SQL, basket_list, table, text_documents, text_terms
 from .list_queries import stop_list
 from .term_queries import STOP_SQL
 
@@ -158,6 +160,15 @@ def b13(spark, sf_dir):
     return rows.where(T.all_of(t, "the", "with") & T.any_of(t, "from", "by") & T.none_of(t, "idiot") & T.phrase(t, "of", "the")).select("doc_id")
 
 
+@query("b13_indexed_search", ORACLES["b13_boolean_search"])
+def b13_indexed(spark, sf_dir):
+    path = scratch(spark, "index")
+    S.write_index(table(spark, sf_dir, "documents"), F.col("text"), path)
+    index = S.Index(spark, path)
+    found = index.both(index.both(index.all_of("the", "with"), index.any_of("from", "by")), index.phrase("of", "the"))
+    return index.without(found, index.any_of("idiot"))
+
+
 @query("b14_single_words", "SELECT term, instr(term, ' ') = 0 AS single FROM (SELECT DISTINCT unnest([p_name, p_type]) AS term FROM part)")
 def b14(spark, sf_dir):
     terms = table(spark, sf_dir, "part").select(F.explode(F.array("p_name", "p_type")).alias("term")).distinct()
@@ -196,6 +207,13 @@ def b17(spark, sf_dir):
     return out.withColumn("kept_n", F.size(F.split("kept", "\n"))).select("doc_id", kept.cast("long").alias("kept"), "cut")
 
 
+@query("b17_kept_paragraphs", ORACLES["b17_paragraph_language"].replace("count(*) FILTER (WHERE coalesce(found = lang, true)) AS kept", "md5(coalesce(string_agg(part, chr(10) ORDER BY pos) FILTER (WHERE coalesce(found = lang, true)), '')) AS kept").replace("FROM documents)", "FROM documents WHERE lang IS NOT NULL)"))
+def b17_kept(spark, sf_dir):
+    profile = spark.createDataFrame([(lang, w) for lang, words in PROFILE.items() for w in words], "lang string, word string")
+    out = D.paragraphs_in(table(spark, sf_dir, "documents").where("lang is not null"), F.col("text"), F.col("lang"), profile)
+    return out.select("doc_id", F.md5(F.col("kept").cast("binary")).alias("kept"), "cut")
+
+
 @query(
     "c3_late_terms",
     f""", t AS (SELECT doc_id, regexp_extract_all(lower(abstract), '{WORD}') AS w FROM docs), s AS (SELECT doc_id, w, unnest([1, 2]) AS n FROM t),
@@ -219,6 +237,12 @@ def b10(spark, sf_dir):
     return basket_list(spark, sf_dir).select("term", T.stem_key(F.col("term")).alias("key"))
 
 
+@query("b10_stem_languages", f"SELECT DISTINCT lang, term, {LANGUAGE_KEY_SQL} AS key FROM doc_terms JOIN docs USING (doc_id)", TEXT_SQL)
+def b10_languages(spark, sf_dir):
+    words = text_terms(spark, sf_dir, "lang").select("lang", "term").distinct()
+    return words.select("lang", "term", T.language_key(F.col("term"), F.col("lang")).alias("key"))
+
+
 @query("a12_language_profile", "SELECT source AS corpus_id, (SELECT lang FROM documents d WHERE d.source = o.source AND lang IN ('en', 'fr') GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT 1) AS main_lang, count(*) AS n_docs, coalesce(string_agg(DISTINCT lang, '|' ORDER BY lang) FILTER (WHERE lang NOT IN ('en', 'fr')), '') AS unsupported FROM documents o GROUP BY source")
 def a12(spark, sf_dir):
     return D.language_profile(text_documents(spark, sf_dir), F.col("lang"), ("en", "fr"))
@@ -227,3 +251,18 @@ def a12(spark, sf_dir):
 @query("a14_sample_by_year", ", k AS (SELECT year(pub_date) AS year, count(*) AS k FROM docs GROUP BY 1) SELECT year, CAST(greatest(1, round_even(100 * k / (SELECT count(*) FROM docs), 0)) AS BIGINT) AS n FROM k", TEXT_SQL)
 def a14(spark, sf_dir):
     return D.sample_by_year(text_documents(spark, sf_dir), F.year("pub_date").cast("long"), 100).groupBy("year").agg(F.count("*").alias("n"))
+
+
+#: DuckDB has no crc32: it is reduced from the bits of the letters of a number.
+CRC_SQL = """xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+
+@query(
+    "a14_sampled_documents",
+    f""", y AS (SELECT doc_id, year(pub_date) AS year, {CRC_SQL} AS h FROM docs), r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY h, doc_id) AS place, count(*) OVER (PARTITION BY year) AS k, count(*) OVER () AS n FROM y)
+    SELECT doc_id, year FROM r WHERE place <= greatest(1, round_even(300 * k / n, 0))""",
+    TEXT_SQL,
+)
+def a14_documents(spark, sf_dir):
+    return D.sample_by_year(text_documents(spark, sf_dir), F.year("pub_date").cast("long"), 300)

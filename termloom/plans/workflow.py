@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termloom.operators import graph as G
 from termloom.operators import lists as L
 from termloom.operators import metrics as M
-from termloom.operators.storage import checkpointed
+from termloom.operators.storage import checkpointed, staged
 
 
 class Corpus(NamedTuple):
@@ -24,7 +24,9 @@ class Corpus(NamedTuple):
 
 def corpus_workflow(terms: DataFrame, groups: DataFrame | None, stop: DataFrame, map_limit: int = 350, threshold: int = 3) -> Corpus:
     """Stop list, groups, occurrences, ranking, main list, document tf-idf, co-occurrences, specificity and map list, in this
-    order, over all corpora of ``terms`` as one (K1). Without given ``groups`` terms are grouped by their stems (G1)."""
+    order, over all corpora of ``terms`` as one (K1). Without given ``groups`` terms are grouped by their stems (G1). ``terms`` are
+    written once, and every step reads them from there."""
+    terms = staged(terms)
     stops = L.stop_terms(terms, stop)
     if groups is None:
         groups = checkpointed(L.group_by_stem(terms, stops))
@@ -40,6 +42,39 @@ def recount(terms: DataFrame, groups: DataFrame, map_terms: DataFrame, threshold
     return _measure(terms, groups, map_terms, listed, None, threshold)
 
 
+def recount_changes(terms: DataFrame, before: Corpus, old: DataFrame, new: DataFrame, old_terms: DataFrame, new_terms: DataFrame, threshold: int = 3) -> Corpus:
+    """``recount`` of the groups ``new`` and the list ``new_terms`` from what it gave for ``old`` and ``old_terms`` (K2).
+
+    A term changes if it stands under another form than before, or is listed where it was not; the forms it stood and stands under are
+    touched. Only the touched forms are counted again, and their pairs only in the documents that hold one of them; all other
+    counts are taken over. ``before.cooccurrences`` must hold the pairs of the same threshold.
+    """
+
+    def forms(groups: DataFrame, chosen: DataFrame, name: str) -> DataFrame:
+        subs = groups.join(chosen, groups["mainform"] == chosen["term"], "left_semi").select(F.col("subform").alias("term"))
+        return L.main_form(groups, L.union(chosen, subs)).withColumnRenamed("mainform", name)
+
+    was, now = forms(old, old_terms, "was"), forms(new, new_terms, "now")
+    moved = was.join(now, "term", "full").where(~F.col("was").eqNullSafe(F.col("now")))
+    led = L.main_form(old, terms.select("term").distinct()).withColumnRenamed("mainform", "was").join(L.main_form(new, terms.select("term").distinct()).withColumnRenamed("mainform", "now"), "term").where("was <> now")
+    touched = checkpointed(moved.unionByName(led).select(F.explode(F.array_compact(F.array("was", "now"))).alias("term")).distinct())
+    inside = terms.join(now, "term").drop("term").withColumnRenamed("now", "term")
+    near = inside.join(inside.join(touched, "term", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+    gone = lambda df, column: df.join(touched.withColumnRenamed("term", column), column, "left_anti")
+    counted = G.touching(G.cooccurrences(near, threshold=threshold, by=()), touched)
+    pairs = checkpointed(gone(gone(before.cooccurrences, "a"), "b").unionByName(counted))
+    again = M.occurrences(M.substitute(terms, new).join(touched, "term", "left_semi"))
+    # Where a corpus has more or fewer documents with listed terms than before, all its tf-idf change.
+    size = lambda chosen, name: terms.join(chosen.select("term"), "term", "left_semi").groupBy("corpus_id").agg(F.countDistinct("doc_id").alias(name))
+    grown = checkpointed(size(was, "n").join(size(now, "m"), "corpus_id", "full").where("NOT n <=> m").select("corpus_id"))
+    listed = terms.join(now.select("term"), "term", "left_semi")
+    some = M.tfidf_documents(listed, touched, new).join(grown, "corpus_id", "left_anti")
+    whole = M.tfidf_documents(listed.join(grown, "corpus_id", "left_semi"), None, new)
+    tfidf = gone(before.tfidf, "term").join(grown, "corpus_id", "left_anti").unionByName(some).unionByName(whole)
+    scores = G.specificity(pairs)
+    return Corpus(gone(before.occurrences, "term").unionByName(again), new_terms, tfidf, pairs, scores, new_terms.select("term", F.lit("given").alias("picked_by")))
+
+
 def _measure(terms, groups, main, listed, map_limit, threshold) -> Corpus:
     inside = terms.join(listed, "term", "left_semi")
     pairs = checkpointed(G.cooccurrences(inside, groups=groups, threshold=threshold, by=()))

@@ -257,6 +257,13 @@ def new_terms(terms: DataFrame, known: DataFrame) -> DataFrame:
     return terms.select("term").distinct().join(known.select("term"), "term", "left_anti")
 
 
+def load_terms(terms: DataFrame, known: DataFrame) -> DataFrame:
+    """(term, n, is_new) of the dictionary after a load: the known terms and the new ones, with their number of words."""
+    flag = lambda df, new: df.select("term", F.lit(new).alias("is_new"))
+    every = flag(terms, True).unionAll(flag(known, False)).groupBy("term").agg(F.min("is_new").alias("is_new"))
+    return every.select("term", (F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit(""))) + 1).alias("n"), "is_new")
+
+
 DELIMITER = "|&|"
 
 

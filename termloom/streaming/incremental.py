@@ -10,23 +10,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def index_stream(docs: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Append the (doc_id, term, weight) rows of new documents that the table at ``path`` lacks (L1).
+    """Write the (doc_id, term, weight) rows of documents that have not been indexed before to the table at ``path`` (L1).
 
-    Each batch meets the stored rows in the range of its documents' ids in an anti join, so a batch that is run again adds nothing.
-    Rows are written in the order of doc_id, so that the files' and row groups' bounds keep the other ranges from being read:
-    where new documents have new ids, as numbers given in order, a batch reads next to nothing of the index.
+    The stream's state holds the ids of all documents seen, in the checkpoint: a document that comes back, in the same batch or after
+    a restart, with its old text or another, adds nothing. A batch is read and written once, without a look at the index; one that is run
+    again replaces its own files, which carry its number. For many documents give the session RocksDB as its state store.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = extract(batch.dropDuplicates(["doc_id"]))
-        rows.where("false").write.mode("ignore").parquet(path)  # the first batch makes the table
-        ends = batch.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-        known = spark.read.schema(rows.schema).parquet(path).where(F.col("doc_id").between(ends["low"], ends["high"])).select("doc_id", "term")
-        rows = rows.join(known, ["doc_id", "term"], "left_anti")
-        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("append").parquet(path)
-
-    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def add(batch: DataFrame, number: int) -> None:
+        made, name = f"{path}/_batches/{number}", f"{path}/batch-{number:010}"  # readers pass over names that begin with _
+        extract(batch).write.mode("overwrite").parquet(made)
+        context = batch.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path
+        files = at(path).getFileSystem(context._jsc.hadoopConfiguration())
+        for old in files.globStatus(at(f"{name}-*")):
+            files.delete(old.getPath(), False)
+        for i, new in enumerate(files.globStatus(at(f"{made}/part-*"))):
+            files.rename(new.getPath(), at(f"{name}-{i:05}.parquet"))
+        files.delete(at(made), True)
+
+    return docs.dropDuplicates(["doc_id"]).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def history_stream(events: DataFrame, time: str = "ts", value: str = "value", size: str = "1 day", delay: str = "1 hour") -> DataFrame:
