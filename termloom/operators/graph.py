@@ -5,11 +5,14 @@ Pairs are (a, b, weight); graphs are edges (s, t, w) with s < t.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .metrics import substitute
-from .storage import checkpointed, staged
+from .storage import checkpointed, ranked, staged
 
 
 CELL = 1024  # terms of a part of a document
@@ -116,22 +119,53 @@ def _by_neighbour(left: DataFrame, right: DataFrame) -> DataFrame:
     return mine.join(every, ["k", "piece"])
 
 
+def _products(left: DataFrame, right: DataFrame, term: Column, bounds: DataFrame, weigh: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(s, t, w) of the pairs that may pass the threshold of H9: ``weigh`` of (s, t, value), the sum of ``term`` over the common
+    neighbours k of ``left`` (k, s, x) and ``right`` (k, t, y).
+
+    ``bounds`` is (v, need, reach), such that a weight from s to t is at most reach(t) / need(s). The threshold is the smallest over all
+    vertices of the largest incoming weight, so it is at least the smallest over all vertices of one incoming weight each: these few,
+    from the neighbour that needs least, are summed first. Pairs that cannot come up to that are then left out before they are summed;
+    none of them passes the threshold, holds a vertex's largest weight, or beats one that passes.
+    """
+    chosen = right.select("k", "t").join(bounds.select(F.col("v").alias("k"), "need"), "k").groupBy("t").agg(F.min_by("k", F.struct("need", "k")).alias("s"))
+    first = left.join(chosen, "s").join(right, ["k", "t"]).where("s <> t").groupBy("s", "t").agg(F.sum(term).alias("value"))
+    least = chosen.join(weigh(first), ["s", "t"], "left").agg(F.min(F.coalesce("w", F.lit(0.0)))).first()[0] or 0.0
+    needy = left.join(bounds.select(F.col("v").alias("s"), "need"), "s")
+    able = right.join(bounds.select(F.col("v").alias("t"), "reach"), "t")
+    pairs = _by_neighbour(needy, able).where((F.col("s") != F.col("t")) & (F.col("reach") >= F.col("need") * (least * (1 - 1e-9))))
+    return weigh(pairs.groupBy("s", "t").agg(F.sum(term).alias("value")))
+
+
 def cosine_graph(pairs: DataFrame, true_cosine: bool = False) -> DataFrame:
-    """(s, t, w): sum over k of c_ik c_jk over A_ij = s_i - c_ij, or over sqrt(A_ij A_ji) for a ``true_cosine`` (H7)."""
+    """(s, t, w): sum over k of c_ik c_jk over A_ij = s_i - c_ij, or over sqrt(A_ij A_ji) for a ``true_cosine`` (H7).
+
+    The sum is at most the product of both norms, and c_ij at most the largest of row i, which bounds a pair's weight (_products).
+    """
     full = checkpointed(mirrored(pairs.where("a <> b")))
     sums = row_sums(full)
     k = full.select(F.col("b").alias("k"), F.col("a").alias("s"), F.col("weight").alias("x"))
-    dots = _by_neighbour(k, k.select("k", F.col("s").alias("t"), F.col("x").alias("y"))).where("s <> t").groupBy("s", "t").agg(F.sum(F.col("x") * F.col("y")).cast("double").alias("dot"))
     c = full.select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("weight").alias("c"))
-    rows = dots.join(c, ["s", "t"], "left").join(sums.select(F.col("v").alias("s"), F.col("sum").alias("si")), "s").join(sums.select(F.col("v").alias("t"), F.col("sum").alias("sj")), "t")
-    c0 = F.coalesce("c", F.lit(0.0))
-    below = F.sqrt((F.col("si") - c0) * (F.col("sj") - c0)) if true_cosine else F.col("si") - c0
-    return _stronger(checkpointed(rows.select("s", "t", F.coalesce(F.try_divide("dot", below), F.lit(0.0)).alias("w"))), sums)
+    rows = full.groupBy(F.col("a").alias("v")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), (F.sum("weight") - F.max("weight")).cast("double").alias("rest"))
+    rest = F.sqrt("rest") if true_cosine else F.col("rest")
+    reach = F.coalesce(F.try_divide("norm", rest), F.lit(1e300)) if true_cosine else F.col("norm")
+    bounds = checkpointed(rows.select("v", (rest / F.col("norm")).alias("need"), reach.alias("reach")))
+
+    def weigh(dots: DataFrame) -> DataFrame:
+        both = dots.join(c, ["s", "t"], "left").join(sums.select(F.col("v").alias("s"), F.col("sum").alias("si")), "s").join(sums.select(F.col("v").alias("t"), F.col("sum").alias("sj")), "t")
+        c0 = F.coalesce("c", F.lit(0.0))
+        below = F.sqrt((F.col("si") - c0) * (F.col("sj") - c0)) if true_cosine else F.col("si") - c0
+        return both.select("s", "t", F.coalesce(F.try_divide(F.col("value").cast("double"), below), F.lit(0.0)).alias("w"))
+
+    return _stronger(checkpointed(_products(k, k.select("k", F.col("s").alias("t"), F.col("x").alias("y")), F.col("x") * F.col("y"), bounds, weigh)), sums)
 
 
 def distributional_graph(pairs: DataFrame) -> DataFrame:
     """(s, t, w): sum over k with mi_ik > 0 of min(mi_ik, mi_jk) over the sum of the same mi_ik, k neither i nor j, with
-    mi = ln(c T / (s_i s_j)); a pair without counts has mi 0 (H8)."""
+    mi = ln(c T / (s_i s_j)); a pair without counts has mi 0 (H8).
+
+    The sum of least values is at most the sum of the positive mi of j, which bounds a pair's weight (_products).
+    """
     full = checkpointed(mirrored(pairs.where("a <> b")))
     sums = row_sums(full)
     total = sums.agg(F.sum("sum").alias("T"))
@@ -141,10 +175,15 @@ def distributional_graph(pairs: DataFrame) -> DataFrame:
     whole = positive.groupBy(F.col("a").alias("s")).agg(F.sum("mi").alias("whole"))
     left = positive.select(F.col("b").alias("k"), F.col("a").alias("s"), F.col("mi").alias("x"))
     right = mi.select(F.col("b").alias("k"), F.col("a").alias("t"), F.col("mi").alias("y"))
-    overlap = _by_neighbour(left, right).where("s <> t").groupBy("s", "t").agg(F.sum(F.least("x", "y")).alias("overlap"))
     own = positive.select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("mi").alias("own"))
-    rows = overlap.join(own, ["s", "t"], "left").join(whole, "s").select("s", "t", F.coalesce(F.try_divide("overlap", F.col("whole") - F.coalesce("own", F.lit(0.0))), F.lit(0.0)).alias("w"))
-    return _stronger(checkpointed(rows), sums)
+    held = F.greatest("mi", F.lit(0.0))
+    bounds = checkpointed(mi.groupBy(F.col("a").alias("v")).agg((F.sum(held) - F.max(held)).alias("need"), F.sum(held).alias("reach")))
+
+    def weigh(overlap: DataFrame) -> DataFrame:
+        below = F.col("whole") - F.coalesce("own", F.lit(0.0))
+        return overlap.join(own, ["s", "t"], "left").join(whole, "s").select("s", "t", F.coalesce(F.try_divide("value", below), F.lit(0.0)).alias("w"))
+
+    return _stronger(checkpointed(_products(left, right, F.least("x", "y"), bounds, weigh)), sums)
 
 
 def node_weights(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -165,41 +204,53 @@ def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def _one_level(edges: DataFrame, loops: DataFrame, least_gain: float, most_rounds: int) -> DataFrame:
-    """(id, cluster) after rounds of local moves; in each, only the vertices of one half, by a hash of vertex and round, move, ties to the
-    smallest cluster. The rounds end when no vertex of two halves in turn moves, or when four rounds together gain less than
-    ``least_gain`` of modularity."""
-    both = checkpointed(edges.where("s <> t").select(F.col("s").alias("v"), F.col("t").alias("u"), "w").unionAll(edges.where("s <> t").select("t", "s", "w")))
-    degree = both.select("v", "w").unionAll(loops.select(F.col("v"), (2 * F.col("w")).alias("w"))).groupBy("v").agg(F.sum("w").alias("k"))
-    degree = checkpointed(degree)
-    doubled = degree.agg(F.sum("k").alias("mm")).first()["mm"] or 0.0
-    where = checkpointed(degree.select("v", F.col("v").alias("c"), "k"))
-    still, scores = 0, []
+def _one_level(edges: DataFrame, least_gain: float, most_rounds: int) -> tuple[DataFrame, float | None]:
+    """(id, cluster) after rounds of local moves, and the modularity before the last round; None without weight. In each round only the
+    vertices of one half, by a hash of vertex and round, move, ties to the smallest cluster. The rounds end when no vertex of two
+    halves in turn moves, or when four rounds together gain less than ``least_gain`` of modularity.
+
+    A round is one job: clusters tell their totals to their vertices, these to their neighbours, and what a vertex hears is summed where the
+    vertex is; the modularity of what the round starts from is observed on the way.
+    """
+    ends = edges.where("s <> t")
+    both = staged(ends.select(F.col("s").alias("v"), F.col("t").alias("u"), "w").unionAll(ends.select("t", "s", "w")))
+    loops = edges.where("s = t").select(F.col("s").alias("v"), (2 * F.col("w")).alias("k"), (2 * F.col("w")).alias("loop"))
+    degree = both.select("v", F.col("w").alias("k"), F.lit(0.0).alias("loop")).unionAll(loops).groupBy("v").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
+    seen = Observation()
+    where = staged(degree.select("v", F.col("v").alias("c"), "k", "loop").observe(seen, F.sum("k").alias("doubled")))
+    doubled = seen.get["doubled"] or 0.0
     if doubled == 0:
-        return where.select(F.col("v").alias("id"), F.col("c").alias("cluster"))
+        return where.select(F.col("v").alias("id"), F.col("c").alias("cluster")), None
+    still, scores, score = 0, [], None
     for turn in range(most_rounds):
-        total = where.groupBy("c").agg(F.sum("k").alias("total"))
-        near = both.join(where.select(F.col("v").alias("u"), "c"), "u").select("v", "c", "w").unionAll(where.select("v", "c", F.lit(0.0)))
-        options = near.groupBy("v", "c").agg(F.sum("w").alias("kc")).join(total, "c").join(where.select("v", F.col("c").alias("own"), "k"), "v")
-        outside = F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
-        gain = F.round(F.col("kc") - outside * F.col("k") / doubled, 9)
-        best = options.select("v", "own", "k", "c", gain.alias("gain")).groupBy("v", "own", "k").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("here"), F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"))
+        told = where.join(where.groupBy("c").agg(F.sum("k").alias("total")), "c")
+        near = both.join(told.select(F.col("v").alias("u"), "c", "total"), "u").select("v", "c", "w", "total", F.lit(None).cast("double").alias("k"), F.lit(None).cast("double").alias("loop"))
+        own = told.select("v", "c", F.lit(0.0).alias("w"), "total", "k", "loop")
+        options = near.unionByName(own).repartition("v").groupBy("v", "c").agg(F.sum("w").alias("kc"), F.max("total").alias("total"), F.max("k").alias("mine"), F.max("loop").alias("loop"))
+        options = options.withColumn("k", F.max("mine").over(Window.partitionBy("v")))
+        here = F.col("mine").isNotNull()
+        gain = F.round(F.col("kc") - (F.col("total") - F.when(here, F.col("k")).otherwise(F.lit(0.0))) * F.col("k") / doubled, 9)
+        mine = lambda c: F.max(F.when(here, c))
+        best = options.withColumn("gain", gain).groupBy("v").agg(
+            mine(F.col("gain")).alias("here"), mine(F.col("c")).alias("own"), F.max("k").alias("k"), F.max("loop").alias("loop"), mine(F.col("kc")).alias("inside"), mine(F.col("total")).alias("total"),
+            F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"),
+        )
         moves = (-F.col("best.loss") > F.col("here")) & (F.pmod(F.xxhash64("v", F.lit(turn // 2)), F.lit(2)) == turn % 2)
+        placed = best.withColumns({"c": F.when(moves, F.col("best.c")).otherwise(F.col("own")), "moved": moves})
         seen = Observation()
-        placed = best.select("v", F.when(moves, F.col("best.c")).otherwise(F.col("own")).alias("c"), "k", moves.alias("moved"))
-        where = staged(placed.observe(seen, F.max("moved").alias("moved"))).drop("moved")
-        moved = seen.get["moved"]
+        now = F.sum(F.col("inside") + F.col("loop")) / doubled - F.sum(F.col("k") * F.col("total")) / doubled**2
+        where = staged(placed.observe(seen, F.max("moved").alias("moved"), now.alias("score")).select("v", "c", "k", "loop"))
+        moved, score = seen.get["moved"], seen.get["score"]
         still = 0 if moved else still + 1
         if still == 2:
             break
-        if turn % 4 == 3:
-            named = where.select(F.col("v").alias("id"), F.col("c").alias("cluster"))
-            scores.append(modularity(edges, named).first()["modularity"])
+        if turn % 4 == 0:
+            scores.append(score)
             if len(scores) > 1 and scores[-1] - scores[-2] < least_gain:
                 break
     else:
         raise RuntimeError("communities did not settle")
-    return where.select(F.col("v").alias("id"), F.col("c").alias("cluster"))
+    return where.select(F.col("v").alias("id"), F.col("c").alias("cluster")), score
 
 
 def community_levels(edges: DataFrame, least_gain: float = 1e-6, most_levels: int = 50, most_rounds: int = 200) -> list[DataFrame]:
@@ -210,13 +261,10 @@ def community_levels(edges: DataFrame, least_gain: float = 1e-6, most_levels: in
     edges. Raises RuntimeError if the moves have not settled after ``most_levels`` levels of ``most_rounds`` rounds.
     """
     now = checkpointed(edges.select(F.col("s").cast("string").alias("s"), F.col("t").cast("string").alias("t"), F.col("w").cast("double").alias("w")))
-    original = now
     levels: list[DataFrame] = []
     score = None
     for _ in range(most_levels):
-        loops = now.where("s = t").select(F.col("s").alias("v"), "w")
-        level = staged(_one_level(now, loops, least_gain, most_rounds))
-        new = modularity(original, compose_levels([*levels, level])).first()["modularity"]
+        level, new = _one_level(now, least_gain, most_rounds)
         if new is None or (score is not None and new - score < least_gain):
             return levels
         levels.append(level)
@@ -227,6 +275,12 @@ def community_levels(edges: DataFrame, least_gain: float = 1e-6, most_levels: in
     raise RuntimeError("communities did not settle")
 
 
+def dendrogram(levels: list[DataFrame]) -> DataFrame:
+    """One written table (level, id, cluster): each vertex's community at every level, from 0, to choose from."""
+    rows = [compose_levels(levels[: i + 1]).select(F.lit(i).alias("level"), "id", "cluster") for i in range(len(levels))]
+    return staged(reduce(lambda a, b: a.unionByName(b), rows))
+
+
 def compose_levels(levels: list[DataFrame]) -> DataFrame:
     """(id, cluster) of the last of several levels (H13). A cluster that a level has no row for, as one without links to others,
     keeps its name."""
@@ -257,8 +311,9 @@ def prune_bridges(edges: DataFrame, partition: DataFrame, bridgeness: float) ->
     between = rows.where("c1 <> c2")
     quota = between.groupBy("c1", "c2").agg(F.count("*").alias("links")).join(size.select(F.col("cluster").alias("c1"), F.col("n").alias("n1")), "c1").join(size.select(F.col("cluster").alias("c2"), F.col("n").alias("n2")), "c2")
     quota = quota.select("c1", "c2", F.bround(F.lit(float(bridgeness)) * F.col("links") / (F.col("n1") + F.col("n2"))).alias("most"))
-    place = F.row_number().over(Window.partitionBy("c1", "c2").orderBy(F.desc("w"), "s", "t"))
-    return inside.unionByName(between.withColumn("place", place).join(quota, ["c1", "c2"]).where("place <= most").select("s", "t", "w"))
+    placed = ranked(between, F.col("c1"), F.col("c2"), F.desc("w"), F.col("s"), F.col("t"))
+    firsts = placed.groupBy("c1", "c2").agg(F.min("rank").alias("first"))
+    return inside.unionByName(placed.join(quota, ["c1", "c2"]).join(firsts, ["c1", "c2"]).where("rank - first < most").select("s", "t", "w"))
 
 
 def assemble(pairs: DataFrame, edges: DataFrame, partition: DataFrame, growth: DataFrame | None = None) -> DataFrame:

@@ -210,6 +210,11 @@ def h13(spark, sf_dir):
     return every.select("vertices", "placed", "once", (F.col("found") >= F.col("single")).alias("gained"), (F.col("parts") == 1).alias("nested"))
 
 
+@query("h13_dendrogram")
+def h13_dendrogram(spark, sf_dir):
+    return G.dendrogram(own_communities(spark, sf_dir)[1])
+
+
 @query("h9_min_max", """, p AS (SELECT a, b, weight / s AS w FROM full_ JOIN sums ON a = v) SELECT round(min(greatest(0, coalesce(top, 0))), 6) AS threshold FROM sums LEFT JOIN (SELECT b, max(w) AS top FROM p GROUP BY 1) ON v = b""", BASKET_SQL + H3_SQL + FULL_SQL)
 def h9(spark, sf_dir):
     full = checkpointed(G.mirrored(name_pairs(spark, sf_dir)))

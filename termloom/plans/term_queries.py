@@ -29,7 +29,7 @@ def d1_grouped(spark, sf_dir):
 
 
 RANK_SQL = """
-, scope AS (SELECT d.* FROM {rows} d WHERE {where}), m AS (SELECT count(DISTINCT doc_id) AS M FROM scope),
+, scope AS MATERIALIZED (SELECT d.* FROM {rows} d WHERE {where}), m AS (SELECT count(DISTINCT doc_id) AS M FROM scope),
 ranked AS (SELECT term, sum(weight) AS tf, {nd} AS nd FROM (SELECT s.* REPLACE (coalesce(mainform, term) AS term) FROM scope s LEFT JOIN ({groups}) ON term = subform) GROUP BY term)
 """
 NO_GROUPS = "SELECT '' AS mainform, '' AS subform WHERE false"
@@ -43,7 +43,7 @@ def d2_local(spark, sf_dir):
 
 @query(
     "d2_tfidf_global",
-    "SELECT term, tf, nd, round(tf * (ln(M) - ln(nd)), 6) AS score FROM ranked, m WHERE term IN (SELECT term FROM doc_terms WHERE corpus_id = 'src0')",
+    "SELECT term, tf, nd, round(tf * (ln(M) - ln(nd)), 6) AS score FROM ranked SEMI JOIN (SELECT term FROM doc_terms WHERE corpus_id = 'src0') USING (term), m",
     TEXT_SQL + RANK_SQL.format(rows="doc_terms", where="d.corpus_id IN (SELECT corpus_id FROM docs WHERE source_type = 0)", nd="count(DISTINCT doc_id)", groups=NO_GROUPS),
 )
 def d2_global(spark, sf_dir):
