@@ -125,13 +125,16 @@ def _products(left: DataFrame, right: DataFrame, term: Column, bounds: DataFrame
 
     ``bounds`` is (v, need, reach), such that a weight from s to t is at most reach(t) / need(s). The threshold is the smallest over all
     vertices of the largest incoming weight, so it is at least the smallest over all vertices of one incoming weight each: these few,
-    from the neighbour that needs least, are summed first. Pairs that cannot come up to that are then left out before they are summed;
+    from the vertex with a common neighbour that needs least, are summed first. Pairs that cannot come up to that are then left out before they are summed;
     none of them passes the threshold, holds a vertex's largest weight, or beats one that passes.
     """
-    chosen = right.select("k", "t").join(bounds.select(F.col("v").alias("k"), "need"), "k").groupBy("t").agg(F.min_by("k", F.struct("need", "k")).alias("s"))
-    first = left.join(chosen, "s").join(right, ["k", "t"]).where("s <> t").groupBy("s", "t").agg(F.sum(term).alias("value"))
-    least = chosen.join(weigh(first), ["s", "t"], "left").agg(F.min(F.coalesce("w", F.lit(0.0)))).first()[0] or 0.0
     needy = left.join(bounds.select(F.col("v").alias("s"), "need"), "s")
+    lowest = needy.groupBy("k").agg(F.min(F.struct("need", "s")).alias("one"))
+    second = needy.join(lowest, "k").where(F.col("s") != F.col("one.s")).groupBy("k").agg(F.min(F.struct("need", "s")).alias("two"))
+    other = F.when(F.col("one.s") != F.col("t"), F.col("one")).otherwise(F.col("two"))
+    chosen = right.select("k", "t").join(lowest.join(second, "k", "left"), "k").groupBy("t").agg(F.min(other).alias("s")).select("t", "s.s")
+    first = left.join(chosen, "s").join(right, ["k", "t"]).where("s <> t").groupBy("s", "t").agg(F.sum(term).alias("value"))
+    least = bounds.select(F.col("v").alias("t")).join(chosen, "t", "left").join(weigh(first), ["s", "t"], "left").agg(F.min(F.coalesce("w", F.lit(0.0)))).first()[0] or 0.0
     able = right.join(bounds.select(F.col("v").alias("t"), "reach"), "t")
     pairs = _by_neighbour(needy, able).where((F.col("s") != F.col("t")) & (F.col("reach") >= F.col("need") * (least * (1 - 1e-9))))
     return weigh(pairs.groupBy("s", "t").agg(F.sum(term).alias("value")))

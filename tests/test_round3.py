@@ -170,3 +170,82 @@ def test_samples_name_their_documents(spark):
     got = D.sample_by_year(rows, F.col("y"), 90)
     assert collections.Counter(r.year for r in got.collect()) == {2000: 30, 2001: 30, 2002: 30}
     assert "Window [row_number" not in plan(got)
+
+
+def sequential_louvain(edges):
+    """Modularity of plain one-vertex-at-a-time moves and contraction."""
+    graph = [(s, t, w) for s, t, w in edges]
+    total, best = 2 * sum(w for _, _, w in edges), -1.0
+    while True:
+        near, degree = collections.defaultdict(lambda: collections.defaultdict(float)), collections.defaultdict(float)
+        for s, t, w in graph:
+            degree[s] += w
+            degree[t] += w
+            if s != t:
+                near[s][t] += w
+                near[t][s] += w
+        where, size = {v: v for v in degree}, dict(degree)
+        moved = True
+        while moved:
+            moved = False
+            for v in sorted(degree):
+                size[where[v]] -= degree[v]
+                links = collections.defaultdict(float)
+                for u, w in near[v].items():
+                    links[where[u]] += w
+                top = max([*links, where[v]], key=lambda c: (round(links[c] - size.get(c, 0) * degree[v] / total, 9), c == where[v]))
+                moved |= top != where[v]
+                where[v] = top
+                size[top] = size.get(top, 0) + degree[v]
+        inside = sum(2 * w for s, t, w in graph if where[s] == where[t]) / total
+        score = inside - sum((x / total) ** 2 for x in size.values())
+        if score - best < 1e-6:
+            return best
+        best, merged = score, collections.defaultdict(float)
+        for s, t, w in graph:
+            merged[tuple(sorted((where[s], where[t])))] += w
+        graph = [(s, t, w) for (s, t), w in merged.items()]
+
+
+def test_communities_are_as_good_as_one_by_one(spark):
+    r = random.Random(11)
+    block = lambda i: i // 12
+    edges = [(f"v{i:02}", f"v{j:02}", float(r.randint(1, 4))) for i in range(60) for j in range(i) if r.random() < (0.5 if block(i) == block(j) else 0.04)]
+    table = spark.createDataFrame(edges, "s string, t string, w double").repartition(3)
+    levels = G.community_levels(table)
+    found = G.modularity(table, G.compose_levels(levels)).first()["modularity"]
+    assert found >= 0.99 * sequential_louvain(edges)
+    tree = collections.defaultdict(dict)
+    for x in G.dendrogram(levels).collect():
+        tree[x.level][x.id] = x.cluster
+    ids = {v for e in edges for v in e[:2]}
+    assert sorted(tree) == list(range(len(levels))) and all(set(tree[k]) == ids for k in tree)
+    for k in range(len(levels) - 1):  # a community lies whole in one of the next level
+        assert len({(tree[k][v], tree[k + 1][v]) for v in ids}) == len(set(tree[k].values()))
+        assert G.modularity(table, spark.createDataFrame(list(tree[k].items()), "id string, cluster string")).first()["modularity"] <= found + 1e-9
+
+
+@pytest.mark.parametrize("graph", ["cosine", "true_cosine", "distributional"])
+def test_bounded_products_give_the_same_graph_from_fewer_pairs(spark, monkeypatch, graph):
+    r = random.Random(1)  # four hubs that all know each other, and terms that know two of them
+    pairs = [(f"a{i}", f"a{j}", 3) for j in range(4) for i in range(j)] + [(f"a{i}", f"t{j:03}", 3 + (j + i) % 3) for j in range(120) for i in r.sample(range(4), 2)]
+    table = spark.createDataFrame(pairs, "a string, b string, weight long")
+    build = {"cosine": lambda: G.cosine_graph(table), "true_cosine": lambda: G.cosine_graph(table, True), "distributional": lambda: G.distributional_graph(table)}[graph]
+    counts, products = [], G._products
+
+    def bounded(left, right, term, bounds, weigh):
+        rows = products(left, right, term, bounds, weigh)
+        counts.append(rows.count())
+        return rows
+
+    def unbounded(left, right, term, bounds, weigh):
+        rows = weigh(left.join(right, "k").where("s <> t").groupBy("s", "t").agg(F.sum(term).alias("value")))
+        counts.append(rows.count())
+        return rows
+
+    plain = lambda df: sorted((x.s, x.t, round(x.w, 9)) for x in df.collect())
+    monkeypatch.setattr(G, "_products", bounded)
+    got = plain(build())
+    monkeypatch.setattr(G, "_products", unbounded)
+    assert got == plain(build())
+    assert counts[0] <= counts[1] and (graph != "cosine" or counts[0] < counts[1])
