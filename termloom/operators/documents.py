@@ -106,7 +106,7 @@ def paragraphs_in(docs: DataFrame, text: Column, wanted: Column, profile: DataFr
     """
     parts = docs.select(key, wanted.alias("wanted"), F.posexplode(F.split(text, r"\n\s*\n|\n")).alias("pos", "part"))
     words = parts.select(key, "pos", F.explode(T.tokens(F.lower("part"))).alias("word"))
-    counts = words.join(F.broadcast(profile), "word").groupBy(key, "pos", "lang").agg(F.count("*").alias("n"))
+    counts = words.join(profile, "word").groupBy(key, "pos", "lang").agg(F.count("*").alias("n"))
     best = counts.groupBy(key, "pos").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang")).alias("best")).select(key, "pos", F.col("best.lang").alias("found"))
     judged = parts.join(best, [key, "pos"], "left").withColumn("keep", F.coalesce(F.col("found") == F.col("wanted"), F.lit(True)))
     kept = F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct("pos", "part"))))

@@ -32,7 +32,7 @@ def main_list(ranking: DataFrame, stop: DataFrame, hard_limit: int = 5000, ratio
     limit = free.groupBy(*by).agg(F.least(F.lit(hard_limit), F.bround(F.count("*") * ratio)).alias("most"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "term"))
     best = free.withColumn("place", place).where(F.col("place") <= hard_limit)  # a constant bound, so that ranks are pruned before the shuffle
-    return best.join(F.broadcast(limit), list(by)).where("place <= most").select(*by, "term", "score")
+    return best.join(limit, list(by)).where("place <= most").select(*by, "term", "score")
 
 
 def map_list(scores: DataFrame, main: DataFrame, subforms: DataFrame, limit: int = 350, gen_part: float = 0.6, mono_part: float = 0.2) -> DataFrame:

@@ -49,7 +49,7 @@ def tfidf_documents(terms: DataFrame, members: DataFrame | None = None, groups:
         forms = forms.join(members, "term", "left_semi")
     tf = forms.groupBy("corpus_id", "doc_id", "term").agg(F.sum("weight").alias("tf"))
     nd = tf.groupBy("corpus_id", "term").agg(F.count("*").alias("nd"))
-    return tf.join(nd, ["corpus_id", "term"]).join(F.broadcast(sizes), "corpus_id").select("corpus_id", "doc_id", "term", (F.col("tf") * (F.ln("N") - F.ln("nd"))).alias("score"))
+    return tf.join(nd, ["corpus_id", "term"]).join(sizes, "corpus_id").select("corpus_id", "doc_id", "term", (F.col("tf") * (F.ln("N") - F.ln("nd"))).alias("score"))
 
 
 def document_frequency(terms: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ def document_frequency(terms: DataFrame, members: DataFrame | None = None) -> Da
 def representativity(terms: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Document frequency over the corpus's number of documents."""
     sizes = terms.groupBy("corpus_id").agg(F.countDistinct("doc_id").alias("N"))
-    return document_frequency(terms, members).join(F.broadcast(sizes), "corpus_id").select("corpus_id", "term", F.try_divide("df", "N").alias("representativity"))
+    return document_frequency(terms, members).join(sizes, "corpus_id").select("corpus_id", "term", F.try_divide("df", "N").alias("representativity"))
 
 
 def compare_corpora(terms: DataFrame, a: str, b: str, members: DataFrame | None = None) -> DataFrame:
@@ -169,7 +169,7 @@ def relative_frequency(words: DataFrame, stop: list[str], by: tuple[str, ...] =
     """(term, frequency, n, total): words that start with no digit and are no stop words."""
     n = words.where(~F.col("term").rlike(r"^\d") & ~F.col("term").isin(*stop)).groupBy(*by, "term").agg(F.sum("weight").alias("n"))
     total = n.groupBy(*by).agg(F.sum("n").alias("total"))
-    joined = n.join(F.broadcast(total), list(by)) if by else n.crossJoin(F.broadcast(total))
+    joined = n.join(total, list(by)) if by else n.crossJoin(F.broadcast(total))
     return joined.select(*by, "term", F.try_divide("n", "total").alias("frequency"), "n", "total")
 
 
@@ -187,7 +187,7 @@ def top_part_by(frequencies: DataFrame, percent: float, by: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a slice
     starts = first.select(by, before.alias("start")).join(most, by)
     placed = ranked(frequencies, F.col(by), F.desc("frequency"), F.col("term"))
-    return placed.join(F.broadcast(starts), by).where("rank - start < most").drop("rank", "start", "most")
+    return placed.join(starts, by).where("rank - start < most").drop("rank", "start", "most")
 
 
 def specificities(frequencies: DataFrame, reference: DataFrame, percent: float) -> DataFrame:

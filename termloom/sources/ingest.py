@@ -187,9 +187,10 @@ def first_of(df: DataFrame, by: str, order: str) -> DataFrame:
     return best.select(by, "best.*").select(*columns)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Any header, every column a string, empty values empty."""
-    rows = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, sep: str = "\t", line_ends: bool = True) -> DataFrame:
+    """Any header, every column a string, empty values empty (A7). With ``line_ends`` values in quotes may hold line ends, and a file is one
+    task's; without, large files are split."""
+    rows = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=line_ends, escape='"')
     return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
 
 
