@@ -26,7 +26,7 @@ NEVER = 255
 GATE_BITS = 24  # slots of a gate, one byte each
 KEEP_BITS = 26  # slots of the survivors of one length, one bit each
 CHUNK = 1 << 19  # words whose phrases a task counts at a time by hash
-HELD = 1 << 21  # and by text
+HELD = 1 << 20  # and by text
 
 
 def words_of(text: str) -> list[bytes]:

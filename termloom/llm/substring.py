@@ -8,8 +8,9 @@ A window is a run of ``width`` words. The work has four steps, all keyed and non
    with a window owns it. Windows that only their owner has are ruled out.
 3. Automata. The windows that a document owns for others are its reference passages. Passages of other documents
    stream through the suffix automaton of their owner's, a reference shard that is sent wherever it is needed once; equal
-   passages stream once, and the many passages of one owner are dealt over copies of its automaton. Matching statistics over the words themselves give the maximal spans that are repeated, so hashes
-   select candidates and decide nothing.
+   passages stream once, and the many passages of one owner are dealt over copies of its automaton. Matching statistics over
+   the words themselves give the maximal spans that are repeated, so nothing is removed for equal hashes of unequal words. A repeat
+   is missed only if another window of a smaller document has the same 64-bit hash: of n different windows a share of n / 2^64.
 4. Removal. The spans return to their documents.
 """
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +314,49 @@ def test_pooled_probabilities_by_the_book():
             z = w["outf"] @ ahead + w["outb"] @ behind + w["bias"][:, 0]
             pooled += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
     assert np.allclose(langid.label_texts(network, [text], steps=16)[0], pooled / len(text), atol=1e-5)
+
+
+def test_quality_training_by_the_book():
+    """sgd against one step after another with the layer kept apart from the table."""
+    from termloom.llm import quality
+
+    rng = np.random.default_rng(5)
+    bags = [(np.sort(rng.choice(40, n, replace=False)).astype(np.int32), np.full(n, 1 / n, np.float32)) for n in rng.integers(1, 9, 12)]
+    truth = rng.integers(0, 2, 12)
+    weights, bias = quality.sgd(bags, truth, dim=3, epochs=2, rate=0.5, seed=7)
+    rng = np.random.default_rng(7)
+    table = rng.uniform(-1 / 3, 1 / 3, (quality.BUCKETS, 3)).astype(np.float32).astype(float)
+    layer, off, done = [[0.0] * 3, [0.0] * 3], [0.0, 0.0], 0
+    for _ in range(2):
+        for i in rng.permutation(12):
+            rows, share = bags[i]
+            mean = [sum(w * table[r, d] for r, w in zip(rows, share)) for d in range(3)]
+            z = [sum(a * b for a, b in zip(layer[y], mean)) + off[y] for y in range(2)]
+            p = [np.exp(x) / sum(np.exp(v) for v in z) - (y == truth[i]) for y, x in enumerate(z)]
+            now = 1 - done / 24
+            back = [sum(p[y] * layer[y][d] for y in range(2)) for d in range(3)]
+            for y in range(2):
+                off[y] -= 0.05 * now * p[y]
+                for d in range(3):
+                    layer[y][d] -= 0.5 * now * p[y] * mean[d]
+            for r, w in zip(rows, share):
+                table[r] -= [0.5 * now / sum(x * x for x in share) * w * b for b in back]
+            done += 1
+    used = sorted({r for rows, _ in bags for r in rows})
+    want = [sum(table[r, d] * (layer[1][d] - layer[0][d]) for d in range(3)) for r in used]
+    assert np.allclose(weights[used], want, atol=1e-5) and abs(bias - (off[1] - off[0])) < 1e-6
+
+
+def test_quality_scores_by_the_book(spark):
+    """The mean of the numbers of a text's features, text by text, through the logistic curve."""
+    from termloom.llm import quality, spans
+
+    rng = np.random.default_rng(2)
+    model = rng.normal(0, 1, quality.BUCKETS).astype(np.float32), 0.25
+    texts = ["one two two three", "", None, "Über große Straßen, hinüber", "x", "a b " * 500]
+    got = {r.doc_id: r for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, threshold=0.5).collect()}
+    for i, text in enumerate(texts):
+        data, offsets = spans.flat(pa.array([text]))
+        rows = [r for part, _ in quality.features(data, offsets) for r in part] if text else []
+        want = 1 / (1 + np.exp(-(float(np.mean([float(model[0][r]) for r in rows])) if rows else 0.0) - 0.25))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(got[i].score >= 0.5)
