@@ -210,8 +210,8 @@ def g5(spark, sf_dir):
 ALGEBRA_SQL = """
 , ua AS (SELECT DISTINCT term FROM basket WHERE corpus_id = 'NATION_7' AND weight >= 40), ub AS (SELECT DISTINCT term FROM basket WHERE corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1997-01-01'),
 wa AS (SELECT term, sum(weight) AS weight FROM basket WHERE corpus_id = 'NATION_7' AND weight >= 40 GROUP BY 1), wb AS (SELECT term, sum(weight) AS weight FROM basket WHERE corpus_id = 'NATION_3' AND weight <= 5 AND pub_date < DATE '1997-01-01' GROUP BY 1),
-m AS (SELECT a.term AS a, b.term AS b, CAST(count(*) AS DOUBLE) AS weight FROM basket a JOIN basket b ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.corpus_id = 'NATION_11' GROUP BY ALL),
-n AS (SELECT a.term AS a, b.term AS b, CAST(count(*) AS DOUBLE) AS weight FROM basket a JOIN basket b ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.corpus_id = 'NATION_11' AND a.weight > 20 GROUP BY ALL)
+m AS (SELECT a.term AS a, b.term AS b, CAST(count(*) AS DOUBLE) AS weight FROM basket a JOIN basket b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL),
+n AS (SELECT a.term AS a, b.term AS b, CAST(count(*) AS DOUBLE) AS weight FROM basket a JOIN basket b ON a.doc_id = b.doc_id AND a.term < b.term WHERE a.weight > 20 GROUP BY ALL)
 """
 
 
@@ -223,8 +223,8 @@ def operands(spark, sf_dir):
 
 
 def matrices(spark, sf_dir):
-    peru = baskets(spark, sf_dir).where("corpus_id = 'NATION_11'")
-    a, b = peru.select("doc_id", F.col("term").alias("a"), F.col("weight").alias("w")), peru.select("doc_id", F.col("term").alias("b"))
+    rows = baskets(spark, sf_dir)
+    a, b = rows.select("doc_id", F.col("term").alias("a"), F.col("weight").alias("w")), rows.select("doc_id", F.col("term").alias("b"))
     pairs = a.join(b, "doc_id").where("a < b")
     count = lambda df: df.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
     return count(pairs), count(pairs.where("w > 20"))

@@ -26,22 +26,22 @@ def a1(spark, sf_dir):
 BODY_SQL = f"trim({ONE_LINE})"
 
 
-@query("a1_isi_records", f"SELECT doc_id, 'First part ' || source AS title, source, {BODY_SQL} AS abstract, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'en' END AS lang, 'A. One, B. Two' AS authors, 'MAY 3-5' AS publication_month, '2001' AS publication_year FROM documents WHERE {BODY_SQL} <> ''")
+@query("a1_isi_records", f"SELECT doc_id, 'First part ' || source AS title, source, nullif({BODY_SQL}, '') AS abstract, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'en' END AS lang, 'A. One, B. Two' AS authors, 'MAY 3-5' AS publication_month, '2001' AS publication_year FROM documents")
 def a1_isi(spark, sf_dir):
     body = F.trim(F.regexp_replace("text", r"\s+", " "))
     lang = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\nLA "), "lang")).otherwise(F.lit(""))
     record = F.concat(F.lit("PT J\nAU A. One\n   B. Two\nTI First part\n   "), "source", F.lit("\nSO "), "source", F.lit("\nPD MAY 3-5\nPY 2001\nDI "), F.col("doc_id").cast("string"), lang, F.lit("\nAB "), body, F.lit("\nER\n"))
     path = scratch(spark, "isi")
-    table(spark, sf_dir, "documents").where(body != "").select(record.alias("value")).write.text(path)
+    table(spark, sf_dir, "documents").select(record.alias("value")).write.text(path)
     return I.read_isi(spark, path).select(F.col("doi").cast("long").alias("doc_id"), "title", "source", "abstract", "lang", "authors", "publication_month", "publication_year")
 
 
-@query("a1_repec_records", f"SELECT doc_id, source AS title, 'Series' AS source, {BODY_SQL} AS abstract, lang, 'A. One' || chr(10) || 'B. Two' AS authors, '1999' AS publication_year FROM documents WHERE {BODY_SQL} <> ''")
+@query("a1_repec_records", f"SELECT doc_id, source AS title, 'Series' AS source, nullif({BODY_SQL}, '') AS abstract, lang, 'A. One' || chr(10) || 'B. Two' AS authors, '1999' AS publication_year FROM documents")
 def a1_repec(spark, sf_dir):
     body = F.trim(F.regexp_replace("text", r"\s+", " "))
     record = F.concat(F.lit("TY  - JOUR\nT1  - "), "source", F.lit("\nA1  - A. One\nA1  - B. Two\nJO  - Series\nY1  - 1999///\nUR  - "), F.col("doc_id").cast("string"), F.lit("\nLA  - "), "lang", F.lit("\nN2  - "), body, F.lit("\nER\n"))
     path = scratch(spark, "repec")
-    table(spark, sf_dir, "documents").where(body != "").select(record.alias("value")).write.text(path)
+    table(spark, sf_dir, "documents").select(record.alias("value")).write.text(path)
     return I.read_repec(spark, path).select(F.col("doi").cast("long").alias("doc_id"), "title", "source", "abstract", "lang", "authors", "publication_year")
 
 
@@ -113,9 +113,9 @@ def a5(spark, sf_dir):
     return I.read_marc(spark, path).select("record", "title", "authors", "lang")
 
 
-@query("a6_json_dump", "SELECT min(CAST(doc_id AS VARCHAR)) AS docid, min_by(split_part(text, chr(10), 1), CAST(doc_id AS VARCHAR)) AS title, 'NOT FOUND' AS abstract, 'A, B' AS authors, 'u' || (doc_id % 700) AS url FROM documents WHERE text <> '' GROUP BY 5")
+@query("a6_json_dump", "SELECT min(CAST(doc_id AS VARCHAR)) AS docid, min_by(coalesce(nullif(split_part(text, chr(10), 1), ''), 'NOT FOUND'), CAST(doc_id AS VARCHAR)) AS title, 'NOT FOUND' AS abstract, 'A, B' AS authors, 'u' || (doc_id % 700) AS url FROM documents GROUP BY 5")
 def a6(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("text <> ''").select(
+    rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("docid"), F.array(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title_s"), F.array().cast("array<string>").alias("abstract_s"),
         F.array(F.lit("A"), F.lit("B")).alias("authFullName_s"), F.concat(F.lit("u"), (F.col("doc_id") % 700).cast("string")).alias("uri_s"), F.lit("eng").alias("language_s"),
     )
@@ -191,7 +191,7 @@ BARE = "trim(regexp_replace(regexp_replace({}, '[<>]', ' ', 'g'), '\\s+', ' ', '
     "a8_press_documents",
     f""", p AS ({DATES_SQL}), b AS (SELECT doc_id, corpus_id, pub_date, {BARE.format('title')} AS title, {BARE.format('abstract')} AS body FROM docs)
     SELECT doc_id, title, 'A. One; B. Two' AS authors, '<p>' || body || '</p>' || chr(10) || '<p>end</p>' AS abstract, corpus_id AS source, 'no. 7' AS number, CASE WHEN doc_id % 2 = 0 THEN 'fr' ELSE 'en' END AS lang,
-    pub_date::TIMESTAMP AS pub_ts, CASE WHEN doc_id % 3 > 0 THEN 'World' END AS section FROM b WHERE title <> ''""",
+    pub_date::TIMESTAMP AS pub_ts, CASE WHEN doc_id % 3 > 0 THEN 'World' END AS section FROM b""",
     TEXT_SQL,
 )
 def a8_press(spark, sf_dir):
@@ -204,7 +204,7 @@ def a8_press(spark, sf_dir):
         F.lit('</span></div><div class="titreArticle"><p class="titreArticleVisu rdp__articletitle">'), bare("title"), F.lit('</p></div><div class="docAuthors">A. One</div><div class="docAuthors">B. Two</div></header><section><div class="DocText clearfix"><p>'),
         bare("abstract"), F.lit("</p><p>end</p></div></section></article></body></html>"),
     )
-    pages = text_documents(spark, sf_dir).where(bare("title") != "").select("doc_id", html.alias("html"))
+    pages = text_documents(spark, sf_dir).select("doc_id", html.alias("html"))
     path = scratch(spark, "press")
     pages.write.parquet(path)
     return I.press_documents(spark.read.parquet(path), key="doc_id").where("error is null").drop("pos", "error")
