@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .store import column, discard, scratch, staged_at
 
-#: What ends a piece, what parts words, and A-Z in lower case.
-ENDS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
+#: What ends a piece (blanks and tabs part words), and A-Z in lower case.
+ENDS = ".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans((ENDS + "ABCDEFGHIJKLMNOPQRSTUVWXYZ").encode(), ("." * len(ENDS) + "abcdefghijklmnopqrstuvwxyz").encode())
 NEVER = 255
 GATE_BITS = 24  # slots of a gate, one byte each

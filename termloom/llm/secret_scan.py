@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, staged_at
+from .store import column, staged
 
 
 class Rule(NamedTuple):
@@ -116,8 +116,8 @@ def _queries(rules: tuple[Rule, ...]) -> dict[str, Query]:
 
 def index(docs: DataFrame, trigrams: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
     """(trigram, id): a posting for each row and each of the given trigrams that its text holds, in lower case, by trigram and id."""
-    low = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = docs.select(F.col(key).alias("id"), low.alias("low"))
+    low = F.lower(F.coalesce(column(text).cast("string"), F.lit("")))
+    rows = docs.select(column(key).alias("id"), low.alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])) if trigrams else F.array().cast("array<string>")
     return rows.select(F.explode(held).alias("trigram"), "id").repartitionByRange("trigram", "id").sortWithinPartitions("trigram", "id")
 
@@ -182,9 +182,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: tuple[str
     """
     queries = _queries(rules)
     wanted = sorted({t for q in queries.values() for need in q for t in need})
-    postings, place = staged_at(index(docs.where(F.col(key).isNotNull()), wanted, text, key), "postings")
+    postings = staged(index(docs.where(column(key).isNotNull()), wanted, text, key), "postings")
     found = candidates(postings, queries)
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    rows = docs.select(column(key).alias("id"), F.coalesce(column(text).cast("string"), F.lit("")).alias("body"))
     joined = rows.join(found, "id", "left")
     none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
 
