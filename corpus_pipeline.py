@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import exact, langid, mixing, packing, similar, subwords
-from termloom.llm.store import staged
+from termloom.llm.store import discard, staged_at
 
 #: A document whose language is unknown, or that no language is likelier than this to hold, is rejected.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -63,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs, path = staged_at(stage(spark, docs, sf_dir), name)
+        if before:
+            discard(spark, before)  # the next stage is written
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
