@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .metrics import substitute
-from .storage import checkpointed, ranked, staged
+from .storage import checkpointed, discard, ranked, staged, staged_at
 
 
 CELL = 1024  # terms of a part of a document
@@ -216,11 +216,12 @@ def _one_level(edges: DataFrame, least_gain: float, most_rounds: int) -> tuple[D
     vertex is; the modularity of what the round starts from is observed on the way.
     """
     ends = edges.where("s <> t")
-    both = staged(ends.select(F.col("s").alias("v"), F.col("t").alias("u"), "w").unionAll(ends.select("t", "s", "w")))
+    spark = edges.sparkSession
+    both, links = staged_at(ends.select(F.col("s").alias("v"), F.col("t").alias("u"), "w").unionAll(ends.select("t", "s", "w")))
     loops = edges.where("s = t").select(F.col("s").alias("v"), (2 * F.col("w")).alias("k"), (2 * F.col("w")).alias("loop"))
     degree = both.select("v", F.col("w").alias("k"), F.lit(0.0).alias("loop")).unionAll(loops).groupBy("v").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
     seen = Observation()
-    where = staged(degree.select("v", F.col("v").alias("c"), "k", "loop").observe(seen, F.sum("k").alias("doubled")))
+    where, before = staged_at(degree.select("v", F.col("v").alias("c"), "k", "loop").observe(seen, F.sum("k").alias("doubled")))
     doubled = seen.get["doubled"] or 0.0
     if doubled == 0:
         return where.select(F.col("v").alias("id"), F.col("c").alias("cluster")), None
@@ -242,7 +243,9 @@ def _one_level(edges: DataFrame, least_gain: float, most_rounds: int) -> tuple[D
         placed = best.withColumns({"c": F.when(moves, F.col("best.c")).otherwise(F.col("own")), "moved": moves})
         seen = Observation()
         now = F.sum(F.col("inside") + F.col("loop")) / doubled - F.sum(F.col("k") * F.col("total")) / doubled**2
-        where = staged(placed.observe(seen, F.max("moved").alias("moved"), now.alias("score")).select("v", "c", "k", "loop"))
+        where, path = staged_at(placed.observe(seen, F.max("moved").alias("moved"), now.alias("score")).select("v", "c", "k", "loop"))
+        discard(spark, before)
+        before = path
         moved, score = seen.get["moved"], seen.get["score"]
         still = 0 if moved else still + 1
         if still == 2:
@@ -253,6 +256,7 @@ def _one_level(edges: DataFrame, least_gain: float, most_rounds: int) -> tuple[D
                 break
     else:
         raise RuntimeError("communities did not settle")
+    discard(spark, links)
     return where.select(F.col("v").alias("id"), F.col("c").alias("cluster")), score
 
 

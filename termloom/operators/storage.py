@@ -31,9 +31,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back. For loops: what the optimizer infers of a plan, and a checkpoint
     hands on, starts anew here, where it would double in every round."""
+    return staged_at(df)[0]
+
+
+def staged_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``staged``, and the path of the table."""
     path = scratch(df.sparkSession, "round")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
