@@ -210,13 +210,13 @@ def _slot_bits(counts: DataFrame) -> dict[tuple[bool, int], np.ndarray]:
     both = F.explode(F.array_compact(F.array(slot(True, KEEP_BITS), slot(False, GATE_BITS)))).alias("s")
     rows = counts.where("ended OR fresh").select(F.col("key").bitwiseAND(F.lit(3)).alias("size"), both).select("size", "s.ended", F.shiftright("s.slot", 15).alias("page"), F.col("s.slot").bitwiseAND(F.lit(32767)).alias("at"))
     out: dict[tuple[bool, int], np.ndarray] = {}
-    for r in rows.groupBy("ended", "size", "page").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator():
+    for r in rows.groupBy("ended", "size", "page").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
         bits = out.setdefault((r["ended"], r["size"]), np.zeros(1 << ((KEEP_BITS if r["ended"] else GATE_BITS) - 3), np.uint8))
         bits[r["page"] << 12 : (r["page"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def mine(docs: DataFrame, longest: int = 3, least: int = 10, shards: int = 3, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+def mine(docs: DataFrame, longest: int = 3, least: int = 10, shards: int = 2, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """(lang, phrase, size, n): every phrase of 1 to ``longest`` words (3 at most) that occurs ``least`` times in its language, with
     its number of occurrences, and all words of each language under the empty phrase and size 0.
 
@@ -283,7 +283,7 @@ def _cuts(counts: DataFrame, longest: int) -> DataFrame:
     return score.groupBy("lang", "phrase", "size", "a").agg(best).select("lang", "phrase", "size", "a", "best.l", "best.r", "best.score")
 
 
-def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, most: int = 2000, shards: int = 3, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, most: int = 2000, shards: int = 2, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``most`` strongest phrases of each language (mine).
 
     Phrases of 2 to ``longest`` words with a >= ``least`` occurrences are candidates. A candidate is cut after its first k words where
