@@ -100,17 +100,28 @@ def document_sizes(docs: DataFrame, text: Column, key: str = "doc_id") -> DataFr
 
 
 def paragraphs_in(docs: DataFrame, text: Column, wanted: Column, profile: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, kept, cut): the paragraphs whose stop words are mostly of the wanted language.
+    """(key, kept, kept_n, cut): the paragraphs whose stop words are mostly of the wanted language, and how many they are.
 
-    ``profile`` is (lang, word). A paragraph without any of its words stays; ties go to the smallest language.
+    ``profile`` is (lang, word), at most MOST_STOPS rows, which go to every task. A paragraph without any of its words stays; ties go to
+    the smallest language. The words are looked up within the document's row, and texts are shuffled once; rows that share a key are
+    judged together, paragraph by paragraph, and those without a key keep all.
     """
-    parts = docs.select(key, wanted.alias("wanted"), F.posexplode(F.split(text, r"\n\s*\n|\n")).alias("pos", "part"))
-    words = parts.select(key, "pos", F.explode(T.tokens(F.lower("part"))).alias("word"))
-    counts = words.join(profile, "word").groupBy(key, "pos", "lang").agg(F.count("*").alias("n"))
-    best = counts.groupBy(key, "pos").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang")).alias("best")).select(key, "pos", F.col("best.lang").alias("found"))
-    judged = parts.join(best, [key, "pos"], "left").withColumn("keep", F.coalesce(F.col("found") == F.col("wanted"), F.lit(True)))
-    kept = F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct("pos", "part"))))
-    return judged.groupBy(key).agg(F.array_join(kept["part"], "\n").alias("kept"), F.bool_or(~F.col("keep")).alias("cut"))
+    rows = profile.where("lang IS NOT NULL AND word IS NOT NULL").select("lang", "word").limit(MOST_STOPS + 1).agg(F.collect_list(F.struct("lang", "word")).alias("_profile"))
+    checked = F.when(F.size("_profile") <= MOST_STOPS, F.col("_profile")).otherwise(F.raise_error(F.lit(f"more than {MOST_STOPS} profile words")).cast("array<struct<lang:string,word:string>>"))
+    speaks = lambda w: F.transform(F.filter("_profile", lambda p: p["word"] == w), lambda p: p["lang"])
+    here = lambda words: F.array_intersect(words, F.col("_profile")["word"])
+    langs = lambda words: T.let(here(words), lambda known: F.flatten(F.transform(F.filter(words, lambda w: F.array_contains(known, w)), speaks)))
+    judged = F.transform(F.split(text, r"\n[ \t\n\f\r]*\n|\n"), lambda p: F.struct(p.alias("part"), T.let(T.tokens(F.lower(p)), langs).alias("langs")))
+    parts = docs.where(text.isNotNull()).crossJoin(F.broadcast(rows.select(checked.alias("_profile")))).select(key, F.struct(wanted.alias("wanted"), judged.alias("parts")).alias("row"))
+    grouped = parts.repartition(key).groupBy(key).agg(F.collect_list("row").alias("rows"))
+    places = F.sequence(F.lit(0), F.array_max(F.transform("rows", lambda r: F.size(r["parts"]))) - 1)
+    at = lambda i: F.transform(F.filter("rows", lambda r: F.size(r["parts"]) > i), lambda r: F.struct(r["parts"][i]["part"].alias("part"), r["parts"][i]["langs"].alias("langs"), r["wanted"].alias("wanted")))
+    best = lambda found: F.array_min(F.transform(T.counted(found), lambda c: F.struct((-c["weight"]).alias("n"), c["term"].alias("lang"))))["lang"]
+    found = lambda here_: F.when(F.col(key).isNotNull(), best(F.flatten(here_["langs"])))
+    keep = lambda here_: T.let(F.struct(found(here_).alias("found")), lambda f: F.transform(here_, lambda x: F.when(F.coalesce(f["found"] == x["wanted"], F.lit(True)), x["part"])))
+    each = grouped.select(key, F.flatten(F.transform(places, lambda i: F.array_sort(T.let(at(i), keep)))).alias("parts"))
+    stay = each.select(key, F.array_compact("parts").alias("stay"), F.size("parts").alias("n"))
+    return stay.select(key, F.array_join("stay", "\n").alias("kept"), F.size("stay").alias("kept_n"), (F.size("stay") < F.col("n")).alias("cut"))
 
 
 def language_profile(docs: DataFrame, lang: Column, supported: tuple[str, ...], by: str = "corpus_id") -> DataFrame:

@@ -201,10 +201,8 @@ def b16(spark, sf_dir):
 )
 def b17(spark, sf_dir):
     profile = spark.createDataFrame([(lang, w) for lang, words in PROFILE.items() for w in words], "lang string, word string")
-    docs = table(spark, sf_dir, "documents")
-    out = D.paragraphs_in(docs.where("lang is not null"), F.col("text"), F.col("lang"), profile)
-    kept = F.when(F.col("kept_n") > 0, F.col("kept_n")).otherwise(F.lit(0))
-    return out.withColumn("kept_n", F.size(F.split("kept", "\n"))).select("doc_id", kept.cast("long").alias("kept"), "cut")
+    out = D.paragraphs_in(table(spark, sf_dir, "documents"), F.col("text"), F.col("lang"), profile)
+    return out.select("doc_id", F.col("kept_n").cast("long").alias("kept"), "cut")
 
 
 @query("b17_kept_paragraphs", ORACLES["b17_paragraph_language"].replace("count(*) FILTER (WHERE coalesce(found = lang, true)) AS kept", "md5(coalesce(string_agg(part, chr(10) ORDER BY pos) FILTER (WHERE coalesce(found = lang, true)), '')) AS kept").replace("FROM documents)", "FROM documents WHERE lang IS NOT NULL)"))
