@@ -15,33 +15,57 @@ from .metrics import substitute
 from .storage import checkpointed, discard, ranked, staged, staged_at
 
 
-CELL = 1024  # terms of a part of a document
+CELL = 1024  # terms of a block
+MOST_SENT = 200_000  # terms that go to every task
+FEW_PAIRS = 2_000_000  # pairs of terms that a task can count in memory
 
 
 def cooccurrences(terms: DataFrame, members: DataFrame | None = None, groups: DataFrame | None = None, stop: DataFrame | None = None, threshold: int = 3, diagonal: bool = True, half: bool = True, by: tuple[str, ...] = ("corpus_id",)) -> DataFrame:
     """(*by, a, b, weight): documents with both terms, in their main forms (H1, H2, H3).
 
-    The lists apply before the self join, so that a document's pairs are of listed terms only, and so does the threshold: the terms
-    of a pair in so many documents are each in so many. A document of more than CELL terms is dealt over cells of two parts of
-    its terms, each pair in one cell, so that no task makes more than a cell's pairs at a time. ``half`` keeps a <= b, or a < b
-    without the ``diagonal``.
+    The lists apply before terms are paired, so that a document's pairs are of listed terms only, and so does the threshold: the terms
+    of a pair in so many documents are each in so many. Documents' terms are written once and numbered in order of (*by, term). A
+    document's numbers are one array, cut into blocks of CELL numbers; each two of its blocks go where all documents' terms of these
+    two blocks are, and the pairs are made and counted there, so that only counts are shuffled further. Where all possible pairs are few,
+    every task counts them where its documents are. ``half`` keeps a <= b, or a < b without the ``diagonal``.
     """
+    spark = terms.sparkSession
     forms = substitute(terms, groups)
     if members is not None:
         forms = forms.join(members.select("term").distinct(), "term", "left_semi")
     if stop is not None:
         forms = forms.join(stop.select("term").distinct(), "term", "left_anti")
-    docs = forms.select(*by, "doc_id", "term").distinct()
+    known = F.col("doc_id").isNotNull() & F.col("term").isNotNull()
+    docs = staged(forms.select(*by, "doc_id", "term").where(known).distinct())
+    often = docs.groupBy(*by, "term").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+    ids = ranked(often, *by, "term", name="id")
+    sizes = checkpointed(ids.groupBy(*by).agg(F.count("*").alias("terms"), F.sum("n").alias("rows")))
+    n, rows, pairs = sizes.agg(F.sum("terms"), F.sum("rows"), F.sum(F.col("terms") * (F.col("terms") + 1) / 2)).first()
+    sent = F.broadcast if (n or 0) <= MOST_SENT else lambda df: df
     if threshold > 1:
-        often = docs.groupBy(*by, "term").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
-        docs = docs.join(often.drop("n"), [*by, "term"], "left_semi")
-    order = (F.col("a") <= F.col("b")) if half and diagonal else (F.col("a") < F.col("b")) if half else (F.col("a") != F.col("b")) if not diagonal else F.lit(True)
-    parts = F.ceil(F.count("*").over(Window.partitionBy(*by, "doc_id")) / CELL).cast("int")
-    dealt = docs.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("term"), "parts").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    a = dealt.select(*by, "doc_id", F.col("term").alias("a"), F.col("mine").alias("i"), every.alias("j"))
-    b = dealt.select(*by, "doc_id", F.col("term").alias("b"), every.alias("i"), F.col("mine").alias("j"))
-    return a.join(b, [*by, "doc_id", "i", "j"]).where(order).groupBy(*by, "a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
+        docs = docs.join(sent(ids.select(*by, "term")), [*by, "term"], "left_semi")
+    numbered = docs.join(sent(ids.select(*by, "term", "id")), [*by, "term"]).select(*by, "doc_id", "id").repartition(*by, "doc_id")
+    arrays = numbered.groupBy(*by, "doc_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    if (pairs or 0) <= FEW_PAIRS:
+        dealt = arrays.select(F.col("ids").alias("left"), F.col("ids").alias("right"))
+    else:
+        block = lambda x: F.floor(x / CELL)
+        blocks = F.transform(F.array_distinct(F.transform("ids", block)), lambda k: F.struct(k.alias("block"), F.filter("ids", lambda x: block(x) == k).alias("ids")))
+        # A corpus is dealt over as many tasks as its share of the rows, where it has fewer pairs of blocks.
+        wide = F.ceil(F.col("terms") / CELL) + 1
+        parts = F.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) * F.col("rows") / rows / (wide * (wide + 1) / 2)).alias("parts")
+        shares = F.broadcast(sizes.select(*by, parts))
+        shared = arrays.join(shares, list(by)) if by else arrays.crossJoin(shares)
+        cut = shared.select(F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), blocks.alias("blocks"))
+        two = cut.select("part", "blocks", F.explode("blocks").alias("x")).select("part", "x", F.explode("blocks").alias("y")).where("x.block <= y.block")
+        two = two.select(F.col("x.block").alias("i"), F.col("y.block").alias("j"), "part", F.col("x.ids").alias("left"), F.col("y.ids").alias("right"))
+        dealt = two.repartition("i", "j", "part").select("left", "right")
+    order = "a <= b" if diagonal else "a < b"
+    each = dealt.select("right", F.explode("left").alias("a")).select("a", F.explode("right").alias("b")).where(order)
+    counts = each.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
+    named = lambda c, *more: sent(ids.select(F.col("id").alias(c), *more, F.col("term").alias(f"term_{c}")))
+    out = counts.join(named("a", *by), "a").join(named("b"), "b").select(*by, F.col("term_a").alias("a"), F.col("term_b").alias("b"), "weight")
+    return out if half else mirrored(out, by)
 
 
 def touching(pairs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -56,9 +80,9 @@ def field_cooccurrences(docs: DataFrame, field: str, terms: DataFrame, threshold
     return rows.groupBy("value", "term").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
 
 
-def mirrored(pairs: DataFrame) -> DataFrame:
+def mirrored(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Both orders of every pair, the diagonal once."""
-    return pairs.select("a", "b", "weight").unionAll(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    return pairs.select(*by, "a", "b", "weight").unionAll(pairs.where("a <> b").select(*by, F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 
 def specificity(pairs: DataFrame, mode: str = "full") -> DataFrame:
