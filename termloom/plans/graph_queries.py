@@ -81,7 +81,7 @@ H5_SQL = f", named AS (SELECT DISTINCT doc_id, term FROM basket WHERE term IN {N
 
 @query("h5_specificity", "SELECT term, round(gen, 3) AS gen, round(spec, 3) AS spec, round(spec - gen, 3) AS specclusion, round(spec + gen, 3) AS genclusion FROM sums", BASKET_SQL + H5_SQL)
 def h5(spark, sf_dir):
-    return G.specificity(G.cooccurrences(baskets(spark, sf_dir), basket_list(spark, sf_dir), by=()))
+    return G.specificity(checkpointed(G.cooccurrences(baskets(spark, sf_dir), basket_list(spark, sf_dir), by=())))
 
 
 def map_sql(subforms: str, mono: tuple[int, int], multi: tuple[int, int]) -> str:
@@ -96,7 +96,7 @@ def map_sql(subforms: str, mono: tuple[int, int], multi: tuple[int, int]) -> str
 @query("e2_map_list", ", named AS (SELECT DISTINCT doc_id, term FROM basket)" + SCORES_SQL + map_sql("groups", (2, 2), (6, 10)), BASKET_SQL)
 def e2(spark, sf_dir):
     rows = baskets(spark, sf_dir)
-    scores = G.specificity(G.cooccurrences(rows, by=()))
+    scores = checkpointed(G.specificity(checkpointed(G.cooccurrences(rows, by=()))))
     return L.map_list(scores, rows.select("term").distinct(), basket_groups(spark, sf_dir), limit=20)
 
 
