@@ -75,8 +75,9 @@ def touching(pairs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def field_cooccurrences(docs: DataFrame, field: str, terms: DataFrame, threshold: int = 3) -> DataFrame:
-    """(value, term, weight): documents with a field's value and a term (H4)."""
-    rows = docs.select("doc_id", F.col(field).alias("value")).join(terms.select("doc_id", "term").distinct(), "doc_id")
+    """(value, term, weight): documents with a field's value and a term (H4). Terms are dealt by document once, for both steps."""
+    here = terms.select("doc_id", "term").repartition("doc_id").distinct()
+    rows = docs.select("doc_id", F.col(field).alias("value")).join(here, "doc_id")
     return rows.groupBy("value", "term").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
 
 
