@@ -29,7 +29,6 @@ def cooccurrences(terms: DataFrame, members: DataFrame | None = None, groups: Da
     two blocks are, and the pairs are made and counted there, so that only counts are shuffled further. Where all possible pairs are few,
     every task counts them where its documents are. ``half`` keeps a <= b, or a < b without the ``diagonal``.
     """
-    spark = terms.sparkSession
     forms = substitute(terms, groups)
     if members is not None:
         forms = forms.join(members.select("term").distinct(), "term", "left_semi")
@@ -46,6 +45,20 @@ def cooccurrences(terms: DataFrame, members: DataFrame | None = None, groups: Da
         docs = docs.join(sent(ids.select(*by, "term")), [*by, "term"], "left_semi")
     numbered = docs.join(sent(ids.select(*by, "term", "id")), [*by, "term"]).select(*by, "doc_id", "id").repartition(*by, "doc_id")
     arrays = numbered.groupBy(*by, "doc_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    out = _pair_counts(arrays, ids, sizes, rows, pairs, sent, threshold, diagonal, by)
+    return out if half else mirrored(out, by)
+
+
+def numbered_cooccurrences(docs: DataFrame, ids: DataFrame, threshold: int = 3) -> DataFrame:
+    """(a, b, weight), a <= b, of documents given as one row (doc_id, ids) each, whose sorted numbers stand for the (term, id) of ``ids``."""
+    sizes = checkpointed(ids.agg(F.count("*").alias("terms"), F.lit(1).alias("rows")))
+    n = sizes.first()["terms"]
+    return _pair_counts(docs, ids, sizes, 1, n * (n + 1) / 2, F.broadcast if n <= MOST_SENT else lambda df: df, threshold, True, ())
+
+
+def _pair_counts(arrays: DataFrame, ids: DataFrame, sizes: DataFrame, rows: int, pairs: float, sent: Callable, threshold: int, diagonal: bool, by: tuple[str, ...]) -> DataFrame:
+    """The second half of ``cooccurrences``: pairs of the numbers in documents' arrays, counted and named."""
+    spark = arrays.sparkSession
     if (pairs or 0) <= FEW_PAIRS:
         dealt = arrays.select(F.col("ids").alias("left"), F.col("ids").alias("right"))
     else:
@@ -64,8 +77,7 @@ def cooccurrences(terms: DataFrame, members: DataFrame | None = None, groups: Da
     each = dealt.select("right", F.explode("left").alias("a")).select("a", F.explode("right").alias("b")).where(order)
     counts = each.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
     named = lambda c, *more: sent(ids.select(F.col("id").alias(c), *more, F.col("term").alias(f"term_{c}")))
-    out = counts.join(named("a", *by), "a").join(named("b"), "b").select(*by, F.col("term_a").alias("a"), F.col("term_b").alias("b"), "weight")
-    return out if half else mirrored(out, by)
+    return counts.join(named("a", *by), "a").join(named("b"), "b").select(*by, F.col("term_a").alias("a"), F.col("term_b").alias("b"), "weight")
 
 
 def touching(pairs: DataFrame, terms: DataFrame) -> DataFrame:

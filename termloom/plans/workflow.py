@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from termloom.operators import graph as G
 from termloom.operators import lists as L
 from termloom.operators import metrics as M
-from termloom.operators.storage import checkpointed, staged
+from termloom.operators.storage import checkpointed, ranked, staged
+
+from .corpora import short
 
 
 class Corpus(NamedTuple):
@@ -25,21 +27,23 @@ class Corpus(NamedTuple):
 def corpus_workflow(terms: DataFrame, groups: DataFrame | None, stop: DataFrame, map_limit: int = 350, threshold: int = 3) -> Corpus:
     """Stop list, groups, occurrences, ranking, main list, document tf-idf, co-occurrences, specificity and map list, in this
     order, over all corpora of ``terms`` as one (K1). Without given ``groups`` terms are grouped by their stems (G1). ``terms`` are
-    written once, and every step reads them from there."""
+    written once, and every step reads them from there; what needs no documents reads their sums by corpus and term."""
     terms = staged(terms)
-    stops = L.stop_terms(terms, stop)
+    sums = checkpointed(M.occurrences(terms).withColumnRenamed("occurrences", "weight"))
+    stops = checkpointed(L.stop_terms(sums, stop))
     if groups is None:
-        groups = checkpointed(L.group_by_stem(terms, stops))
+        groups = L.group_by_stem(sums, stops)
+    groups = short(checkpointed(groups))
     ranking = M.tfidf_ranking(terms, terms, groups).select(F.lit("all").alias("corpus_id"), "term", "score")
     main = checkpointed(L.main_list(ranking, stops))
     listed = L.union(main, groups.join(main, groups["mainform"] == main["term"], "left_semi").select(F.col("subform").alias("term")))
-    return _measure(terms, groups, main, listed, map_limit, threshold)
+    return _measure(terms, sums, groups, main, listed, map_limit, threshold)
 
 
 def recount(terms: DataFrame, groups: DataFrame, map_terms: DataFrame, threshold: int = 3) -> Corpus:
     """Metrics anew after lists or groups changed, the diagonal kept (K2)."""
     listed = L.union(map_terms, groups.join(map_terms, groups["mainform"] == map_terms["term"], "left_semi").select(F.col("subform").alias("term")))
-    return _measure(terms, groups, map_terms, listed, None, threshold)
+    return _measure(terms, terms, groups, map_terms, listed, None, threshold)
 
 
 def recount_changes(terms: DataFrame, before: Corpus, old: DataFrame, new: DataFrame, old_terms: DataFrame, new_terms: DataFrame, threshold: int = 3) -> Corpus:
@@ -75,12 +79,29 @@ def recount_changes(terms: DataFrame, before: Corpus, old: DataFrame, new: DataF
     return Corpus(gone(before.occurrences, "term").unionByName(again), new_terms, tfidf, pairs, scores, new_terms.select("term", F.lit("given").alias("picked_by")))
 
 
-def _measure(terms, groups, main, listed, map_limit, threshold) -> Corpus:
-    inside = terms.join(listed, "term", "left_semi")
-    pairs = checkpointed(G.cooccurrences(inside, groups=groups, threshold=threshold, by=()))
+def _measure(terms, sums, groups, main, listed, map_limit, threshold) -> Corpus:
+    """Documents' listed terms are dealt by document once and written, one row a document, as the numbers of their forms: pairs and
+    tf-idf are counted from these rows. ``sums`` has the weights of ``terms`` by corpus and term, or finer."""
+    forms = checkpointed(L.main_form(groups, listed))
+    ids = ranked(forms.select(F.col("mainform").alias("term")).distinct(), F.col("term"), name="id")
+    numbers = short(checkpointed(forms.join(ids.withColumnRenamed("term", "mainform"), "mainform").select("term", "id")))
+    found = terms.join(numbers, "term").select("corpus_id", "doc_id", "id", "weight").repartition("doc_id").groupBy("corpus_id", "doc_id", "id").agg(F.sum("weight").alias("tf"))
+    apart = F.when(F.col("doc_id").isNull(), F.col("id"))  # rows of no document are not one row
+    docs = staged(found.groupBy("doc_id", apart.alias("apart")).agg(F.collect_list(F.struct("corpus_id", "id", "tf")).alias("terms")))
+    known = docs.where("doc_id is not null").select("doc_id", F.sort_array(F.array_distinct("terms.id")).alias("ids"))
+    pairs = checkpointed(G.numbered_cooccurrences(known, ids, threshold))
     scores = G.specificity(pairs)
     picked = L.map_list(scores, main, groups, map_limit) if map_limit else main.select("term", F.lit("given").alias("picked_by"))
-    return Corpus(M.occurrences(terms, groups), main, M.tfidf_documents(inside, groups=groups), pairs, scores, picked)
+    return Corpus(M.occurrences(sums, groups), main, _document_tfidf(docs, ids), pairs, scores, picked)
+
+
+def _document_tfidf(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """What metrics.tfidf_documents gives, from documents' rows of (corpus_id, id, tf): a corpus's documents with a term are its rows."""
+    rows = docs.select("doc_id", F.explode("terms").alias("t")).select("t.corpus_id", "doc_id", "t.id", "t.tf")
+    sizes = docs.select("doc_id", F.explode(F.array_distinct("terms.corpus_id")).alias("corpus_id")).groupBy("corpus_id").agg(F.count("doc_id").alias("N"))
+    counts = rows.groupBy("corpus_id", "id").agg(F.count("*").alias("nd")).join(sizes, "corpus_id").join(ids, "id")
+    idf = short(checkpointed(counts.select("corpus_id", "id", "term", (F.ln("N") - F.ln("nd")).alias("idf"))))
+    return rows.join(idf, ["corpus_id", "id"]).select("corpus_id", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("score"))
 
 
 def graph_links(edges: DataFrame) -> DataFrame:
