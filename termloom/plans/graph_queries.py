@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from termloom.operators import graph as G
 from termloom.operators import lists as L
 from termloom.operators import metrics as M
-from termloom.operators.storage import checkpointed
+from termloom.operators.storage import checkpointed, staged
 
 from . import workflow
 from .base import query
@@ -348,8 +348,8 @@ def k2(spark, sf_dir):
 
 @query("k2_recount_changes", "SELECT term, round(gen, 3) AS gen, round(spec, 3) AS spec, round(spec - gen, 3) AS specclusion, round(spec + gen, 3) AS genclusion FROM sums", BASKET_SQL + K2_SQL)
 def k2_changes(spark, sf_dir):
-    """From the counts of fewer groups and a shorter list, to those of k2_recount."""
-    rows, groups, names = baskets(spark, sf_dir), basket_groups(spark, sf_dir), basket_list(spark, sf_dir)
+    """From the counts of fewer groups and a shorter list, to those of k2_recount, over rows that are written once."""
+    rows, groups, names = staged(baskets(spark, sf_dir)), basket_groups(spark, sf_dir), basket_list(spark, sf_dir)
     old = groups.where("mainform < 'c'")
     free = lambda g: names.join(g, names["term"] == g["subform"], "left_anti")
     old_terms = free(old).where("term NOT LIKE 'a%'")

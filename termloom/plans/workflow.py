@@ -58,12 +58,15 @@ def recount_changes(terms: DataFrame, before: Corpus, old: DataFrame, new: DataF
         subs = groups.join(chosen, groups["mainform"] == chosen["term"], "left_semi").select(F.col("subform").alias("term"))
         return L.main_form(groups, L.union(chosen, subs)).withColumnRenamed("mainform", name)
 
-    was, now = forms(old, old_terms, "was"), forms(new, new_terms, "now")
+    was, now = (short(checkpointed(x)) for x in (forms(old, old_terms, "was"), forms(new, new_terms, "now")))
     moved = was.join(now, "term", "full").where(~F.col("was").eqNullSafe(F.col("now")))
-    led = L.main_form(old, terms.select("term").distinct()).withColumnRenamed("mainform", "was").join(L.main_form(new, terms.select("term").distinct()).withColumnRenamed("mainform", "now"), "term").where("was <> now")
-    touched = checkpointed(moved.unionByName(led).select(F.explode(F.array_compact(F.array("was", "now"))).alias("term")).distinct())
-    inside = terms.join(now, "term").drop("term").withColumnRenamed("now", "term")
-    near = inside.join(inside.join(touched, "term", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+    every = checkpointed(terms.select("term").distinct())
+    led = L.main_form(old, every).withColumnRenamed("mainform", "was").join(L.main_form(new, every).withColumnRenamed("mainform", "now"), "term").where("was <> now")
+    touched = short(checkpointed(moved.unionByName(led).select(F.explode(F.array_compact(F.array("was", "now"))).alias("term")).distinct()))
+    # A document's forms are one row, so that those near a touched one are found in it.
+    inside = terms.where("doc_id is not null").join(now, "term").groupBy("doc_id").agg(F.collect_set("now").alias("terms"))
+    some_touched = inside.select("terms", "doc_id", F.explode("terms").alias("term")).join(touched, "term", "left_semi").select("doc_id", "terms").distinct()
+    near = some_touched.select("doc_id", F.explode("terms").alias("term"))
     gone = lambda df, column: df.join(touched.withColumnRenamed("term", column), column, "left_anti")
     counted = G.touching(G.cooccurrences(near, threshold=threshold, by=()), touched)
     pairs = checkpointed(gone(gone(before.cooccurrences, "a"), "b").unionByName(counted))

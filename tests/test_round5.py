@@ -1,5 +1,7 @@
 """Queries on larger tables: the workflow's documents dealt once, tasks of bounded size, rows read once for all figures."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +48,46 @@ def test_a_ranking_of_its_own_scope_reads_it_once_for_its_terms(spark):
     one, other = M.tfidf_ranking(terms, terms), M.tfidf_ranking(terms.where(F.lit(True)), terms)
     assert rows_of(one) == rows_of(other)
     assert "Join" not in one._jdf.queryExecution().executedPlan().toString().replace("NestedLoopJoin", "")
+
+
+def test_matrices_join_no_documents(spark):
+    from termloom.plans import list_queries
+
+    plan = list_queries.matrices(spark, "/root/testdata/sf0.001")[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3  # customers, parts and orders; the orders' terms are paired within a row
+
+
+def test_all_joins_of_baskets_are_in_tasks_of_some_lines(spark, monkeypatch):
+    from termloom.plans import corpora
+
+    monkeypatch.setattr(corpora, "LINES", 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = corpora.baskets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    tasks = {name: corpora.table(spark, "/root/testdata/sf0.001", name).count() // 100 + 1 for name in ("lineitem", "orders")}
+    for key, name in (("l_partkey", "lineitem"), ("p_partkey", "lineitem"), ("l_orderkey", "lineitem"), ("o_orderkey", "lineitem"), ("o_custkey", "orders"), ("c_custkey", "orders")):
+        found = re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\)", plan)
+        assert found and set(found) == {str(tasks[name])}, key
+
+
+def test_the_recount_of_changes_reads_written_rows(spark, monkeypatch):
+    from termloom.plans import graph_queries
+
+    seen = []
+    monkeypatch.setattr(workflow, "recount_changes", lambda rows, before, *rest: seen.append(rows) or before)
+    graph_queries.k2_changes(spark, "/root/testdata/sf0.001")
+    assert all("/termloom-" in path for path in seen[0].inputFiles())
+
+
+def test_changes_of_odd_rows_count_as_a_whole_recount(measured, spark):
+    terms, groups, _ = measured
+    flat = groups.where("mainform <> 'owl'")
+    old, old_terms = spark.createDataFrame([("cat", "dogs")], "mainform string, subform string"), spark.createDataFrame([("cat",), ("the",)], "term string")
+    new_terms = spark.createDataFrame([("cat",), ("dogs",), ("owl",)], "term string")
+    made = workflow.recount_changes(terms, workflow.recount(terms, old, old_terms, 1), old, flat, old_terms, new_terms, 1)
+    whole = workflow.recount(terms, flat, new_terms, 1)
+    for name in ("cooccurrences", "scores", "occurrences", "tfidf"):
+        a, b = getattr(made, name), getattr(whole, name)
+        assert rows_of(a.select(*sorted(a.columns))) == rows_of(b.select(*sorted(a.columns))), name
