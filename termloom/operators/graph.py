@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .metrics import substitute
+from .pairs import SCHEMA
+from .pairs import counts as cell_pairs
 from .storage import checkpointed, discard, ranked, staged, staged_at
 
 
-CELL = 1024  # terms of a block
+CELL = 2048  # terms of a block at most
+MOST_ROWS = 32_000_000  # terms in documents of a corpus whose cells are not split
+MOST_TASKS = 1000  # of a stage that counts cells, where shuffle partitions are fewer
 MOST_SENT = 200_000  # terms that go to every task
 FEW_PAIRS = 2_000_000  # pairs of terms that a task can count in memory
 
@@ -25,8 +29,8 @@ def cooccurrences(terms: DataFrame, members: DataFrame | None = None, groups: Da
 
     The lists apply before terms are paired, so that a document's pairs are of listed terms only, and so does the threshold: the terms
     of a pair in so many documents are each in so many. Documents' terms are written once and numbered in order of (*by, term). A
-    document's numbers are one array, cut into blocks of CELL numbers; each two of its blocks go where all documents' terms of these
-    two blocks are, and the pairs are made and counted there, so that only counts are shuffled further. Where all possible pairs are few,
+    document's numbers are one array, cut into blocks of at most CELL numbers; each two of its blocks go where all documents' terms of
+    these two blocks are, and are counted there in a matrix, so that no pair of a document is ever a row. Where all possible pairs are few,
     every task counts them where its documents are. ``half`` keeps a <= b, or a < b without the ``diagonal``.
     """
     forms = substitute(terms, groups)
@@ -38,48 +42,68 @@ def cooccurrences(terms: DataFrame, members: DataFrame | None = None, groups: Da
     docs = staged(forms.select(*by, "doc_id", "term").where(known).distinct())
     often = docs.groupBy(*by, "term").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
     ids = ranked(often, *by, "term", name="id")
-    sizes = checkpointed(ids.groupBy(*by).agg(F.count("*").alias("terms"), F.sum("n").alias("rows")))
-    n, rows, pairs = sizes.agg(F.sum("terms"), F.sum("rows"), F.sum(F.col("terms") * (F.col("terms") + 1) / 2)).first()
+    sizes = checkpointed(ids.groupBy(*by).agg(F.count("*").alias("terms"), F.min("id").alias("first"), F.sum("n").alias("rows")))
+    n, pairs = sizes.agg(F.sum("terms"), F.sum(F.col("terms") * (F.col("terms") + 1) / 2)).first()
     sent = F.broadcast if (n or 0) <= MOST_SENT else lambda df: df
     if threshold > 1:
         docs = docs.join(sent(ids.select(*by, "term")), [*by, "term"], "left_semi")
     numbered = docs.join(sent(ids.select(*by, "term", "id")), [*by, "term"]).select(*by, "doc_id", "id").repartition(*by, "doc_id")
     arrays = numbered.groupBy(*by, "doc_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    out = _pair_counts(arrays, ids, sizes, rows, pairs, sent, threshold, diagonal, by)
+    out = _pair_counts(arrays, ids, sizes, pairs, sent, threshold, diagonal, by)
     return out if half else mirrored(out, by)
 
 
-def numbered_cooccurrences(docs: DataFrame, ids: DataFrame, threshold: int = 3) -> DataFrame:
-    """(a, b, weight), a <= b, of documents given as one row (doc_id, ids) each, whose sorted numbers stand for the (term, id) of ``ids``."""
-    sizes = checkpointed(ids.agg(F.count("*").alias("terms"), F.lit(1).alias("rows")))
-    n = sizes.first()["terms"]
-    return _pair_counts(docs, ids, sizes, 1, n * (n + 1) / 2, F.broadcast if n <= MOST_SENT else lambda df: df, threshold, True, ())
+def numbered_cooccurrences(docs: DataFrame, ids: DataFrame, threshold: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, a, b, weight), a <= b, of documents given as one row (*by, doc_id, ids) each, whose distinct numbers stand for the (*by, term, id) of
+    ``ids``, numbered in order of ``by``. ``docs`` is read more than once."""
+    sizes = checkpointed(ids.groupBy(*by).agg(F.count("*").alias("terms"), F.min("id").alias("first")))
+    n, pairs = sizes.agg(F.sum("terms"), F.sum(F.col("terms") * (F.col("terms") + 1) / 2)).first()
+    if (pairs or 0) > FEW_PAIRS:
+        rows = docs.groupBy(*by).agg(F.sum(F.size("ids")).alias("rows"))
+        sizes = checkpointed(sizes.join(rows, list(by)) if by else sizes.crossJoin(rows))
+    return _pair_counts(docs, ids, sizes, pairs, F.broadcast if (n or 0) <= MOST_SENT else lambda df: df, threshold, True, by)
 
 
-def _pair_counts(arrays: DataFrame, ids: DataFrame, sizes: DataFrame, rows: int, pairs: float, sent: Callable, threshold: int, diagonal: bool, by: tuple[str, ...]) -> DataFrame:
+def _pair_counts(arrays: DataFrame, ids: DataFrame, sizes: DataFrame, pairs: float, sent: Callable, threshold: int, diagonal: bool, by: tuple[str, ...]) -> DataFrame:
     """The second half of ``cooccurrences``: pairs of the numbers in documents' arrays, counted and named."""
-    spark = arrays.sparkSession
     if (pairs or 0) <= FEW_PAIRS:
-        dealt = arrays.select(F.col("ids").alias("left"), F.col("ids").alias("right"))
+        each = arrays.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a <= b" if diagonal else "a < b")
+        counts = each.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
     else:
-        block = lambda x: F.floor(x / CELL)
-        blocks = F.transform(F.array_distinct(F.transform("ids", block)), lambda k: F.struct(k.alias("block"), F.filter("ids", lambda x: block(x) == k).alias("ids")))
-        # A corpus is dealt over as many tasks as its share of the rows, where it has fewer pairs of blocks.
-        wide = F.ceil(F.col("terms") / CELL) + 1
-        parts = F.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) * F.col("rows") / rows / (wide * (wide + 1) / 2)).alias("parts")
-        shares = F.broadcast(sizes.select(*by, parts))
-        shared = arrays.join(shares, list(by)) if by else arrays.crossJoin(shares)
-        cut = shared.select(F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), blocks.alias("blocks"))
-        two = cut.select("part", "blocks", F.explode("blocks").alias("x")).select("part", "x", F.explode("blocks").alias("y")).where("x.block <= y.block")
-        two = two.select(F.col("x.block").alias("i"), F.col("y.block").alias("j"), "part", F.col("x.ids").alias("left"), F.col("y.ids").alias("right"))
-        dealt = two.repartition("i", "j", "part").select("left", "right")
-    order = "a <= b" if diagonal else "a < b"
-    each = dealt.select("right", F.explode("left").alias("a")).select("a", F.explode("right").alias("b")).where(order)
-    counts = each.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
+        counts = _cell_counts(arrays, sizes, threshold, diagonal, by)
     named = lambda c, *more: sent(ids.select(F.col("id").alias(c), *more, F.col("term").alias(f"term_{c}")))
     return counts.join(named("a", *by), "a").join(named("b"), "b").select(*by, F.col("term_a").alias("a"), F.col("term_b").alias("b"), "weight")
 
 
+def _cell_counts(arrays: DataFrame, sizes: DataFrame, threshold: int, diagonal: bool, by: tuple[str, ...]) -> DataFrame:
+    """(a, b, weight) of documents' numbers, by cells of two blocks of a corpus's numbers. A cell's documents are in one task, so that its
+    counts are final there; only those of a corpus of more than MOST_ROWS rows are dealt over several tasks, whose counts are added up."""
+    spark = arrays.sparkSession
+    blocks = F.ceil(F.col("terms") / CELL)
+    parts = F.ceil(F.greatest(F.col("rows"), F.lit(1)) / MOST_ROWS)
+    shares = sizes.select(*by, "first", F.ceil(F.col("terms") / blocks).alias("width"), blocks.alias("blocks"), parts.alias("parts"))
+    tasks = shares.groupBy((F.col("parts") > 1).alias("split")).agg(F.sum(F.col("parts") * F.col("blocks") * (F.col("blocks") + 1) / 2).cast("long").alias("cells"))
+    tasks = {r.split: min(r.cells, max(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))) for r in tasks.collect()}
+    if len(tasks) > 1:
+        arrays = staged(arrays)
+    found = []
+    for split, n in tasks.items():
+        some = F.broadcast(shares.where((F.col("parts") > 1) == split))
+        shared = arrays.join(some, list(by)) if by else arrays.crossJoin(some)
+        # A number's place is short, so that what is dealt is small.
+        local = shared.withColumn("ids", F.transform("ids", lambda x: x - F.col("first")))
+        held = F.array_distinct(F.transform("ids", lambda x: F.floor(x / F.col("width"))))
+        inside = lambda k: F.transform(F.filter("ids", lambda x: F.floor(x / F.col("width")) == k), lambda x: (x - k * F.col("width")).cast("short"))
+        cut = local.select("first", "width", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), F.transform(held, lambda k: F.struct(k.alias("block"), inside(k).alias("places"))).alias("blocks"))
+        two = cut.select("first", "width", "part", "blocks", F.explode("blocks").alias("x")).select("first", "width", "part", "x", F.explode("blocks").alias("y")).where("x.block <= y.block")
+        cells = two.select("first", F.col("x.block").alias("i"), F.col("y.block").alias("j"), "part", "width", F.col("x.places").alias("left"), F.when(F.col("x.block") < F.col("y.block"), F.col("y.places")).alias("right"))
+        dealt = cells.repartition(n, "first", "i", "j", "part").sortWithinPartitions("first", "i", "j").select("first", "i", "j", "width", "left", "right")
+        least = 1 if split else threshold
+        counted = dealt.mapInArrow(lambda batches, least=least: cell_pairs(batches, least, diagonal), SCHEMA)
+        found.append(counted.groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= threshold) if split else counted)
+    return reduce(DataFrame.unionAll, found)
+
+
 def touching(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """Pairs with at least one of the terms."""
     known = lambda c: terms.select(F.col("term").alias(c), F.lit(True).alias(f"has_{c}"))

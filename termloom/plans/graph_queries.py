@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from termloom.operators import graph as G
 from termloom.operators import lists as L
 from termloom.operators import metrics as M
-from termloom.operators.storage import checkpointed, staged
+from termloom.operators.storage import checkpointed, ranked, staged
 
 from . import workflow
 from .base import query
-from .corpora import BASKET_SQL, TEXT_SQL, basket_groups, basket_list, baskets, table, text_documents, text_terms
+from .corpora import BASKET_SQL, TEXT_SQL, basket_groups, basket_list, baskets, table, text_documents, text_terms, text_words
 from .list_queries import E1_SQL, F1_SQL, NAMES, stop_list
 from .term_queries import STOP_SQL, six
 from .text_queries import STEM_KEY_SQL
@@ -24,16 +24,24 @@ cooc AS (SELECT x.corpus_id, x.term AS a, y.term AS b, count(*) AS weight FROM l
 """
 
 
-def listed_terms(spark, sf_dir):
-    terms = text_terms(spark, sf_dir)
-    ranking = M.occurrences(terms).withColumnRenamed("occurrences", "score")
-    main = L.main_list(ranking, F.broadcast(stop_list(spark)))
-    return terms.join(main.select("corpus_id", "term"), ["corpus_id", "term"], "left_semi")
+def listed_pairs(spark, sf_dir):
+    """(corpus_id, a, b, weight): pairs of the main lists' terms (H1).
+
+    Texts are read twice, for the lists and for the documents' listed terms, which are written once as one row of numbers a document.
+    """
+    ranking = staged(text_words(spark, sf_dir).groupBy("corpus_id", "term").agg(F.count("*").cast("double").alias("score")))
+    main = L.main_list(ranking, F.broadcast(stop_list(spark))).select("corpus_id", "term")
+    ids = ranked(main, "corpus_id", "term", name="id")
+    sent = F.broadcast if ids.count() <= G.MOST_SENT else lambda df: df
+    known = text_words(spark, sf_dir, distinct=True).where("corpus_id is not null and doc_id is not null")
+    found = known.join(sent(ids), ["corpus_id", "term"]).select("corpus_id", "doc_id", F.col("id").cast("int"))
+    docs = staged(found.groupBy("corpus_id", "doc_id").agg(F.array_distinct(F.collect_list("id")).alias("ids")))
+    return G.numbered_cooccurrences(docs, ids, by=("corpus_id",))
 
 
 @query("h1_cooccurrences", "SELECT * FROM cooc", TEXT_SQL + E1_SQL + H1_SQL)
 def h1(spark, sf_dir):
-    return G.cooccurrences(listed_terms(spark, sf_dir))
+    return listed_pairs(spark, sf_dir)
 
 
 H2_SQL = f"""
@@ -271,7 +279,7 @@ def e7(spark, sf_dir):
 
 @query("d12_graph_size", "SELECT corpus_id, count(*) AS n_terms FROM (SELECT corpus_id, a FROM cooc GROUP BY ALL HAVING count(*) > 1) GROUP BY 1", TEXT_SQL + E1_SQL + H1_SQL)
 def d12(spark, sf_dir):
-    return G.graph_size(G.cooccurrences(listed_terms(spark, sf_dir)))
+    return G.graph_size(listed_pairs(spark, sf_dir))
 
 
 @query("a20_graph_export", "SELECT s, t, round(w, 3) AS w FROM edges", GRAPH_SQL)
