@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .metrics import substitute
-from .pairs import SCHEMA
+from .pairs import CELLS, SCHEMA
+from .pairs import cells as in_cells
 from .pairs import counts as cell_pairs
 from .storage import checkpointed, discard, ranked, staged, staged_at
 
 
 CELL = 2048  # terms of a block at most
 MOST_ROWS = 32_000_000  # terms in documents of a corpus whose cells are not split
-MOST_TASKS = 1000  # of a stage that counts cells, where shuffle partitions are fewer
+MOST_TASKS = 1000  # that count cells, where shuffle partitions are fewer
 MOST_SENT = 200_000  # terms that go to every task
 FEW_PAIRS = 2_000_000  # pairs of terms that a task can count in memory
 
@@ -83,20 +84,15 @@ def _cell_counts(arrays: DataFrame, sizes: DataFrame, threshold: int, diagonal:
     parts = F.ceil(F.greatest(F.col("rows"), F.lit(1)) / MOST_ROWS)
     shares = sizes.select(*by, "first", F.ceil(F.col("terms") / blocks).alias("width"), blocks.alias("blocks"), parts.alias("parts"))
     tasks = shares.groupBy((F.col("parts") > 1).alias("split")).agg(F.sum(F.col("parts") * F.col("blocks") * (F.col("blocks") + 1) / 2).cast("long").alias("cells"))
-    tasks = {r.split: min(r.cells, max(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))) for r in tasks.collect()}
+    most = max(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = {r.split: min(2 * r.cells, most) for r in tasks.collect()}  # two a cell, so that few tasks have several
     if len(tasks) > 1:
         arrays = staged(arrays)
     found = []
     for split, n in tasks.items():
         some = F.broadcast(shares.where((F.col("parts") > 1) == split))
         shared = arrays.join(some, list(by)) if by else arrays.crossJoin(some)
-        # A number's place is short, so that what is dealt is small.
-        local = shared.withColumn("ids", F.transform("ids", lambda x: x - F.col("first")))
-        held = F.array_distinct(F.transform("ids", lambda x: F.floor(x / F.col("width"))))
-        inside = lambda k: F.transform(F.filter("ids", lambda x: F.floor(x / F.col("width")) == k), lambda x: (x - k * F.col("width")).cast("short"))
-        cut = local.select("first", "width", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), F.transform(held, lambda k: F.struct(k.alias("block"), inside(k).alias("places"))).alias("blocks"))
-        two = cut.select("first", "width", "part", "blocks", F.explode("blocks").alias("x")).select("first", "width", "part", "x", F.explode("blocks").alias("y")).where("x.block <= y.block")
-        cells = two.select("first", F.col("x.block").alias("i"), F.col("y.block").alias("j"), "part", "width", F.col("x.places").alias("left"), F.when(F.col("x.block") < F.col("y.block"), F.col("y.places")).alias("right"))
+        cells = shared.select("first", "width", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"), "ids").mapInArrow(in_cells, CELLS)
         dealt = cells.repartition(n, "first", "i", "j", "part").sortWithinPartitions("first", "i", "j").select("first", "i", "j", "width", "left", "right")
         least = 1 if split else threshold
         counted = dealt.mapInArrow(lambda batches, least=least: cell_pairs(batches, least, diagonal), SCHEMA)

@@ -12,6 +12,8 @@ DOCS = 2048  # documents of a product of matrices; their counts are exact in sin
 CHUNK = 1 << 17  # pairs counted one by one at a time
 DENSE = 700  # cells of a product that take the time of one such pair
 ROWS = 1 << 20  # pairs given out at a time
+CUT = 1000  # documents cut into blocks at a time
+CELLS = "first long, i long, j long, part long, width long, left array<short>, right array<short>"
 SCHEMA = "a long, b long, weight long"
 
 
@@ -21,6 +23,29 @@ def _lists(column: pa.ListArray, start: int, stop: int) -> tuple[np.ndarray, np.
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, i, j, part, width, left, right) of rows (first, width, part, ids): each document's distinct numbers, which begin at ``first``, in blocks
+    of ``width``, and each two of its blocks i <= j with the numbers' places in them. Where i = j, right is null."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, CUT):
+            some = batch.slice(s, CUT)
+            first, width, part = (some.column(k).to_numpy() for k in ("first", "width", "part"))
+            values, sizes = _lists(some.column("ids"), 0, len(some))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            block, place = np.divmod(values - first[row], width[row])
+            order = np.argsort(row * (block.max(initial=0) + 1) + block, kind="stable")
+            row, block, place = row[order], block[order], place[order].astype(np.int16)
+            starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))[: len(row)])
+            row, block = row[starts], block[starts]  # of each document's blocks
+            at = np.arange(len(starts))
+            times = np.searchsorted(row, row, "right") - at  # this block and those after it
+            left = np.repeat(at, times)
+            right = left + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(place)), pa.int32()), pa.array(place))
+            columns = [first[row[left]], block[left], block[right], part[row[left]], width[row[left]], lists.take(pa.array(left)), lists.take(pa.array(right, mask=left == right))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["first", "i", "j", "part", "width", "left", "right"])
+
+
 def _chosen(values: np.ndarray, sizes: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[np.repeat(some, sizes)], sizes[some]
 

@@ -30,7 +30,7 @@ def listed_pairs(spark, sf_dir):
     Texts are read twice, for the lists and for the documents' listed terms, which are written once as one row of numbers a document.
     """
     ranking = staged(text_words(spark, sf_dir).groupBy("corpus_id", "term").agg(F.count("*").cast("double").alias("score")))
-    main = L.main_list(ranking, F.broadcast(stop_list(spark))).select("corpus_id", "term")
+    main = checkpointed(L.main_list(ranking, F.broadcast(stop_list(spark))).select("corpus_id", "term"))
     ids = ranked(main, "corpus_id", "term", name="id")
     sent = F.broadcast if ids.count() <= G.MOST_SENT else lambda df: df
     known = text_words(spark, sf_dir, distinct=True).where("corpus_id is not null and doc_id is not null")

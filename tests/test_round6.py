@@ -32,6 +32,17 @@ def test_cells_count_as_pairs_one_by_one(monkeypatch, dense, chunk, docs, diagon
     assert len(got) == len(set(got)) and {x[:2]: x[2] for x in got} == {k: n for k, n in want.items() if n >= 3}
 
 
+@pytest.mark.parametrize("cut", [1, 4, 1000])
+def test_documents_are_cut_into_cells(monkeypatch, cut):
+    monkeypatch.setattr(P, "CUT", cut)
+    rows = [(100, 5, 0, [101, 114, 100, 107, 113]), (100, 5, 1, []), (100, 5, 2, [109]), (7, 3, 0, [15, 7]), (7, 3, 0, [])]
+    schema = pa.schema([(c, pa.int64()) for c in ("first", "width", "part")] + [("ids", pa.list_(pa.int32()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    got = [tuple(r.values()) for b in P.cells(iter([batch.slice(0, 0), batch])) for r in b.to_pylist()]
+    one = [(100, 0, 0, 0, 5, [1, 0], None), (100, 0, 1, 0, 5, [1, 0], [2]), (100, 0, 2, 0, 5, [1, 0], [4, 3]), (100, 1, 1, 0, 5, [2], None), (100, 1, 2, 0, 5, [2], [4, 3]), (100, 2, 2, 0, 5, [4, 3], None)]
+    assert got == [*one, (100, 1, 1, 2, 5, [4], None), (7, 0, 0, 0, 3, [0], None), (7, 0, 2, 0, 3, [0], [2]), (7, 2, 2, 0, 3, [2], None)]
+
+
 def odd_documents(spark, path):
     """Documents given twice, of no corpus, number or text, and of words of one character; two corpora of 24 terms and one of three."""
     words = [f"w{k}" for k in range(24)]
@@ -49,7 +60,7 @@ def odd_documents(spark, path):
 @pytest.mark.parametrize("few", [0, 2_000_000])
 def test_pairs_of_main_lists_of_odd_documents(spark, tmp_path, monkeypatch, few, rows):
     con = odd_documents(spark, tmp_path)
-    for name, value in (("CELL", 5), ("FEW_PAIRS", few), ("MOST_ROWS", rows)):
+    for name, value in (("CELL", 5), ("FEW_PAIRS", few), ("MOST_ROWS", rows), ("MOST_TASKS", 8)):
         monkeypatch.setattr(G, name, value)
     for name in ("h1_cooccurrences", "d12_graph_size"):
         got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
